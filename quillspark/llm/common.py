@@ -86,6 +86,8 @@ _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _SYMBOL = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: All of ASCII but letters and digits; other characters count as letters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SYMBOL_LOWER = _SYMBOL[_LOWER]
@@ -124,9 +126,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of every row, with
-    A-Z lower-cased, and the number of words of each row.
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every row, with A-Z lower-cased, and the
+    number of words of each row. `breaks` marks the bytes between words; by
+    default words are `[^\\x20\\x09-\\x0D]+`.
 
     A word's hash is a polynomial in its bytes, found for all words at once
     from prefix sums; memory is bounded by CHUNK_BYTES (a longer single
@@ -139,13 +142,13 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     while at < n:
         to = min(n, at + CHUNK_BYTES)
         while to < n:  # move the end to a break between words
-            cut = np.flatnonzero(_SPACE[raw[at:to]] | edge[at:to])
+            cut = np.flatnonzero(breaks[raw[at:to]] | edge[at:to])
             if len(cut) and cut[-1] > 0:
                 to = at + int(cut[-1])
                 break
             to = min(n, to + CHUNK_BYTES)
         part = raw[at:to]
-        word = ~_SPACE[part]
+        word = ~breaks[part]
         first = word.copy()
         first[1:] &= ~word[:-1] | edge[at + 1 : to]
         last = word.copy()
@@ -168,3 +171,25 @@ def segments(counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
     to = np.cumsum(counts)
     for i, (n, end) in enumerate(zip(counts.tolist(), to.tolist(), strict=True)):
         yield i, end - n, end
+
+
+def from_columns(names: list[str], columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+def per_text(docs: DataFrame, function, names: list[str], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Apply `function(text or None) -> tuple` to whole texts in Arrow batches;
+    the key passes through untouched."""
+    bounded_batches(docs.sparkSession)
+    types = [f.dataType for f in docs.sparkSession.createDataFrame([], schema).schema]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(t) for t in types]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(zip(*map(function, b.column(1).to_pylist()), strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(found, kinds, strict=True))], names=[key, *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.selectExpr(f"`{key}` AS __key", f"`{text}` AS __text").mapInArrow(rows, f"`{key}` {kind}, {schema}")

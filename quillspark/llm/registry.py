@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontamination, html_text, language_id, mixing, secrets, sharding
 
 QUERIES = {
+    "op1_language_id": language_id.query,
+    "op3_html_extraction": html_text.query,
+    "op4_decontamination": decontamination.query,
+    "op5_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op8_sharding": sharding.query,
 }

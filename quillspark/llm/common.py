@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make wide batches.
 BATCH_ROWS = 512
+#: Rows of ids up to which a side of a join is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text hashed at once by a worker.
 CHUNK_BYTES = 1 << 21
 
@@ -55,6 +57,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    """Broadcast a materialised side of a few short columns if its row count
+    allows; otherwise leave it to a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def partitions_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -166,11 +174,18 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPAC
     return np.concatenate(hashes), np.diff(np.searchsorted(where, offsets)).astype(np.int64)
 
 
-def segments(counts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(row, from, to) of each row's words."""
-    to = np.cumsum(counts)
-    for i, (n, end) in enumerate(zip(counts.tolist(), to.tolist(), strict=True)):
-        yield i, end - n, end
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def rolled(h: np.ndarray, m: int) -> np.ndarray:
+    """A hash of every m neighbouring words."""
+    n = len(h) - m + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(m):
+        out = out * _MIX + h[j : j + n]
+    return mixed(out)
 
 
 def from_columns(names: list[str], columns: list) -> pa.RecordBatch:

@@ -37,7 +37,6 @@ EDITS_PER_WORD = 6
 MIN_WORDS = 5
 #: Words of items that a task holds at once.
 ITEM_WORDS = 2_000_000
-_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def myers(pattern_masks: dict[int, int], n: int, words: list[int]) -> list[int]:
@@ -63,17 +62,6 @@ def myers(pattern_masks: dict[int, int], n: int, words: list[int]) -> list[int]:
     return out
 
 
-def rolled(h: np.ndarray, m: int) -> np.ndarray:
-    """A hash of every m neighbouring words."""
-    n = len(h) - m + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(m):
-        out = out * _MIX + h[j : j + n]
-    return common.mixed(out)
-
-
 class Pieces:
     """The pieces of a block of items, by length, and the items' bit masks."""
 
@@ -89,7 +77,7 @@ class Pieces:
             cuts = [len(w) * p // (k + 1) for p in range(k + 2)]
             h = np.array(w, np.uint64)
             for a, b in zip(cuts, cuts[1:], strict=False):
-                self.by_length[b - a][int(rolled(h[a:b], b - a)[0])].append((i, a))
+                self.by_length[b - a][int(common.rolled(h[a:b], b - a)[0])].append((i, a))
         self.sorted = {m: np.sort(np.fromiter(d, np.uint64, len(d))) for m, d in self.by_length.items()}
         self.seen = {}
         for m, keys in self.sorted.items():
@@ -99,7 +87,7 @@ class Pieces:
     def hits(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(position, item, offset of the piece in the item)."""
         for m, keys in self.sorted.items():
-            g = rolled(h, m)
+            g = common.rolled(h, m)
             at = np.flatnonzero(self.seen[m][g >> np.uint64(48)])
             if len(at):
                 x = g[at]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, mixing, secrets, sharding
+from . import decontamination, html_text, jaccard_join, language_id, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
+    "op2_toxicity": toxicity.query,
     "op3_html_extraction": html_text.query,
     "op4_decontamination": decontamination.query,
     "op5_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op8_sharding": sharding.query,
+    "op10_ngram_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
     "op7_source_mixing": mixing.oracle(),

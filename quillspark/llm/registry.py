@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard_join, language_id, mixing, secrets, sharding, toxicity
+from . import decontamination, html_text, jaccard_join, language_id, lm_scoring, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_scan": secrets.query,
     "op7_source_mixing": mixing.query,
     "op8_sharding": sharding.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
 }
 ORACLES = {

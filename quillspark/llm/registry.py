@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, jaccard_join, language_id, lm_scoring, mixing, secrets, sharding, toxicity
+from . import decontamination, html_text, jaccard_join, language_id, lm_scoring, media, mixing, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_html_extraction": html_text.query,
     "op4_decontamination": decontamination.query,
     "op5_secret_scan": secrets.query,
+    "op6_media_fingerprints": media.query,
     "op7_source_mixing": mixing.query,
     "op8_sharding": sharding.query,
     "op9_lm_scoring": lm_scoring.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
+    "op6_media_fingerprints": media.query,
     "op7_source_mixing": mixing.oracle(),
 }

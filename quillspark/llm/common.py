@@ -4,6 +4,7 @@ buffers."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -57,6 +58,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, and not only at
+    the driver's next garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """Broadcast a materialised side of a few short columns if its row count
     allows; otherwise leave it to a shuffled join."""

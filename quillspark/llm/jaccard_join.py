@@ -9,21 +9,29 @@ Candidates come from PartEnum: sets are in size bands whose sizes differ by
 at most the threshold, so that two linked sets share a band tag (each set
 carries its band's and the next one's). Within a tag of greatest size r,
 linked sets differ in at most k = floor(2r * 0.15 / 1.85) shingles. The
-shingle domain is cut by hash into floor(k/2) + 1 partitions: in one of
-them the sets differ by at most one shingle. That partition is cut into
+shingle domain is cut by hash into floor(k/2) + 2 partitions: in two of
+them the sets differ by at most one shingle. Such a partition is cut into
 three; with at most one difference, two of the three are equal. So a set's
 signatures are, for each partition, the three pairs of thirds, and linked
 sets always share one. Bands with k = 0 link equal sets only.
 
+A pair of thirds in which a set has no shingle at all says nothing, and
+sharing it would bring together sets at random, ever more of them as the
+input grows. Its signature is left out unless the set has two partitions
+with such a pair: if linked sets shared empty pairs only, both would have at
+least two, as there are two partitions in which they agree. So no link is
+lost.
+
 Equal sets are collapsed first, and a task passes on the signatures of a set
-once. Sets that share a signature form a bucket; no pairs are made from it.
-In each round a bucket names a leader, the least by a hash drawn for the
-round, and only (leader, member) pairs whose components differ and that were
-not seen before are verified, on the whole texts. Components then merge and
-the next round goes on with the buckets that still hold several components.
-After ROUNDS rounds the remaining pairs between different components are all
-verified, so that no link between components is lost; a pair inside one
-component can't change the answer.
+once. Sets that share a signature form a bucket; no pairs are made from it,
+only a star from its least member. The components of these stars are
+clusters of candidates, and each is verified on the whole texts: a cluster
+of up to BLOCK_SETS sets and BLOCK_BYTES in one group, a larger one in
+blocks of about that size, each pair of blocks in a group of its own. A
+group counts all intersections by a matrix product over the shingles that
+several sets have and hands on a spanning forest of its links, so that its
+output grows with its sets and not with their pairs. The components of all
+forests are the answer.
 
 Defined cases: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; equal texts link; repeated rows are documents of
@@ -47,7 +55,9 @@ from . import common, graph
 WORDS = 4
 NUMERATOR, DENOMINATOR = 85, 100
 THIRDS = 3
-ROUNDS = 6
+#: Sets and bytes of text in a block of a cluster.
+BLOCK_SETS = 256
+BLOCK_BYTES = 8 << 20
 #: Signatures that one task sorts.
 SIGNATURES = 2_000_000
 _KEYS = np.array([0x8CB92BA72F3D8DD7, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -106,19 +116,23 @@ def signatures(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tag = own + step
         high = low[tag] * DENOMINATOR // NUMERATOR
         k = 2 * high * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-        parts = np.where((n > 0) & (k > 0), k // 2 + 1, 0)
+        parts = np.where((n > 0) & (k > 0), k // 2 + 2, 0)
         at = np.cumsum(parts) - parts
         live = parts[owner] > 0
         o = owner[live]
         part = ((spot[live] * parts[o].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         cells = np.zeros((int(parts.sum()), THIRDS), np.uint64)
         np.add.at(cells.reshape(-1), (at[o] + part) * THIRDS + third[live].astype(np.int64), value[live])
+        held = np.zeros((len(cells), THIRDS), bool)
+        held.reshape(-1)[(at[o] + part) * THIRDS + third[live].astype(np.int64)] = True
         row = np.repeat(np.arange(len(n)), parts)
+        hollow = np.bincount(row, held.sum(1) <= 1, len(n)) >= 2
         place = (tag[row].astype(np.uint64) << np.uint64(40)) + (np.arange(len(row)) - at[row]).astype(np.uint64)
         for left in range(THIRDS):
             a, b = (x for x in range(THIRDS) if x != left)
-            rows.append(row)
-            found.append(common.mixed(cells[:, a] * _KEYS[0] + cells[:, b] * _KEYS[1] + common.mixed(place * np.uint64(THIRDS) + np.uint64(left))))
+            says = held[:, a] | held[:, b] | hollow[row]
+            rows.append(row[says])
+            found.append(common.mixed(cells[says, a] * _KEYS[0] + cells[says, b] * _KEYS[1] + common.mixed(place[says] * np.uint64(THIRDS) + np.uint64(left))))
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -135,8 +149,8 @@ def slim_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("th"), F.col(text).alias("__text")).mapInArrow(rows, f"`{key}` {kind}, th long, n_shingles long, cid long")
 
 
-def buckets(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """(bucket, cid) of all buckets with several sets; equal buckets are one."""
+def stars(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """(u, v): for each bucket, its least set with each of the others."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -167,36 +181,60 @@ def buckets(docs: DataFrame, text: str, parts: int) -> DataFrame:
         group = np.cumsum(new) - 1
         size = np.bincount(group, minlength=1) if len(sig) else np.zeros(1, int)
         several = size[group] > 1 if len(sig) else np.zeros(0, bool)
-        group, cid, sig = group[several], cid[several], sig[several]
-        # buckets with equal members have equal names
-        names = np.zeros(len(size), np.uint64)
-        np.add.at(names, group, common.mixed(cid.view(np.uint64)))
-        yield common.from_columns(["bucket", "cid"], [pa.array(names[group].view(np.int64)), pa.array(cid)])
+        group, cid = group[several], cid[several]
+        least = np.zeros(len(size), np.int64)
+        least[group[::-1]] = cid[::-1]  # rows are sorted, so the first of a group is its least
+        u, v = least[group], cid
+        pair = np.unique(np.stack([u, v])[:, u != v], axis=1)
+        yield common.from_columns(["u", "v"], [pa.array(pair[0]), pa.array(pair[1])])
 
     made = docs.select(F.col(text).alias("t")).mapInArrow(signed, "sig long, cid long")
-    return made.repartition(parts, "sig").mapInArrow(shared, "bucket long, cid long").distinct()
-
+    return made.repartition(parts, "sig").mapInArrow(shared, "u long, v long").distinct()
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set ids that link, from the whole texts."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (ga, na), (gb, nb) = shingle_sets(b.column(2)), shingle_sets(b.column(3))
-            ea, eb = np.cumsum(na), np.cumsum(nb)
-            ok = np.zeros(len(na), bool)
-            for i in range(len(na)):
-                x, y = ga[ea[i] - na[i] : ea[i]], gb[eb[i] - nb[i] : eb[i]]
-                if not len(x) or not len(y):
-                    continue
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok[i] = DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
-            keep = pa.array(ok)
-            yield common.from_columns(["u", "v"], [b.column(0).filter(keep), b.column(1).filter(keep)])
-
-    t = texts.select("cid", "text")
-    joined = pairs.join(t.toDF("u", "tu"), "u").join(t.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
-    return joined.mapInArrow(rows, "u long, v long")
+def forest(g: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the sets of a group."""
+    rows = len(n)
+    owner = np.repeat(np.arange(rows), n)
+    _, column, times = np.unique(g, return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    place = np.cumsum(times > 1) - 1
+    owner, column = owner[several], place[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both, width, wide = np.zeros((rows, rows), np.float64), 4096, int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, wide, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        x = np.zeros((rows, width), np.float32)
+        x[owner[lo:hi], column[lo:hi] - at] = 1
+        both += x @ x.T
+    linked = DENOMINATOR * both >= NUMERATOR * (n[:, None] + n[None, :] - both)
+    linked &= (n > 0)[:, None] & (n > 0)[None, :]
+    root, out = np.arange(rows), []
+    for i in range(rows):  # each set joins the components it links with
+        near = np.unique(root[:i][linked[i, :i]])
+        for r in near.tolist():
+            out.append((int(np.flatnonzero((root[:i] == r) & linked[i, :i])[0]), i))
+        if len(near):
+            root[np.isin(root, near)] = i
+            root[i] = i
+    return out
+
+
+def verified(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links that join all linked sets of each cluster."""
+    t = clusters.toDF("cid", "cluster").join(texts, "cid")
+    sizes = t.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    mine = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    spread = t.join(sizes, "cluster").withColumn("mine", mine).select("cluster", "cid", "text", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "text")
+
+    def links(table: pa.Table) -> pa.Table:
+        cid = table.column("cid").to_numpy()
+        found = forest(*shingle_sets(table.column("text")))
+        return pa.table({"u": pa.array([int(cid[a]) for a, _ in found], pa.int64()), "v": pa.array([int(cid[b]) for _, b in found], pa.int64())})
+
+    return spread.groupBy("cluster", "i", "j").applyInArrow(links, "u long, v long")
 
 
 def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str) -> DataFrame:
@@ -204,33 +242,18 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str) -> DataF
     spark = docs.sparkSession
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(common.partitions_for(spark), math.ceil(total * 0.6 / SIGNATURES))
-    held = common.written(buckets(docs, text, parts), "buckets")
-    members = held.select("cid").distinct()
-    first = slim.where("cid IS NOT NULL").join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
-    first = common.checkpointed(first)
+    near = common.written(stars(docs, text, parts), "stars")
+    common.released(spark)
+    found = graph.components(near)
+    clusters = common.checkpointed(found.toDF("cid", "cluster").union(found.select("root", "root").distinct()))
+    first = slim.where("cid IS NOT NULL").join(clusters, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
+    small = common.small_side(common.checkpointed(first))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    small = common.small_side(first)
     texts = rows.join(small, rows["th"].eqNullSafe(small["th"]) & rows["k"].eqNullSafe(small["k"])).select("cid", "text")
-    texts = common.written(texts.dropDuplicates(["cid"]), "texts")
-    links = spark.createDataFrame([], "u long, v long")
-    tried, roots = links, spark.createDataFrame([], "cid long, root long")
-    for step in range(ROUNDS + 1):
-        now = held.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        lead = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(step), "cid").alias("o"), F.col("cid").alias("lead"), F.col("root").alias("its"))).alias("x"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-        if step < ROUNDS:
-            pairs = now.join(lead.select("bucket", "x.lead", "x.its"), "bucket").where("root <> its").select(F.least("cid", "lead").alias("u"), F.greatest("cid", "lead").alias("v"))
-        else:
-            open_ = now.join(lead.select("bucket"), "bucket", "left_semi")
-            pairs = open_.join(open_.toDF("cid2", "bucket", "root2") if open_.columns[0] == "cid" else open_.select(F.col("cid").alias("cid2"), "bucket", F.col("root").alias("root2")), "bucket").where("root < root2").select(F.least("cid", "cid2").alias("u"), F.greatest("cid", "cid2").alias("v"))
-        new = common.checkpointed(pairs.distinct().join(tried, ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            break
-        tried = common.checkpointed(tried.union(new))
-        links = common.checkpointed(verified(new, texts))
-        if not links.isEmpty():
-            # the components so far count as links to their roots
-            roots = graph.components(links.union(roots.toDF("u", "v"))).toDF("cid", "root")
-    return roots
+    doubled = slim.groupBy(key, "th").count().where("count > 1").isEmpty()
+    texts = common.written(texts if doubled else texts.dropDuplicates(["cid"]), "texts")
+    links = common.checkpointed(verified(clusters, texts))
+    return graph.components(links).toDF("cid", "root")
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

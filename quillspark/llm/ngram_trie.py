@@ -60,7 +60,7 @@ class EliasFano:
             packed = np.packbits((low[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") if self.n * width < 1 << 24 else self._packed(low, width)
         unary = np.packbits(bits, bitorder="little")
         self._len = (len(unary), len(packed), len(bits))
-        self._map = mmap.mmap(-1, max(1, len(unary) + len(packed) + 8))
+        self._map = mmap.mmap(-1, len(unary) + len(packed) + 16)
         self._map[: len(unary)] = unary.tobytes()
         self._map[len(unary) : len(unary) + len(packed)] = packed.tobytes()
         self._starts: np.ndarray | None = None
@@ -88,16 +88,13 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(at), np.uint64)
         first = at.astype(np.int64) * self.low_bits
-        data = np.frombuffer(self._map, np.uint8, self._len[1] + 8, self._len[0])
-        byte = first >> 3
-        word = np.zeros(len(at), np.uint64)
-        for i in range(8):
-            word |= data[byte + i].astype(np.uint64) << np.uint64(8 * i)
-        shift = (first & 7).astype(np.uint64)
-        out = word >> shift
+        # every byte offset as the start of a 64-bit word
+        words = np.ndarray((self._len[1] + 1,), "<u8", self._map, self._len[0], (1,))
+        byte, shift = first >> 3, (first & 7).astype(np.uint64)
+        out = words[byte] >> shift
         if self.low_bits > 56:
-            more = data[byte + 8 - (byte + 8 >= len(data))].astype(np.uint64)
-            out |= np.where(shift > 0, more << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+            data = np.frombuffer(self._map, np.uint8, self._len[1] + 9, self._len[0])
+            out |= np.where(shift > 0, data[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return out & np.uint64((1 << self.low_bits) - 1)
 
     def seek(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +105,17 @@ class EliasFano:
         low = x & np.uint64((1 << self.low_bits) - 1)
         last = len(starts) - 1
         at = starts[np.minimum(high, last)].copy()
-        to = starts[np.minimum(high + 1, last)]
-        found = np.zeros(len(x), bool)
+        end = starts[np.minimum(high + 1, last)]
+        to = end.copy()
         todo = np.flatnonzero(at < to)
-        while len(todo):
-            mine = self.low(at[todo])
-            found[todo] = mine == low[todo]
-            todo = todo[mine < low[todo]]
-            at[todo] += 1
+        while len(todo):  # halve the entries of a high part: frequent contexts have many
+            mid = (at[todo] + to[todo]) >> 1
+            less = self.low(mid) < low[todo]
+            at[todo[less]], to[todo[~less]] = mid[less] + 1, mid[~less]
             todo = todo[at[todo] < to[todo]]
+        found = np.zeros(len(x), bool)
+        here = np.flatnonzero(at < end)
+        found[here] = self.low(at[here]) == low[here]
         return at, found
 
     def get(self, at: np.ndarray) -> np.ndarray:

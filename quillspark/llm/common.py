@@ -71,6 +71,22 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+class Stepwise:
+    """Keeps the table of an iteration as Parquet in the shared folder; each
+    step's table replaces the one before, whose files are deleted."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.step = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.step += 1
+        df.write.parquet(f"{self.root}/{self.step}")
+        if self.step > 1:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.step - 1}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.step}")
+
+
 def partitions_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -24,10 +24,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (u, v) that isn't the least of
     its component; root is the least."""
-    edges = common.checkpointed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    kept = common.Stepwise(links.sparkSession, "edges")
+    edges = kept(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
-        edges = common.checkpointed(_small_star(_large_star(edges)))
+        edges = kept(_small_star(_large_star(edges)))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.toDF("node", "root")

@@ -245,20 +245,19 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str) -> DataF
     near = common.written(stars(docs, text, parts), "stars")
     common.released(spark)
     found = graph.components(near)
-    clusters = common.checkpointed(found.toDF("cid", "cluster").union(found.select("root", "root").distinct()))
+    clusters = common.written(found.toDF("cid", "cluster").union(found.select("root", "root").distinct()), "clusters")
     first = slim.where("cid IS NOT NULL").join(clusters, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
     small = common.small_side(common.checkpointed(first))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     texts = rows.join(small, rows["th"].eqNullSafe(small["th"]) & rows["k"].eqNullSafe(small["k"])).select("cid", "text")
     doubled = slim.groupBy(key, "th").count().where("count > 1").isEmpty()
     texts = common.written(texts if doubled else texts.dropDuplicates(["cid"]), "texts")
-    links = common.checkpointed(verified(clusters, texts))
-    return graph.components(links).toDF("cid", "root")
+    return graph.components(verified(clusters, texts)).toDF("cid", "root")
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, th, n_shingles, component_id) of every row."""
-    slim = common.checkpointed(slim_table(docs, key, text))
+    slim = common.written(slim_table(docs, key, text), "sets")
     roots = linked_roots(docs, slim, key, text)
     placed = slim.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     # a component is its root's; rows without a set have none

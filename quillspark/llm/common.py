@@ -5,6 +5,7 @@ buffers."""
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -60,9 +61,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now, and not only at
-    the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    the driver's next garbage collection. The first round frees the plans,
+    the second what they held on to."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small_side(df: DataFrame) -> DataFrame:

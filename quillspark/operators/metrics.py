@@ -37,6 +37,15 @@ def section_hit(expected: Column) -> Column:
     return (s != "") & F.exists(expected, lambda e: F.contains(s, e) | F.contains(e, s))
 
 
+def _crossing(pages: Column) -> Column:
+    """How many rows have a text that stands on another page too."""
+    return F.size(F.filter(pages, lambda x: (x["t"] != "") & F.exists(pages, lambda y: (y["t"] == x["t"]) & (y["p"] != x["p"]))))
+
+
+def _met(terms: Column, found: Column) -> Column:
+    return F.size(F.filter(terms, lambda t: F.array_contains(found, t)))
+
+
 def by_case(hits: DataFrame, cases: DataFrame, top_k: int = 5, keys: tuple[str, ...] = ("case_id", "mode")) -> DataFrame:
     """One row of metrics for each case (and mode).
 
@@ -60,15 +69,16 @@ def by_case(hits: DataFrame, cases: DataFrame, top_k: int = 5, keys: tuple[str,
 
         n = F.count(F.when(top, 1))
         terms = F.first("must_contain_terms")
-        found = F.size(F.array_intersect(terms, F.array_distinct(F.flatten(F.collect_list(F.when(top, F.col("__terms")))))))
+        met = F.flatten(F.collect_list(F.when(top, F.col("__terms"))))
+        found = F.size(F.array_intersect(terms, F.array_distinct(met)))
         unique_terms = F.size(terms)
         pages = F.collect_list(F.when(top, F.struct(F.col("__key").alias("t"), F.coalesce("page", F.lit(-1)).alias("p"))))
-        crossing = F.size(F.filter(pages, lambda x, pages=pages: (x["t"] != "") & F.exists(pages, lambda y: (y["t"] == x["t"]) & (y["p"] != x["p"]))))
+        crossing = _crossing(pages)
         aggs += [
             any_("__page", "expected_pages", "page_hit"), any_("__sec", "expected_sections", "expected_section_hit"),
             F.when(F.max(F.size(wanted)) > 0, F.max(F.when(top, F.col("__acc")))).alias(f"acceptable_section_hit@{k}"), any_("__type", "expected_content_types", "content_type_hit"),
             F.when(unique_terms > 0, found > 0).alias(f"any_term_hit@{k}"), F.when(unique_terms > 0, found == F.size(F.array_distinct(terms))).alias(f"all_terms_hit@{k}"),
-            F.when(unique_terms > 0, F.size(F.filter(terms, lambda t, top=top: F.array_contains(F.flatten(F.collect_list(F.when(top, F.col("__terms")))), t))) / unique_terms).alias(f"term_coverage_ratio@{k}"),
+            F.when(unique_terms > 0, _met(terms, met) / unique_terms).alias(f"term_coverage_ratio@{k}"),
             any_("__e", None, "evidence_hit"), F.coalesce(F.avg(F.when(top, F.col("__bad").cast("double"))), F.lit(0.0)).alias(f"noise_rate@{k}"),
             ((n - F.countDistinct(F.when(top, F.col("chunk_id")))) / n).alias(f"duplicate_chunk_id_rate@{k}"),
             ((n - F.countDistinct(F.when(top, F.struct("source_file", F.coalesce("page", F.lit(-1)), "__key")))) / n).alias(f"same_page_duplicate_rate@{k}"),

@@ -1,9 +1,10 @@
 """Registered queries over the test tables, each beside its DuckDB SQL.
 
 `documents` serves as the chunk table (chunk_id = doc_id, section = source,
-chapter = lang, page = doc_id div 10), the first twelve words of `benchmark`
-as questions, `embeddings` as vectors (the first ten as queries), `labels`
-as gold, and `conversations` as ordered chunks and as answers.
+chapter = lang, page = doc_id div 10), the whole texts of `benchmark` as
+questions, `embeddings` as vectors (queries are those whose id is divisible
+by 50, and in the hybrid those of all questions), `labels` as gold, and
+`conversations` as ordered chunks and as answers.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("question"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 # --------------------------------------------------------------- SQL pieces
@@ -195,24 +196,33 @@ def bm25_topk(spark, sf):
     return _sparse(spark, sf).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), _r("score"), _r("penalised"), _r("coverage_ratio"))
 
 
-def _dense(spark, sf, k=10):
+def _asked_vectors(v):
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _question_vectors(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    return v.join(questions(spark, sf), "query_id", "left_semi")
+
+
+def _dense(spark, sf, asked, k=10):
     v = table(spark, sf, "embeddings")
-    return dense.search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), k)
+    return dense.search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k)
 
 
 @query("dense_topk", f"WITH {DENSE_SQL} SELECT query_id, chunk_id, pos, round(score, 6) AS score, round(1 - score, 6) AS distance FROM dense")
 def dense_topk(spark, sf):
-    return _dense(spark, sf).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), _r("score"), _r("distance"))
+    return _dense(spark, sf, _asked_vectors(table(spark, sf, "embeddings"))).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), _r("score"), _r("distance"))
 
 
 @query("dense_lsh_topk")
 def dense_lsh_topk(spark, sf):
     v = table(spark, sf, "embeddings")
-    return dense.lsh_search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), 10).select("query_id", "chunk_id", "pos", _r("score"))
+    return dense.lsh_search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), _asked_vectors(v), 10).select("query_id", "chunk_id", "pos", _r("score"))
 
 
 def _hybrid(spark, sf):
-    return fusion.rrf(_dense(spark, sf), _sparse(spark, sf), top=10)
+    return fusion.rrf(_dense(spark, sf, _question_vectors(spark, sf)), _sparse(spark, sf), top=10)
 
 
 @query("rrf_fusion", f"WITH {_topk_sql(10)}, {DENSE_SQL}, {FUSED_SQL} SELECT query_id, chunk_id, pos, round(rrf, 9) AS rrf_score, dense_rank::BIGINT AS dense_rank, bm25_rank::BIGINT AS bm25_rank, retrieval_source FROM fused WHERE pos <= 10")
@@ -413,7 +423,7 @@ def _cases(spark, sf):
 
 def _ranked_modes(spark, sf):
     """The top five of each mode, with their chunks."""
-    s, d = _sparse(spark, sf), _dense(spark, sf)
+    s, d = _sparse(spark, sf), _dense(spark, sf, _question_vectors(spark, sf))
     f = fusion.rrf(d, s, top=10)
     rows = s.select("query_id", "chunk_id", "pos", F.lit("bm25").alias("mode")).unionByName(d.select("query_id", "chunk_id", "pos", F.lit("dense").alias("mode"))).unionByName(f.select("query_id", "chunk_id", "pos", F.lit("hybrid").alias("mode")))
     rows = rows.where("pos <= 5").join(typed_chunks(spark, sf).drop("source_file"), "chunk_id")

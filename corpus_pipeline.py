@@ -20,8 +20,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document by id of every group of near duplicates."""
-    return jaccard_join.one_of_each(docs)
+    """Keep the first document by id of every group of near duplicates, by
+    shingles of five words and a similarity of 0.8 or more."""
+    return jaccard_join.one_of_each(docs, measure=jaccard_join.PIPELINE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

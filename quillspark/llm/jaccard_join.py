@@ -1,14 +1,16 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-A document's set holds its distinct 4-word shingles (words
-`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) by 64-bit hash; with one to three
-words, the whole sequence is its one shingle. Two sets link when their
-Jaccard similarity is at least 85/100, reckoned in whole numbers.
+A document's set holds its distinct shingles of so many words (words
+`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased) by 64-bit hash; with fewer words, the
+whole sequence is its one shingle. Two sets link when their Jaccard
+similarity is at least the threshold, reckoned in whole numbers. A `Measure`
+holds both: 4 words and 85/100 for op10, 5 words and 80/100 for the stage of
+the pipeline.
 
 Candidates come from PartEnum: sets are in size bands whose sizes differ by
 at most the threshold, so that two linked sets share a band tag (each set
 carries its band's and the next one's). Within a tag of greatest size r,
-linked sets differ in at most k = floor(2r * 0.15 / 1.85) shingles. The
+linked sets differ in at most k = floor(2r * (1 - t) / (1 + t)) shingles, t being the threshold. The
 shingle domain is cut by hash into floor(k/2) + 2 partitions: in two of
 them the sets differ by at most one shingle. Such a partition is cut into
 three; with at most one difference, two of the three are equal. So a set's
@@ -44,6 +46,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +55,6 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-WORDS = 4
-NUMERATOR, DENOMINATOR = 85, 100
 THIRDS = 3
 #: Sets and bytes of text in a block of a cluster.
 BLOCK_SETS = 256
@@ -63,17 +64,29 @@ SIGNATURES = 2_000_000
 _KEYS = np.array([0x8CB92BA72F3D8DD7, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+class Measure(NamedTuple):
+    """Words of a shingle, and the threshold as a fraction."""
+
+    words: int = 4
+    numerator: int = 85
+    denominator: int = 100
+
+
+OP10 = Measure()
+PIPELINE = Measure(5, 80, 100)
+
+
+def shingle_sets(column: pa.Array, words: int = OP10.words) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of every row, sorted, and each row's number."""
     raw, offsets = common.text_buffers(column)
     h, n = common.word_hashes(raw, offsets)
     rows = len(n)
     starts = np.cumsum(n) - n
     row = np.repeat(np.arange(rows), n)
-    g = common.rolled(h, WORDS)
-    inside = row[: len(g)] == row[WORDS - 1 :] if len(g) else np.zeros(0, bool)
+    g = common.rolled(h, words)
+    inside = row[: len(g)] == row[words - 1 :] if len(g) else np.zeros(0, bool)
     g, owner = g[inside], row[: len(g)][inside]
-    for m in range(1, WORDS):
+    for m in range(1, words):
         short = np.flatnonzero(n == m)
         if len(short):
             part = np.zeros(len(short), np.uint64)
@@ -94,28 +107,28 @@ def set_ids(g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (common.mixed((sums[to] - sums[to - n]) + n.astype(np.uint64) * _KEYS[1]) >> np.uint64(1)).astype(np.int64)
 
 
-def bands(most: int) -> np.ndarray:
+def bands(most: int, measure: Measure = OP10) -> np.ndarray:
     """Least sizes of the bands, up to one beyond size `most`."""
     out = [1]
     while out[-1] <= most:
-        out.append(out[-1] * DENOMINATOR // NUMERATOR + 1)
-    out.append(out[-1] * DENOMINATOR // NUMERATOR + 1)
+        out.append(out[-1] * measure.denominator // measure.numerator + 1)
+    out.append(out[-1] * measure.denominator // measure.numerator + 1)
     return np.array(out, np.int64)
 
 
-def signatures(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of every set."""
     if not len(g):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = bands(int(n.max()))
+    low = bands(int(n.max()), measure)
     own = np.searchsorted(low, n, side="right") - 1
     owner = np.repeat(np.arange(len(n)), n)
     spot, third, value = g >> np.uint64(32), common.mixed(g + _KEYS[2]) % np.uint64(THIRDS), common.mixed(g + _KEYS[1])
     rows, found = [], []
     for step in (0, 1):
         tag = own + step
-        high = low[tag] * DENOMINATOR // NUMERATOR
-        k = 2 * high * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+        high = low[tag] * measure.denominator // measure.numerator
+        k = 2 * high * (measure.denominator - measure.numerator) // (measure.denominator + measure.numerator)
         parts = np.where((n > 0) & (k > 0), k // 2 + 2, 0)
         at = np.cumsum(parts) - parts
         live = parts[owner] > 0
@@ -136,33 +149,33 @@ def signatures(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def slim_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+def slim_table(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(key, th, n_shingles, cid): cid names the set, null if empty."""
     common.bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, n = shingle_sets(b.column(2))
+            g, n = shingle_sets(b.column(2), measure.words)
             yield common.from_columns([key, "th", "n_shingles", "cid"], [b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(set_ids(g, n), mask=n == 0)])
 
     return docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("th"), F.col(text).alias("__text")).mapInArrow(rows, f"`{key}` {kind}, th long, n_shingles long, cid long")
 
 
-def stars(docs: DataFrame, text: str, parts: int) -> DataFrame:
+def stars(docs: DataFrame, text: str, parts: int, measure: Measure) -> DataFrame:
     """(u, v): for each bucket, its least set with each of the others."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
         for b in batches:
-            g, n = shingle_sets(b.column(0))
+            g, n = shingle_sets(b.column(0), measure.words)
             cid = set_ids(g, n)
             new = np.zeros(len(n), bool)
             for i, c in enumerate(cid.tolist()):
                 if n[i] and c not in passed:
                     passed.add(c)
                     new[i] = True
-            row, sig = signatures(g[np.repeat(new, n)], np.where(new, n, 0))
+            row, sig = signatures(g[np.repeat(new, n)], np.where(new, n, 0), measure)
             yield common.from_columns(["sig", "cid"], [pa.array(sig.view(np.int64)), pa.array(cid[row])])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +205,7 @@ def stars(docs: DataFrame, text: str, parts: int) -> DataFrame:
     return made.repartition(parts, "sig").mapInArrow(shared, "u long, v long").distinct()
 
 
-def forest(g: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+def forest(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets of a group."""
     rows = len(n)
     owner = np.repeat(np.arange(rows), n)
@@ -208,7 +221,7 @@ def forest(g: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
         x = np.zeros((rows, width), np.float32)
         x[owner[lo:hi], column[lo:hi] - at] = 1
         both += x @ x.T
-    linked = DENOMINATOR * both >= NUMERATOR * (n[:, None] + n[None, :] - both)
+    linked = measure.denominator * both >= measure.numerator * (n[:, None] + n[None, :] - both)
     linked &= (n > 0)[:, None] & (n > 0)[None, :]
     root, out = np.arange(rows), []
     for i in range(rows):  # each set joins the components it links with
@@ -221,7 +234,7 @@ def forest(g: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def verified(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(clusters: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """(u, v): links that join all linked sets of each cluster."""
     t = clusters.toDF("cid", "cluster").join(texts, "cid")
     sizes = t.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
@@ -231,18 +244,18 @@ def verified(clusters: DataFrame, texts: DataFrame) -> DataFrame:
 
     def links(table: pa.Table) -> pa.Table:
         cid = table.column("cid").to_numpy()
-        found = forest(*shingle_sets(table.column("text")))
+        found = forest(*shingle_sets(table.column("text"), measure.words), measure)
         return pa.table({"u": pa.array([int(cid[a]) for a, _ in found], pa.int64()), "v": pa.array([int(cid[b]) for _, b in found], pa.int64())})
 
     return spread.groupBy("cluster", "i", "j").applyInArrow(links, "u long, v long")
 
 
-def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str) -> DataFrame:
+def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(cid, root): the component of every set that links with another one."""
     spark = docs.sparkSession
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(common.partitions_for(spark), math.ceil(total * 0.6 / SIGNATURES))
-    near = common.written(stars(docs, text, parts), "stars")
+    near = common.written(stars(docs, text, parts, measure), "stars")
     common.released(spark)
     found = graph.components(near)
     clusters = common.written(found.toDF("cid", "cluster").union(found.select("root", "root").distinct()), "clusters")
@@ -253,13 +266,13 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str) -> DataF
     texts = rows.join(small, rows["th"].eqNullSafe(small["th"]) & rows["k"].eqNullSafe(small["k"])).select("cid", "text")
     doubled = slim.groupBy(key, "th").count().where("count > 1").isEmpty()
     texts = common.written(texts if doubled else texts.dropDuplicates(["cid"]), "texts")
-    return graph.components(verified(clusters, texts)).toDF("cid", "root")
+    return graph.components(verified(clusters, texts, measure)).toDF("cid", "root")
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
     """(key, th, n_shingles, component_id) of every row."""
-    slim = common.written(slim_table(docs, key, text), "sets")
-    roots = linked_roots(docs, slim, key, text)
+    slim = common.written(slim_table(docs, key, text, measure), "sets")
+    roots = linked_roots(docs, slim, key, text, measure)
     placed = slim.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     # a component is its root's; rows without a set have none
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("__least"))
@@ -267,10 +280,10 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.select(key, "th", "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("__least")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
     """`docs` less all but one document of each component: that with the
     least id (of rows with that id, any one). Empty texts stay."""
-    found = common.checkpointed(joined(docs, key, text))
+    found = common.checkpointed(joined(docs, key, text, measure))
     gone = common.checkpointed(found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k"), F.col("th").alias("__th")).distinct())
     small = common.small_side(gone)
     kept = docs.join(small, docs[key].eqNullSafe(small["__k"]) & (F.xxhash64(docs[text]) == small["__th"]), "left_anti")
@@ -284,4 +297,4 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(common.table(spark, sf_dir, "documents")).drop("th")
+    return joined(common.table(spark, sf_dir, "documents"), measure=OP10).drop("th")

@@ -167,9 +167,12 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents in which no item is found, with all their columns."""
-    found = common.checkpointed(matches(docs, items, key).select(F.col(key).alias("__hit")).where("__hit IS NOT NULL").distinct())
-    return docs.join(found, docs[key] == found["__hit"], "left_anti")
+    """The documents in which no item is found, with all their columns. A
+    document is known by its id, which may be null, and its text."""
+    row = F.struct(F.col(key).alias("k"), F.xxhash64("text").alias("th"))
+    found = matches(docs.select(row.alias("__row"), "text"), items, "__row").select(F.col("__row.k").alias("__hit"), F.col("__row.th").alias("__th"))
+    found = common.checkpointed(found.distinct())
+    return docs.join(found, docs[key].eqNullSafe(found["__hit"]) & (F.xxhash64(docs["text"]) == found["__th"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

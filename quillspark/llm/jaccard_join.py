@@ -269,31 +269,45 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure:
     return graph.components(verified(clusters, texts, measure)).toDF("cid", "root")
 
 
-def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
-    """(key, th, n_shingles, component_id) of every row."""
+def placed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
+    """(key, th, n_shingles, cid, root) of every row; root names the
+    component and is null for an empty set."""
     slim = common.written(slim_table(docs, key, text, measure), "sets")
     roots = linked_roots(docs, slim, key, text, measure)
-    placed = slim.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    return slim.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+
+def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
+    """(key, th, n_shingles, component_id) of every row."""
+    rows = placed(docs, key, text, measure)
     # a component is its root's; rows without a set have none
-    least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("__least"))
-    out = placed.join(least, "root", "left")
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("__least"))
+    out = rows.join(least, "root", "left")
     return out.select(key, "th", "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("__least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
-    """`docs` less all but one document of each component: that with the
-    least id (of rows with that id, any one). Empty texts stay."""
-    found = common.checkpointed(joined(docs, key, text, measure))
-    gone = common.checkpointed(found.where(F.col("component_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__k"), F.col("th").alias("__th")).distinct())
-    small = common.small_side(gone)
-    kept = docs.join(small, docs[key].eqNullSafe(small["__k"]) & (F.xxhash64(docs[text]) == small["__th"]), "left_anti")
-    doubled = found.where(F.col(key).eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).groupBy(key).count().where("count > 1")
+    """`docs` less all but one row of each component: one with the least id
+    (null ids last; of several texts under that id, any one). Empty texts
+    stay."""
+    found = common.checkpointed(placed(docs, key, text, measure).where("root IS NOT NULL").select(F.col(key).alias("__k"), F.col("th").alias("__th"), "root"))
+    # a row is known by id and text, so rows that agree in both are of one component
+    first = F.min(F.struct(F.col("__k").isNull().alias("none"), F.col("__k").alias("k"), F.col("__th").alias("th"))).alias("x")
+    several = common.checkpointed(found.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "x"))
+    members = found.join(common.small_side(several), "root")
+    mine = F.col("__k").eqNullSafe(F.col("x.k")) & (F.col("__th") == F.col("x.th"))
+
+    def those(df: DataFrame, few: DataFrame, how: str) -> DataFrame:
+        return df.join(few, df[key].eqNullSafe(few["__k"]) & (F.xxhash64(df[text]) == few["__th"]), how)
+
+    gone = common.checkpointed(members.where(~mine).select("__k", "__th").distinct())
+    kept = those(docs, common.small_side(gone), "left_anti")
+    doubled = common.checkpointed(members.where(mine).groupBy("__k", "__th").count().where("count > 1").select("__k", "__th"))
     if doubled.isEmpty():
         return kept
-    twice = common.small_side(common.checkpointed(doubled.select(F.col(key).alias("__k"))))
-    rest = kept.join(twice, kept[key].eqNullSafe(twice["__k"]), "left_anti")
-    some = kept.join(twice, kept[key].eqNullSafe(twice["__k"]), "left_semi")
-    return rest.unionByName(some.dropDuplicates([key]))
+    twice = common.small_side(doubled)
+    some = those(kept, twice, "left_semi").withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"]).drop("__text")
+    return those(kept, twice, "left_anti").unionByName(some)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

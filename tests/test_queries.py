@@ -32,3 +32,10 @@ def test_every_dense_query_and_whole_questions(spark, sf):
     assert {r.query_id for r in fused if r.dense_rank is not None} == set(range(14))
     # only the last words of a question stand in documents
     assert {r.query_id for r in fused if r.bm25_rank is not None} == set(range(14))
+
+
+def test_lsh_query_recalls_nine_tenths_of_the_real_neighbours(spark):
+    sf = "/root/testdata/sf0.1"
+    best = {(r.query_id, r.chunk_id) for r in queries.dense_topk(spark, sf).collect()}
+    near = {(r.query_id, r.chunk_id) for r in queries.dense_lsh_topk(spark, sf).collect()}
+    assert len(best) == 400 and len(near & best) >= 0.9 * len(best)

@@ -17,6 +17,5 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
-    "op6_media_fingerprints": media.query,
     "op7_source_mixing": mixing.oracle(),
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,10 @@ SCORES = ("groundedness", "correctness", "completeness", "condition_handling", "
 # Where a failed answer went wrong, and the labels of cases.
 LAYERS = ("NONE", "RETRIEVAL", "CONTEXT_SELECTION", "GENERATION", "BENCHMARK", "EVALUATOR", "MIXED", "UNCERTAIN")
 CATEGORIES = ("alarm", "explanation", "location", "maintenance", "parameter", "procedure", "warning")
+#: Characters of a needle's beginning that are looked up by hash, and characters of needles that a task holds at once.
+ANCHOR = 16
+NEEDLES = 4_000_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ------------------------------------------------------------------ answers
@@ -100,35 +108,121 @@ def ensure_valid(issues: DataFrame, first: int = 20) -> None:
         raise ValueError("gold data do not match the index:\n" + "\n".join(f"{r.case_id}: {r.issue_type} {r.field}: expected {r.expected}, found {r.actual}" for r in rows))
 
 
+def _windows(text: str, widths: list[int]) -> dict[int, np.ndarray]:
+    """A hash of every window of so many characters (powers of two)."""
+    h, width, out = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1, {}
+    while len(h):
+        if width in widths:
+            out[width] = h * _SPREAD
+        if width >= widths[-1]:
+            break
+        h = (h[:-width] * (_SPREAD + np.uint64(2 * width))) ^ (h[width:] + (h[width:] >> np.uint64(29)))
+        width *= 2
+    return out
+
+
+def _anchors(needles: list[str]) -> dict[int, tuple[np.ndarray, list[list[str]]]]:
+    """For each width, the hashes of the needles' beginnings, sorted, and the
+    needles of each; a needle's width is the greatest that it fills."""
+    by: dict[int, dict[int, list[str]]] = {}
+    for x in needles:
+        width = min(ANCHOR, 1 << (len(x).bit_length() - 1))
+        by.setdefault(width, {}).setdefault(int(_windows(x[:width], [width])[width][0]), []).append(x)
+    return {w: (np.array(sorted(d), np.uint64), [d[h] for h in sorted(d)]) for w, d in sorted(by.items())}
+
+
+def containing(needles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(needle, new_id, new_page) of the chunks whose new_flat contains a
+    needle. The distinct needles go to the tasks in blocks of NEEDLES
+    characters; windows of a chunk that hash like a needle's beginning are
+    compared with the needle."""
+    spark, out, block, held = chunks.sparkSession, None, [], 0
+    c = chunks.select("new_id", "new_page", "new_flat")
+    kinds = f"needle string, new_id {c.schema['new_id'].dataType.simpleString()}, new_page {c.schema['new_page'].dataType.simpleString()}"
+
+    def found(block: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            anchors = _anchors(shared.value)
+            widths = list(anchors)
+            for b in batches:
+                row, hit = [], []
+                for r, text in enumerate(b.column(2).to_pylist()):
+                    mine: set[str] = set()
+                    for width, h in _windows(text or "", widths).items() if widths else ():
+                        keys, held = anchors[width]
+                        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        for p in np.flatnonzero(keys[at] == h).tolist():
+                            mine.update(x for x in held[at[p]] if x not in mine and text.startswith(x, p))
+                    row += [r] * len(mine)
+                    hit += sorted(mine)
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.string()), b.column(0).take(at), b.column(1).take(at)], names=["needle", "new_id", "new_page"])
+
+        return c.mapInArrow(rows, kinds)
+
+    for r in needles.where("needle <> ''").distinct().toLocalIterator():
+        block.append(r[0])
+        held += len(r[0])
+        if held >= NEEDLES:
+            out, block, held = found(block) if out is None else out.unionByName(found(block)), [], 0
+    if block:
+        out = found(block) if out is None else out.unionByName(found(block))
+    return spark.createDataFrame([], kinds) if out is None else out
+
+
 def candidates(evidence: DataFrame, chunks: DataFrame, enough: float = 0.5) -> DataFrame:
     """Current chunks for old evidence by a ladder of methods: the same id,
     the exact quote, a phrase of it, the page with enough of the terms. The
-    first method that finds any is used.
+    first method that finds any is used, and only evidence without a chunk
+    goes on to the next. Ids and pages are equi-joins, quotes and phrases are
+    looked up in blocks, so neither side has a limit. Chunk ids are unique."""
+    return _ladder(evidence, chunks, enough, False).drop("n")
 
-    `evidence` is a gold set (tens to thousands of rows): it is broadcast
-    behind that check, as containment is no equi-join; a larger one is
-    matched in blocks by the caller."""
-    if evidence.count() > 50_000:
-        raise ValueError("match gold evidence in blocks of at most 50,000 rows")
+
+def counted_candidates(evidence: DataFrame, chunks: DataFrame, enough: float = 0.5) -> DataFrame:
+    """`candidates` for `audit`: of the chunks with a quote, only their number
+    n and the least id and page, so that rows don't grow with the square of a
+    group of equal quotes."""
+    return _ladder(evidence, chunks, enough, True)
+
+
+def _ladder(evidence: DataFrame, chunks: DataFrame, enough: float, counted: bool) -> DataFrame:
     quote = T.compact(F.coalesce("quote", F.lit("")))
     phrases = F.filter(F.split(F.coalesce("quote", F.lit("")), "[。；;！!？?\n\r■□]"), lambda p: F.length(T.squeeze(p)) >= 10)
-    e = evidence.withColumns({"__q": quote, "__p": F.transform(phrases, T.compact)})
+    left = evidence.withColumns({"__q": quote, "__p": F.transform(phrases, T.compact)})
     c = chunks.select(F.col("chunk_id").alias("new_id"), F.col("page").alias("new_page"), F.col("text").alias("new_text"), T.compact(F.col("text")).alias("new_flat"))
-    flat = F.col("new_flat")
     share = F.when(F.size("terms") > 0, F.size(T.contained(F.col("terms"), F.col("new_text"))) / F.size("terms")).otherwise(0.0)
-    rank = (
-        F.when(F.col("chunk_id") == F.col("new_id"), 1).when((F.col("__q") != "") & F.contains(flat, F.col("__q")), 2)
-        .when(F.exists("__p", lambda p: F.contains(flat, p)), 3).when((F.col("page") == F.col("new_page")) & (share >= enough), 4)
-    )
-    found = c.join(F.broadcast(e), rank.isNotNull()).withColumn("rank", rank)
-    best = Window.partitionBy("case_id", "evidence_no")
-    names = F.element_at(F.array(*map(F.lit, ("existing_chunk_id", "exact_quote", "phrase", "page_terms"))), F.col("rank"))
-    return found.withColumn("__least", F.min("rank").over(best)).where("rank = __least").select("case_id", "evidence_no", F.col("chunk_id").alias("old_id"), "new_id", "new_page", names.alias("match_method"))
+    one = F.lit(1).cast("long").alias("n")
+    named = ["case_id", "evidence_no", F.col("chunk_id").alias("old_id"), "new_id", "new_page"]
+
+    def by_text(e: DataFrame, needles: Column) -> DataFrame:
+        e = e.select("case_id", "evidence_no", "chunk_id", needles.alias("__needles"))
+        n = e.select("__needles").distinct().withColumn("needle", F.explode("__needles"))
+        found = n.join(containing(n.select("needle"), c), "needle").select("__needles", "new_id", "new_page").distinct().withColumn("n", one)
+        if counted:
+            found = found.groupBy("__needles").agg(F.min("new_id").alias("new_id"), F.min("new_page").alias("new_page"), F.count(F.lit(1)).alias("n"))
+        return e.join(found, "__needles").select(*named, "n")
+
+    steps = [
+        ("existing_chunk_id", lambda e: e.join(c.select("new_id", "new_page"), e["chunk_id"] == F.col("new_id")).select(*named, one)), ("exact_quote", lambda e: by_text(e, F.array("__q"))),
+        ("phrase", lambda e: by_text(e, F.col("__p"))), ("page_terms", lambda e: e.join(c, e["page"] == F.col("new_page")).where(share >= enough).select(*named, one)),
+    ]
+    out = None
+    for name, step in steps:
+        found = step(left).withColumn("match_method", F.lit(name)).persist()
+        done = found.select(F.col("case_id").alias("__case"), F.col("evidence_no").alias("__no")).distinct()
+        left = left.join(done, left["case_id"].eqNullSafe(done["__case"]) & left["evidence_no"].eqNullSafe(done["__no"]), "left_anti").persist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def audit(evidence: DataFrame, found: DataFrame) -> DataFrame:
-    """(case_id, classification, confidence, needs_review) of each case."""
-    per = evidence.select("case_id", "evidence_no", "chunk_id", "page").join(found.groupBy("case_id", "evidence_no").agg(F.count(F.lit(1)).alias("n"), F.min("new_id").alias("new_id"), F.min("new_page").alias("new_page"), F.min("match_method").alias("how")), ["case_id", "evidence_no"], "left")
+    """(case_id, classification, confidence, needs_review) of each case, from
+    `candidates` or `counted_candidates`."""
+    n = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
+    per = evidence.select("case_id", "evidence_no", "chunk_id", "page").join(found.groupBy("case_id", "evidence_no").agg(n.alias("n"), F.min("new_id").alias("new_id"), F.min("new_page").alias("new_page"), F.min("match_method").alias("how")), ["case_id", "evidence_no"], "left")
     by = per.groupBy("case_id").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.max(F.coalesce("n", F.lit(0))).alias("most"), F.array_sort(F.collect_set("chunk_id")).alias("old"), F.array_sort(F.collect_set("new_id")).alias("new"),
         F.max((F.col("page").isNotNull() & ~F.col("page").eqNullSafe(F.col("new_page"))).cast("int")).alias("moved"), F.collect_set("how").alias("how"),

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from quillspark.plans import queries
+from quillspark.operators import evaluation
+from quillspark.plans import catalog, queries
 
 N = 120
 
@@ -39,3 +40,27 @@ def test_lsh_query_recalls_nine_tenths_of_the_real_neighbours(spark):
     best = {(r.query_id, r.chunk_id) for r in queries.dense_topk(spark, sf).collect()}
     near = {(r.query_id, r.chunk_id) for r in queries.dense_lsh_topk(spark, sf).collect()}
     assert len(best) == 400 and len(near & best) >= 0.9 * len(best)
+
+
+def test_audit_takes_all_labels(spark):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("labels", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    whole = con.execute(catalog.ORACLES["audit_classify"].replace(" WHERE d.doc_id < 200", "")).fetchall()
+    got = [tuple(r) for r in queries.audit_classify(spark, sf).collect()]
+    assert len(got) == con.execute("SELECT count(*) FROM labels JOIN documents USING (doc_id)").fetchone()[0]
+    assert sorted(got) == sorted(whole)
+
+
+@pytest.mark.parametrize("size", [4_000_000, 1])
+def test_candidates_by_each_method(spark, monkeypatch, size):
+    monkeypatch.setattr(evaluation, "NEEDLES", size)
+    chunks = [(1, 1, "the quick brown fox jumps over the lazy dog"), (2, 1, "xx quickbrown  fox\njumps yy"), (3, 2, "alpha beta gamma"), (4, 2, "alpha"), (5, 3, "日本語の文章がここにあります。終わり"), (6, 4, None)]
+    c = spark.createDataFrame(chunks, "chunk_id long, page int, text string")
+    cases = [("id", 0, 1, 1, "fox", []), ("quote", 0, 90, 1, "quick brown fox jumps", []), ("short", 0, 91, 9, "f", []), ("phrase", 0, 92, 9, "not there at all; quick brown fox; brown fox jumps", []), ("wide", 0, 93, 9, "文章がここにあり", []), ("terms", 0, 94, 2, "nowhere to be found", ["alpha", "beta", "delta"]), ("none", 0, 95, 2, None, ["delta"]), ("blank", 0, None, None, " ", [])]
+    e = spark.createDataFrame(cases, "case_id string, evidence_no int, chunk_id long, page int, quote string, terms array<string>")
+    got = {(r.case_id, r.new_id, r.match_method) for r in evaluation.candidates(e, c).collect()}
+    expected = {("id", 1, "existing_chunk_id"), ("quote", 1, "exact_quote"), ("quote", 2, "exact_quote"), ("short", 1, "exact_quote"), ("short", 2, "exact_quote"), ("phrase", 1, "phrase"), ("phrase", 2, "phrase"), ("wide", 5, "exact_quote"), ("terms", 3, "page_terms")}
+    assert got == expected

@@ -51,24 +51,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table into the shared folder and read it back."""
+    """Write a table into the shared folder and read it back. As nothing reads
+    the write's shuffle files again, Spark deletes them with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, and not only at
-    the driver's next garbage collection. The first round frees the plans,
-    the second what they held on to."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def small_side(df: DataFrame) -> DataFrame:
     """Broadcast a materialised side of a few short columns if its row count
     allows; otherwise leave it to a shuffled join."""

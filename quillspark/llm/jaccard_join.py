@@ -7,33 +7,43 @@ similarity is at least the threshold, reckoned in whole numbers. A `Measure`
 holds both: 4 words and 85/100 for op10, 5 words and 80/100 for the stage of
 the pipeline.
 
-Candidates come from PartEnum: sets are in size bands whose sizes differ by
-at most the threshold, so that two linked sets share a band tag (each set
-carries its band's and the next one's). Within a tag of greatest size r,
-linked sets differ in at most k = floor(2r * (1 - t) / (1 + t)) shingles, t being the threshold. The
-shingle domain is cut by hash into floor(k/2) + 2 partitions: in two of
-them the sets differ by at most one shingle. Such a partition is cut into
-three; with at most one difference, two of the three are equal. So a set's
-signatures are, for each partition, the three pairs of thirds, and linked
-sets always share one. Bands with k = 0 link equal sets only.
+Candidates come from PartEnum. Sets are in size bands whose sizes differ by
+at most the threshold squared; a set carries its band's tag, and the next
+one's if a partner can be in the next band, so linked sets share a tag. Within
+a tag of greatest size r, linked sets differ in at most
+k = floor(2r * (1 - t) / (1 + t)) shingles, t being the threshold. The shingle
+domain is cut by hash into n = floor(k/2) + 2 partitions in a ring. Such a
+partition is cut into three; with at most one difference in it, two of the
+three are equal. So a set's signatures are, for each partition, the three
+pairs of thirds. Bands with k = 0 link equal sets only.
+
+Popular passages make sets share a signature that have little else in common.
+So a signature carries a sketch: the parities, by hash into 60 bits, of the
+shingles in the CHAIN partitions that start with its own. Two sets that differ
+in d of these shingles have sketches that differ in d bits at most. By the
+cycle lemma, as 2n - k >= 3 and no partition has fewer than 0 differences, at
+least two partitions start chains of which every first l partitions hold at
+most 2l - 1 differences. So linked sets share a signature of at least two
+partitions whose sketches differ in min(2 * CHAIN - 1, k) bits at most; others
+are not brought together by it.
 
 A pair of thirds in which a set has no shingle at all says nothing, and
 sharing it would bring together sets at random, ever more of them as the
 input grows. Its signature is left out unless the set has two partitions
 with such a pair: if linked sets shared empty pairs only, both would have at
-least two, as there are two partitions in which they agree. So no link is
-lost.
-
-Equal sets are collapsed first, and a task passes on the signatures of a set
-once. Sets that share a signature form a bucket; no pairs are made from it,
-only a star from its least member. The components of these stars are
-clusters of candidates, and each is verified on the whole texts: a cluster
-of up to BLOCK_SETS sets and BLOCK_BYTES in one group, a larger one in
-blocks of about that size, each pair of blocks in a group of its own. A
+least two, as there are two partitions of the kind above. So no link is lost.
+
+A task passes on the signatures of a set once. Sets that share a signature
+form a bucket; no pairs are made from it, only a forest of those whose
+sketches agree. The components of these forests are clusters of candidates.
+First each set is compared with one neighbour of the forest, on whole
+texts; in a cluster that this joins nothing is left to do. In
+the others, sets are put into blocks of up to BLOCK_SETS sets and BLOCK_BYTES,
+and pairs of blocks are compared, but for those within one joined part. A
 group counts all intersections by a matrix product over the shingles that
 several sets have and hands on a spanning forest of its links, so that its
 output grows with its sets and not with their pairs. The components of all
-forests are the answer.
+links are the answer.
 
 Defined cases: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; equal texts link; repeated rows are documents of
@@ -56,6 +66,11 @@ from pyspark.sql import functions as F
 from . import common, graph
 
 THIRDS = 3
+#: Partitions whose shingles a signature's sketch takes in, and its bits.
+CHAIN = 6
+SKETCH_BITS = 60
+#: Members of a bucket that are compared with each other; beyond, runs of so many are joined unseen.
+BUCKET = 50_000
 #: Sets and bytes of text in a block of a cluster.
 BLOCK_SETS = 256
 BLOCK_BYTES = 8 << 20
@@ -108,45 +123,91 @@ def set_ids(g: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def bands(most: int, measure: Measure = OP10) -> np.ndarray:
-    """Least sizes of the bands, up to one beyond size `most`."""
+    """Least sizes of the bands, up to two beyond size `most`."""
+    wider = lambda size: size * measure.denominator // measure.numerator + 1
     out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * measure.denominator // measure.numerator + 1)
-    out.append(out[-1] * measure.denominator // measure.numerator + 1)
+    while len(out) < 3 or out[-3] <= most:
+        out.append(wider(wider(out[-1]) - 1))
     return np.array(out, np.int64)
 
 
-def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set."""
+def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, sketch) of every set. A sketch's highest bits hold the
+    number of bits in which linked sets' sketches may differ."""
     if not len(g):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     low = bands(int(n.max()), measure)
     own = np.searchsorted(low, n, side="right") - 1
     owner = np.repeat(np.arange(len(n)), n)
     spot, third, value = g >> np.uint64(32), common.mixed(g + _KEYS[2]) % np.uint64(THIRDS), common.mixed(g + _KEYS[1])
-    rows, found = [], []
+    bit = np.uint64(1) << (value % np.uint64(SKETCH_BITS))
+    rows, found, sketches = [], [], []
     for step in (0, 1):
         tag = own + step
-        high = low[tag] * measure.denominator // measure.numerator
-        k = 2 * high * (measure.denominator - measure.numerator) // (measure.denominator + measure.numerator)
-        parts = np.where((n > 0) & (k > 0), k // 2 + 2, 0)
+        k = 2 * (low[tag + 1] - 1) * (measure.denominator - measure.numerator) // (measure.denominator + measure.numerator)
+        reaches = n * measure.denominator // measure.numerator >= low[tag]
+        parts = np.where((n > 0) & (k > 0) & reaches, k // 2 + 2, 0)
         at = np.cumsum(parts) - parts
         live = parts[owner] > 0
         o = owner[live]
-        part = ((spot[live] * parts[o].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        cells = np.zeros((int(parts.sum()), THIRDS), np.uint64)
-        np.add.at(cells.reshape(-1), (at[o] + part) * THIRDS + third[live].astype(np.int64), value[live])
-        held = np.zeros((len(cells), THIRDS), bool)
-        held.reshape(-1)[(at[o] + part) * THIRDS + third[live].astype(np.int64)] = True
+        part = at[o] + ((spot[live] * parts[o].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = int(parts.sum())
+        cells = np.zeros((total, THIRDS), np.uint64)
+        cell = part * THIRDS + third[live].astype(np.int64)
+        np.add.at(cells.reshape(-1), cell, value[live])
+        held = np.zeros((total, THIRDS), bool)
+        held.reshape(-1)[cell] = True
         row = np.repeat(np.arange(len(n)), parts)
         hollow = np.bincount(row, held.sum(1) <= 1, len(n)) >= 2
-        place = (tag[row].astype(np.uint64) << np.uint64(40)) + (np.arange(len(row)) - at[row]).astype(np.uint64)
+        # shingles are in the order of their partitions, so a chain is a run of them, or two about the ring's end
+        parity = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit[live])])
+        begin = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=total))])
+        here, first, ring = np.arange(total), at[row], parts[row]
+        beyond = here + np.minimum(CHAIN, ring)
+        over = np.maximum(beyond - (first + ring), 0)
+        chain = parity[begin[beyond - over]] ^ parity[begin[here]] ^ parity[begin[first + over]] ^ parity[begin[first]]
+        may = np.minimum(k[row], 2 * np.minimum(CHAIN, ring) - 1).astype(np.uint64)
+        chain |= may << np.uint64(SKETCH_BITS)
+        place = (tag[row].astype(np.uint64) << np.uint64(40)) + (here - first).astype(np.uint64)
         for left in range(THIRDS):
             a, b = (x for x in range(THIRDS) if x != left)
             says = held[:, a] | held[:, b] | hollow[row]
             rows.append(row[says])
+            sketches.append(chain[says])
             found.append(common.mixed(cells[says, a] * _KEYS[0] + cells[says, b] * _KEYS[1] + common.mixed(place[says] * np.uint64(THIRDS) + np.uint64(left))))
-    return np.concatenate(rows), np.concatenate(found)
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(sketches)
+
+
+_BITS = np.uint64((1 << SKETCH_BITS) - 1)
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches of one bucket differ in few enough bits."""
+    return np.bitwise_count((a ^ b) & _BITS) <= (a >> np.uint64(SKETCH_BITS))
+
+
+def bucket_forest(cid: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that join the members of a bucket as near sketches do."""
+    out = []
+    if len(cid) > BUCKET:
+        starts = np.arange(0, len(cid), BUCKET)
+        out.append((cid[starts[:-1]], cid[starts[1:]]))
+        for s in starts:
+            out += bucket_forest(cid[s : s + BUCKET], sketch[s : s + BUCKET])
+            out.append((np.repeat(cid[s], len(cid[s : s + BUCKET])), cid[s : s + BUCKET]))
+        return out
+    only, first, which = np.unique(sketch, return_index=True, return_inverse=True)
+    out.append((cid[first][which], cid))
+    left, queue = np.arange(len(only)), []
+    while len(left):
+        if not queue:
+            queue, left = [left[0]], left[1:]
+        at = queue.pop()
+        met = near(only[at : at + 1], only[left])
+        out.append((np.repeat(cid[first[at]], int(met.sum())), cid[first[left[met]]]))
+        queue += left[met].tolist()
+        left = left[~met]
+    return out
 
 
 def slim_table(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
@@ -163,7 +224,7 @@ def slim_table(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFr
 
 
 def stars(docs: DataFrame, text: str, parts: int, measure: Measure) -> DataFrame:
-    """(u, v): for each bucket, its least set with each of the others."""
+    """(u, v): a forest of each bucket's members with near sketches."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -175,33 +236,46 @@ def stars(docs: DataFrame, text: str, parts: int, measure: Measure) -> DataFrame
                 if n[i] and c not in passed:
                     passed.add(c)
                     new[i] = True
-            row, sig = signatures(g[np.repeat(new, n)], np.where(new, n, 0), measure)
-            yield common.from_columns(["sig", "cid"], [pa.array(sig.view(np.int64)), pa.array(cid[row])])
+            row, sig, sketch = signatures(g[np.repeat(new, n)], np.where(new, n, 0), measure)
+            yield common.from_columns(["sig", "cid", "sketch"], [pa.array(sig.view(np.int64)), pa.array(cid[row]), pa.array(sketch.view(np.int64))])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not held:
             return
-        sig, cid = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, cid, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        order = np.argsort(sig)
+        sig = sig[order]
+        lone = np.ones(len(sig) + 1, bool)
+        lone[1:-1] = sig[1:] != sig[:-1]
+        several = ~(lone[:-1] & lone[1:])
+        sig, order = sig[several], order[several]
+        cid, sketch = cid[order], sketch[order].view(np.uint64)
         order = np.lexsort((cid, sig))
-        sig, cid = sig[order], cid[order]
+        sig, cid, sketch = sig[order], cid[order], sketch[order]
         again = np.zeros(len(sig), bool)
         again[1:] = (sig[1:] == sig[:-1]) & (cid[1:] == cid[:-1])
-        sig, cid = sig[~again], cid[~again]
+        sig, cid, sketch = sig[~again], cid[~again], sketch[~again]
+        if not len(sig):
+            return
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
-        group = np.cumsum(new) - 1
-        size = np.bincount(group, minlength=1) if len(sig) else np.zeros(1, int)
-        several = size[group] > 1 if len(sig) else np.zeros(0, bool)
-        group, cid = group[several], cid[several]
-        least = np.zeros(len(size), np.int64)
-        least[group[::-1]] = cid[::-1]  # rows are sorted, so the first of a group is its least
-        u, v = least[group], cid
-        pair = np.unique(np.stack([u, v])[:, u != v], axis=1)
-        yield common.from_columns(["u", "v"], [pa.array(pair[0]), pa.array(pair[1])])
-
-    made = docs.select(F.col(text).alias("t")).mapInArrow(signed, "sig long, cid long")
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        head = start[group]
+        met = near(sketch, sketch[head])
+        pairs = [np.stack([cid[head[met]], cid[met]])]
+        # where all are near the least member, its star is enough
+        to = np.append(start[1:], len(sig))
+        for i in np.unique(group[~met]).tolist():
+            mine = slice(start[i], to[i])
+            if to[i] - start[i] > 2:
+                pairs += [np.stack(e) for e in bucket_forest(cid[mine], sketch[mine])]
+        pair = np.concatenate(pairs, axis=1)
+        pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
+        yield common.from_columns(["u", "v"], [pa.array(pair.min(0)), pa.array(pair.max(0))])
+
+    made = docs.select(F.col(text).alias("t")).mapInArrow(signed, "sig long, cid long, sketch long")
     return made.repartition(parts, "sig").mapInArrow(shared, "u long, v long").distinct()
 
 
@@ -234,20 +308,54 @@ def forest(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> list[tuple[
     return out
 
 
-def verified(clusters: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """(u, v): links that join all linked sets of each cluster."""
-    t = clusters.toDF("cid", "cluster").join(texts, "cid")
-    sizes = t.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
-    mine = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    spread = t.join(sizes, "cluster").withColumn("mine", mine).select("cluster", "cid", "text", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid", "text")
+def grouped_links(rows: DataFrame, by: list[str], measure: Measure) -> DataFrame:
+    """(u, v): a forest of the links between the sets (cid, text) of each group."""
 
     def links(table: pa.Table) -> pa.Table:
         cid = table.column("cid").to_numpy()
         found = forest(*shingle_sets(table.column("text"), measure.words), measure)
         return pa.table({"u": pa.array([int(cid[a]) for a, _ in found], pa.int64()), "v": pa.array([int(cid[b]) for _, b in found], pa.int64())})
 
-    return spread.groupBy("cluster", "i", "j").applyInArrow(links, "u long, v long")
+    return rows.groupBy(*by).applyInArrow(links, "u long, v long")
+
+
+def neighbour_links(near: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """(u, v): the links of each set with its least neighbour, found in groups
+    of up to BLOCK_SETS sets or BLOCK_BYTES about a neighbour."""
+    tree = near.groupBy(F.col("v").alias("cid")).agg(F.min("u").alias("hub")).join(texts, "cid")
+    sizes = tree.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    leaves = tree.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("cid"), "blocks").alias("i"), "cid", "text")
+    hubs = sizes.join(texts, sizes["hub"] == texts["cid"]).select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), "cid", "text")
+    return grouped_links(leaves.unionByName(hubs), ["hub", "i"], measure)
+
+
+def block_links(members: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
+    """(u, v): links between the parts of each cluster, `members` being (cid,
+    cluster, part). A large part has blocks of its own, which aren't compared
+    with each other; the small ones of a cluster share blocks."""
+    t = members.join(texts.select("cid", F.octet_length("text").alias("bytes")), "cid")
+    parts = t.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    own = (F.col("n") >= BLOCK_SETS // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
+    parts = parts.withColumn("owner", F.when(own, F.col("part")))
+    runs = parts.groupBy("cluster", "owner").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"))
+    # blocks are numbered through a cluster: a run of them for each owner
+    listed = runs.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("owner", "blocks"))).alias("runs"))
+    begun = F.aggregate(
+        F.col("runs"),
+        F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<owner:bigint,lo:bigint,hi:bigint>>)").alias("runs")),
+        lambda a, r: F.struct((a["at"] + r["blocks"]).alias("at"), F.concat(a["runs"], F.array(F.struct(r["owner"].alias("owner"), a["at"].alias("lo"), (a["at"] + r["blocks"]).alias("hi")))).alias("runs")),
+        lambda a: a["runs"],
+    )
+    listed = listed.select("cluster", begun.alias("runs"))
+    rows = members.join(parts.select("cluster", "part", "owner"), ["cluster", "part"]).join(listed, "cluster")
+    mine = F.element_at(F.filter("runs", lambda r: r["owner"].eqNullSafe(F.col("owner"))), 1)
+    # the small parts are dealt by part, so that each is whole in a block
+    deal = F.xxhash64(F.when(F.col("owner").isNull(), F.col("part")).otherwise(F.col("cid")))
+    rows = rows.withColumn("run", mine).withColumn("mine", F.col("run.lo") + F.pmod(deal, F.col("run.hi") - F.col("run.lo")))
+    others = F.flatten(F.transform(F.filter("runs", lambda r: r["owner"].isNull() | ~r["owner"].eqNullSafe(F.col("owner"))), lambda r: F.sequence(r["lo"], r["hi"] - 1)))
+    spread = rows.select("cluster", "cid", "mine", F.explode(others).alias("other"))
+    spread = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid")
+    return grouped_links(spread.join(texts, "cid"), ["cluster", "i", "j"], measure)
 
 
 def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
@@ -256,17 +364,23 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure:
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(common.partitions_for(spark), math.ceil(total * 0.6 / SIGNATURES))
     near = common.written(stars(docs, text, parts, measure), "stars")
-    common.released(spark)
-    found = graph.components(near)
-    clusters = common.written(found.toDF("cid", "cluster").union(found.select("root", "root").distinct()), "clusters")
-    common.released(spark)
-    first = slim.where("cid IS NOT NULL").join(clusters, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
-    small = common.small_side(common.checkpointed(first))
+    members = near.select("u").union(near.select("v")).distinct().toDF("cid")
+    first = slim.where("cid IS NOT NULL").join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
+    small = common.small_side(common.written(first, "firsts"))
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     texts = rows.join(small, rows["th"].eqNullSafe(small["th"]) & rows["k"].eqNullSafe(small["k"])).select("cid", "text")
     doubled = slim.groupBy(key, "th").count().where("count > 1").isEmpty()
     texts = common.written(texts if doubled else texts.dropDuplicates(["cid"]), "texts")
-    return graph.components(verified(clusters, texts, measure)).toDF("cid", "root")
+    joined_parts = common.written(graph.components(common.written(neighbour_links(near, texts, measure), "links")), "parts")
+    clusters = graph.components(near)
+    clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("cid", "cluster")
+    placed_sets = clusters.join(joined_parts.toDF("cid", "part"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    placed_sets = common.written(placed_sets, "clusters")
+    open_ones = placed_sets.groupBy("cluster").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("cluster")
+    more = common.written(block_links(placed_sets.join(open_ones, "cluster", "left_semi"), texts, measure), "links")
+    if more.isEmpty():
+        return joined_parts.toDF("cid", "root")
+    return graph.components(more.union(joined_parts.toDF("u", "v"))).toDF("cid", "root")
 
 
 def placed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:

@@ -298,7 +298,6 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     found = rows.where("NOT held").mapInArrow(lambda b: _unigrams(b, shards), "shard int, data binary").repartition(shards, "shard")
     vocabulary = Vocabulary(found.mapInArrow(lambda b: _vocabulary(b, shards), "shard int, n long, v long, words binary, counts binary").collect(), shards)
     del found
-    common.released(spark)  # the unigrams' shuffle is not needed any more
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

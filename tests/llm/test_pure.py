@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -267,7 +268,7 @@ def test_linked_sets_share_a_signature():
         both = len(np.intersect1d(a, b))
         if 100 * both < 85 * (len(a) + len(b) - both) or (len(a) == len(b) == both):
             continue
-        row, sig = jaccard_join.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        row, sig, _ = jaccard_join.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
         assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
 
 
@@ -368,3 +369,59 @@ def test_tone_has_its_pitch_class_and_recordings_align():
     b = media.fingerprints(media.chroma_of_words("some words in front " + text))
     offset, votes, need = media.best_offset(a, b)
     assert offset == 4 and votes >= need and media.bit_errors(a, b, 4)[0] == 0
+
+
+@pytest.mark.parametrize("measure", [jaccard_join.OP10, jaccard_join.PIPELINE, jaccard_join.Measure(4, 60, 100)])
+def test_linked_sets_share_a_signature_with_near_sketches(measure):
+    """Of sets at the very threshold, with their differences spread or in a run
+    of the hash domain, none is missed."""
+    rng = np.random.default_rng(3)
+    few = 0
+    for trial in range(400):
+        size = int(rng.integers(1, 40)) if trial % 2 else int(rng.integers(40, 1500))
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        # sizes a >= b with the most differences that still link
+        gone = int(rng.integers(0, max(1, size * (measure.denominator - measure.numerator) // measure.denominator) + 1))
+        extra = 0
+        while measure.denominator * (size - gone) >= measure.numerator * (size + extra + 1):
+            extra += 1
+        if measure.denominator * (size - gone) < measure.numerator * (size + extra):
+            continue
+        at = int(rng.integers(0, size))
+        out = (np.arange(gone) + at) % size if trial % 3 else rng.choice(size, gone, replace=False)
+        other = np.union1d(np.delete(base, out), rng.integers(0, 1 << 63, extra).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        sets = [base, np.unique(other)]
+        n = np.array([len(x) for x in sets])
+        row, sig, sketch = jaccard_join.signatures(np.concatenate(sets), n, measure)
+        mine = {s: k for r, s, k in zip(row, sig.tolist(), sketch, strict=True) if r == 0}
+        shared = [(mine[s], k) for r, s, k in zip(row, sig.tolist(), sketch, strict=True) if r == 1 and s in mine]
+        assert np.array_equal(base, sets[1]) or any(jaccard_join.near(a, b) for a, b in shared), (trial, size, gone, extra)
+        few += 1
+    assert few > 300
+
+
+def test_bucket_forest_joins_as_near_sketches_do(monkeypatch):
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(0, 1 << 12, 200).astype(np.uint64) | np.uint64(2 << 60)
+    cid = np.arange(200)
+
+    def roots(edges):
+        root = list(range(200))
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for a, b in edges:
+            root[find(int(a))] = find(int(b))
+        return [find(i) for i in range(200)]
+
+    def parts(edges):
+        r = roots(edges)
+        return {frozenset(i for i in range(200) if r[i] == x) for x in r}
+
+    pairs = [(i, j) for i in range(200) for j in range(i) if bin((int(sketch[i]) ^ int(sketch[j])) & ((1 << 60) - 1)).count("1") <= 2]
+    got = [(a, b) for e in jaccard_join.bucket_forest(cid, sketch) for a, b in zip(*e, strict=True)]
+    assert parts(got) == parts(pairs) and len(parts(pairs)) > 1
+    monkeypatch.setattr(jaccard_join, "BUCKET", 30)
+    wide = [(a, b) for e in jaccard_join.bucket_forest(cid, sketch) for a, b in zip(*e, strict=True)]
+    assert len(parts(wide)) == 1  # joined unseen: more candidates, none lost

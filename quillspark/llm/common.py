@@ -4,8 +4,6 @@ buffers."""
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -34,23 +32,19 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir);
-    one is set only where the cluster names none, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). One
+    is set where none is named, but only if all tasks run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small table with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,7 +59,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discarded(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more."""
+    for df in frames:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -114,6 +117,16 @@ def ranked(df: DataFrame, within: list[str], order: list[str], spread: list[str]
     )
 
 
+def first_rows(df: DataFrame, within: str, order: list, n: int, buckets: int = 256) -> DataFrame:
+    """The first `n` rows of each group. Groups may hold most of the rows, so
+    the first of `buckets` parts of each are found before those of the whole;
+    no task sorts more than buckets * n rows of a group."""
+    part = Window.partitionBy(within, F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(buckets))).orderBy(*order)
+    whole = Window.partitionBy(within).orderBy(*order)
+    some = df.withColumn("__r", F.row_number().over(part)).where(F.col("__r") <= n).drop("__r")
+    return some.withColumn("__r", F.row_number().over(whole)).where(F.col("__r") <= n)
+
+
 # ------------------------------------------------------------------ hashing
 
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)

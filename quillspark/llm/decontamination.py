@@ -18,7 +18,7 @@ Defined cases: null and empty texts match nothing; items with fewer than
 `min_words` words (5) identify no text and are not searched; repeated items
 are reported each under its id, repeated rows each for itself; a null item
 id or doc_id stays null; an empty table gives an empty result; other columns
-are ignored by `matches` and kept by `clean`.
+are ignored by `matches` and kept by `clean`, whatever their names.
 """
 
 from __future__ import annotations
@@ -138,6 +138,14 @@ def item_blocks(items: DataFrame, item_key: str, text: str) -> Iterator[Pieces]:
     yield Pieces(ids, words)
 
 
+def searched(pieces: Pieces, column: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """The best (distance, end, n) of each (row, item) of a batch of texts."""
+    raw, offsets = common.text_buffers(column)
+    h, counts = common.word_hashes(raw, offsets, common.PUNCTUATION)
+    # a hit that runs over the end of its row can't be verified there
+    return pieces.verified(h, np.concatenate([[0], np.cumsum(counts)]), pieces.hits(h))
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """(key, item_key, distance, n_words, end_word) of every match."""
     spark = docs.sparkSession
@@ -153,11 +161,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             pieces = Pieces(*shared.value)
             for b in batches:
-                raw, offsets = common.text_buffers(b.column(1))
-                h, counts = common.word_hashes(raw, offsets, common.PUNCTUATION)
-                starts = np.concatenate([[0], np.cumsum(counts)])
-                # a hit that runs over the end of its row can't be verified there
-                best = sorted(pieces.verified(h, starts, ((p, i, a) for p, i, a in pieces.hits(h))).items())
+                best = sorted(searched(pieces, b.column(1)).items())
                 at = pa.array([row for (row, _), _ in best], pa.int64())
                 yield common.from_columns([key, item_key, "distance", "n_words", "end_word"], [b.column(0).take(at), pa.array([pieces.ids[i] for (_, i), _ in best], item_type), pa.array([x[0] for _, x in best], pa.int64()), pa.array([x[2] for _, x in best], pa.int64()), pa.array([x[1] for _, x in best], pa.int64())])
 
@@ -166,13 +170,24 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents in which no item is found, with all their columns. A
-    document is known by its id, which may be null, and its text."""
-    row = F.struct(F.col(key).alias("k"), F.xxhash64("text").alias("th"))
-    found = matches(docs.select(row.alias("__row"), "text"), items, "__row").select(F.col("__row.k").alias("__hit"), F.col("__row.th").alias("__th"))
-    found = common.checkpointed(found.distinct())
-    return docs.join(found, docs[key].eqNullSafe(found["__hit"]) & (F.xxhash64(docs["text"]) == found["__th"]), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id") -> DataFrame:
+    """The rows of `docs` in which no item is found, with all their columns.
+    Each row is judged by its own text, whatever its id."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark)
+    at, out = docs.columns.index(text), docs
+    for block in item_blocks(items, item_key, text):
+        shared = spark.sparkContext.broadcast((block.ids, block.words))
+
+        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            pieces = Pieces(*shared.value)
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                keep[[row for row, _ in searched(pieces, b.column(at))]] = False
+                yield b.filter(pa.array(keep))
+
+        out = out.mapInArrow(rows, docs.schema)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,6 +364,7 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure:
     total = slim.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(common.partitions_for(spark), math.ceil(total * 0.6 / SIGNATURES))
     near = common.written(stars(docs, text, parts, measure), "stars")
+    # the tables below grow with the sets that have candidates
     members = near.select("u").union(near.select("v")).distinct().toDF("cid")
     first = slim.where("cid IS NOT NULL").join(members, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col(key).alias("k"), "th")).alias("x")).select("cid", F.col("x.k").alias("k"), F.col("x.th").alias("th"))
     small = common.small_side(common.written(first, "firsts"))
@@ -378,6 +379,7 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure:
     placed_sets = common.written(placed_sets, "clusters")
     open_ones = placed_sets.groupBy("cluster").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("cluster")
     more = common.written(block_links(placed_sets.join(open_ones, "cluster", "left_semi"), texts, measure), "links")
+    common.discarded(spark, near, texts, placed_sets)
     if more.isEmpty():
         return joined_parts.toDF("cid", "root")
     return graph.components(more.union(joined_parts.toDF("u", "v"))).toDF("cid", "root")
@@ -394,29 +396,29 @@ def placed(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
     """(key, th, n_shingles, component_id) of every row."""
     rows = placed(docs, key, text, measure)
-    # a component is its root's; rows without a set have none
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("__least"))
-    out = rows.join(least, "root", "left")
-    return out.select(key, "th", "n_shingles", F.when(F.col("root").isNull(), F.col(key)).otherwise(F.col("__least")).alias("component_id"))
+    # a row that is alone in its component, or has no set, is its own
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(key).alias("__least"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    out = rows.join(common.small_side(common.written(least, "least")), "root", "left")
+    return out.select(key, "th", "n_shingles", F.coalesce("__least", key).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", measure: Measure = OP10) -> DataFrame:
     """`docs` less all but one row of each component: one with the least id
     (null ids last; of several texts under that id, any one). Empty texts
     stay."""
-    found = common.checkpointed(placed(docs, key, text, measure).where("root IS NOT NULL").select(F.col(key).alias("__k"), F.col("th").alias("__th"), "root"))
+    found = common.written(placed(docs, key, text, measure).where("root IS NOT NULL").select(F.col(key).alias("__k"), F.col("th").alias("__th"), "root"), "found")
     # a row is known by id and text, so rows that agree in both are of one component
     first = F.min(F.struct(F.col("__k").isNull().alias("none"), F.col("__k").alias("k"), F.col("__th").alias("th"))).alias("x")
-    several = common.checkpointed(found.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "x"))
+    several = common.written(found.groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "x"), "several")
     members = found.join(common.small_side(several), "root")
     mine = F.col("__k").eqNullSafe(F.col("x.k")) & (F.col("__th") == F.col("x.th"))
 
     def those(df: DataFrame, few: DataFrame, how: str) -> DataFrame:
         return df.join(few, df[key].eqNullSafe(few["__k"]) & (F.xxhash64(df[text]) == few["__th"]), how)
 
-    gone = common.checkpointed(members.where(~mine).select("__k", "__th").distinct())
+    gone = common.written(members.where(~mine).select("__k", "__th").distinct(), "gone")
     kept = those(docs, common.small_side(gone), "left_anti")
-    doubled = common.checkpointed(members.where(mine).groupBy("__k", "__th").count().where("count > 1").select("__k", "__th"))
+    doubled = common.written(members.where(mine).groupBy("__k", "__th").count().where("count > 1").select("__k", "__th"), "doubled")
     if doubled.isEmpty():
         return kept
     twice = common.small_side(doubled)

@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -122,8 +122,7 @@ def held_out(key: str) -> Column:
 def learned(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS) -> Profiles:
     """Profiles from a bounded sample of `labelled`."""
     slim = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(F.lit(7), key).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = slim.withColumn("r", F.row_number().over(first)).where(F.col("r") <= train_docs).select("k").distinct()
+    chosen = common.first_rows(slim, "lang", ["h", "k"], train_docs).select("k").distinct()
     # at most train_docs ids of each language
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
 
@@ -135,7 +134,7 @@ def learned(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
     common.bounded_batches(labelled.sparkSession)
     total = rows.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= PROFILE)
+    top = common.first_rows(total, "lang", [F.desc("n"), F.col("gram")], PROFILE).withColumnRenamed("__r", "rank")
     profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").collect():  # PROFILE rows a language
         profiles.setdefault(r["lang"], []).append(r["gram"])

@@ -24,7 +24,8 @@ text has no tokens (copies as its place in the order gives, 0 in a leaf
 without tokens); rows with equal keys (repeated rows) are taken or left
 together; weights are whole numbers, 1 where not named; a weight of 0 gives
 a subtree nothing; a budget above the capacity of the tree is cut to it; an
-empty table gives an empty result; other columns pass through `mixed`.
+empty table gives an empty result; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -85,13 +86,14 @@ def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, plan: MixPlan) -> DataFrame:
-    return docs.withColumns(
-        {
-            "__domain": domain_of(F.coalesce(F.col("source"), F.lit("")), plan.domains),
-            "__lang": F.coalesce(F.col("lang"), F.lit("")),
-            "__source": F.coalesce(F.col("source"), F.lit("")),
-            "__tokens": F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint"),
-        }
+    """The input's row as one struct, as its columns may have any name."""
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        domain_of(source, plan.domains).alias("__domain"),
+        F.coalesce(F.col("lang"), F.lit("")).alias("__lang"),
+        source.alias("__source"),
+        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("__tokens"),
     )
 
 
@@ -119,13 +121,13 @@ def _order(plan: MixPlan, key: str) -> Column:
 
 
 def mixed(docs: DataFrame, plan: MixPlan | None = None, key: str = "doc_id") -> DataFrame:
-    """`docs` with __domain, __lang, __source, __tokens, __leaf_tokens,
-    __budget and __copies (how often the row is taken)."""
+    """row (the input's columns), domain, lang, source, tokens, leaf_tokens,
+    budget and copies (how often the row is taken)."""
     plan = plan or MixPlan()
-    slim = common.checkpointed(_keyed(docs, plan).select(F.col(key).alias("__id"), *LEAF, "__tokens"))
+    slim = common.written(_keyed(docs, plan).select(F.col(f"row.{key}").alias("__id"), *LEAF, "__tokens"), "tokens")
     budgets = leaf_budgets(slim.groupBy(*LEAF).agg(F.sum("__tokens").alias("t")), plan)
     budgets = budgets.select(*LEAF, "t", "b", F.expr("b div nullif(t, 0)").alias("__full"), (F.col("b") % F.nullif(F.col("t"), F.lit(0))).alias("rest"))
-    budgets = common.checkpointed(budgets)
+    budgets = common.written(budgets, "budgets")
     small = (lambda x: F.broadcast(x)) if budgets.count() <= BROADCAST_LEAVES else (lambda x: x)
     shift = KEY_BITS - BUCKET_BITS
     ordered = slim.join(small(budgets), LEAF).withColumn("__key", _order(plan, "__id")).withColumn("__bucket", F.shiftright("__key", shift))
@@ -136,24 +138,25 @@ def mixed(docs: DataFrame, plan: MixPlan | None = None, key: str = "doc_id") ->
     inside = ordered.join(small(last), LEAF).where(F.col("__bucket") == F.col("__last"))
     cum = F.sum("__tokens").over(Window.partitionBy(*LEAF).orderBy("__key", "__id", "__tokens"))
     cut = inside.withColumn("cum", F.col("start") + cum).where(F.col("cum") <= F.col("rest")).groupBy(*LEAF).agg(F.max(F.struct("__key", "__id", "__tokens")).alias("__cut"))
-    leaf = common.checkpointed(budgets.join(last, LEAF, "left").join(cut, LEAF, "left").select(*LEAF, F.col("t").alias("__leaf_tokens"), F.col("b").alias("__budget"), "__full", "__last", "__cut"))
-    out = _keyed(docs, plan).join(small(leaf), LEAF).withColumn("__key", _order(plan, key))
+    leaf = common.written(budgets.join(last, LEAF, "left").join(cut, LEAF, "left").select(*LEAF, F.col("t").alias("leaf_tokens"), F.col("b").alias("budget"), "__full", "__last", "__cut"), "leaves")
+    common.discarded(docs.sparkSession, slim, budgets)
+    out = _keyed(docs, plan).join(small(leaf), LEAF).withColumn("__key", _order(plan, f"row.{key}"))
     bucket = F.shiftright("__key", shift)
-    mine = F.struct(F.col("__key"), F.col(key).alias("__id"), F.col("__tokens"))
+    mine = F.struct(F.col("__key"), F.col(f"row.{key}").alias("__id"), F.col("__tokens"))
     taken = F.col("__last").isNull() | (bucket < F.col("__last")) | ((bucket == F.col("__last")) & F.coalesce(mine <= F.col("__cut"), F.lit(False)))
     copies = F.when(F.col("__full").isNull(), 0).otherwise(F.col("__full") + F.when(taken, 1).otherwise(0))
-    return out.withColumn("__copies", copies.cast("bigint")).drop("__key", "__full", "__last", "__cut")
+    return out.select("row", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), "leaf_tokens", "budget", copies.cast("bigint").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, plan: MixPlan | None = None) -> DataFrame:
     """The mixture itself: each row as often as it is taken."""
-    rows = mixed(docs, plan).where("__copies > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = mixed(docs, plan).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(common.table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__leaf_tokens").alias("leaf_tokens"), F.col("__budget").alias("leaf_budget"), F.col("__copies").alias("copies"))
+    return rows.select("row.doc_id", "domain", "lang", "source", F.col("tokens").alias("n_tokens"), "leaf_tokens", F.col("budget").alias("leaf_budget"), "copies")
 
 
 def _case(name: str, weights: Mapping[str, int]) -> str:

@@ -90,10 +90,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    """Candidates that no known span touches; `known` is sorted by start."""
+    out, covered, i = [], 0, 0  # covered: the farthest end of the spans that start before the candidate's end
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in known) and is_random(m[0]):
+        while i < len(known) and known[i][0] < b:
+            covered = max(covered, known[i][2])
+            i += 1
+        if covered <= a and is_random(m[0]):
             out.append((a, 3, b))
     return out
 

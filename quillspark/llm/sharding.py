@@ -10,7 +10,10 @@ one.
 The packing itself sees a histogram of size classes and never the groups.
 Sizes up to 2,048 are classes of their own and each octave above has 1,024,
 so that the histogram has at most about 2,048 + 1,024 * 53 rows whatever the
-input; a class counts with the exact mean size of its groups.
+input. With a fixed capacity a class counts with the greatest size it may
+hold, so that no bin runs over (by up to a thousandth of its room too early
+a new one is opened); with a fixed number of bins, with the exact mean size
+of its groups.
 
 Defined cases: a null text has size 1 and all null texts are one group,
 apart from empty texts (size 1 too); repeated rows each take a slot; an
@@ -185,7 +188,7 @@ def pack_groups(groups: DataFrame, key: str, size: str, bins: int | None = None,
     classed = groups.withColumn("__class", size_class(F.col(size)))
     found = classed.groupBy("__class").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("s")).collect()
     found = sorted(found, key=lambda r: r["__class"])
-    classes = [(r["s"] / r["n"], r["n"]) for r in found]
+    classes = [(r["s"] / r["n"] if capacity is None else r["__class"], r["n"]) for r in found]
     if capacity is None:
         capacity = even_capacity(classes, bins or 1)
     runs = []
@@ -213,7 +216,7 @@ def shard_documents(docs: DataFrame, bins: int = 8, key: str = "doc_id", text: s
         F.coalesce(F.sha2(body, 256).substr(1, 40), F.lit("")).alias("h"),
         F.col(text).isNull().alias("none"),
     ).withColumn("__group", F.when(F.col("none"), F.lit("null")).otherwise(F.col("h"))).drop("h", "none")
-    slim = common.checkpointed(slim)
+    slim = common.written(slim, "sizes")
     groups = slim.groupBy("__group").agg(F.sum("size").alias("__size"))
     placed = pack_groups(groups, "__group", "__size", bins=bins).select("__group", "shard")
     rows = slim.join(placed, "__group").drop("__group")

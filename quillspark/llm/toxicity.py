@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -109,8 +109,7 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     common.bounded_batches(spark)
     marks = labels.where(f"`{key}` IS NOT NULL AND `{mark}` IN (0, 1)").select(F.col(key).alias("k"), F.col(mark).cast("int").alias("y"))
-    first = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(11), "k"), "k")
-    chosen = marks.withColumn("r", F.row_number().over(first)).where(F.col("r") <= TRAIN_DOCS).select("k", "y")
+    chosen = common.first_rows(marks, "y", [F.xxhash64(F.lit(11), "k"), F.col("k")], TRAIN_DOCS).select("k", "y")
     # at most TRAIN_DOCS ids for each of the two marks
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text")
 
@@ -121,7 +120,7 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield common.from_columns(["k", "y", "word", "n"], [b.column(0).take(at).cast(pa.int64()), b.column(1).take(at), pa.array(word.view(np.int64)), pa.array(count.astype(np.int64))])
 
     slim = rows.withColumn("k", F.xxhash64("k"))
-    found = common.checkpointed(slim.mapInArrow(counted, "k long, y int, word long, n long"))
+    found = common.written(slim.mapInArrow(counted, "k long, y int, word long, n long"), "counts")
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     if not pos or not neg:
@@ -137,7 +136,7 @@ def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     rest = F.lit(float(pos + neg)) - n
     ratio = 2 * (term(F.col("a"), ea) + term(F.col("b"), eb) + term(ca, rest * pos / (pos + neg)) + term(cb, rest * neg / (pos + neg)))
     best = by.withColumn("g", ratio).where(F.col("g") >= LEAST_RATIO).orderBy(F.desc("g"), "word").limit(FEATURES).select("word", (F.col("a") / pos > F.col("b") / neg).alias("tells"))
-    best = common.checkpointed(best)
+    best = common.written(best, "words")
     chosen_words = best.toPandas()
     hits = found.join(F.broadcast(best), "word").select("k", "y", "word", "n", "tells").toPandas()
     everyone = slim.select("k", "y").toPandas().drop_duplicates().reset_index(drop=True)

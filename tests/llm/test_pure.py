@@ -425,3 +425,14 @@ def test_bucket_forest_joins_as_near_sketches_do(monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 30)
     wide = [(a, b) for e in jaccard_join.bucket_forest(cid, sketch) for a, b in zip(*e, strict=True)]
     assert len(parts(wide)) == 1  # joined unseen: more candidates, none lost
+
+
+def test_many_secrets_take_linear_time():
+    text = " ".join(f"password: hunter{i:05d} Zk9qX2vTb7LmR4wYp1HsN8dCf3G{i % 10}" for i in range(20_000))
+    known = secrets.base_spans(text)
+    got = secrets.entropy_spans(text, known)
+    assert len(known) == 20_000 and len(got) == 20_000
+    few = text[:4000]
+    known = secrets.base_spans(few)
+    plain = [(m.start(), 3, m.end()) for m in secrets.CANDIDATE.finditer(few) if not any(s < m.end() and m.start() < e for s, _, e in known) and secrets.is_random(m[0])]
+    assert secrets.entropy_spans(few, known) == plain

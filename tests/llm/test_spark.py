@@ -177,13 +177,46 @@ def brute_mix(rows, plan):
 
 @pytest.mark.parametrize("plan", [mixing.MixPlan(), mixing.MixPlan(budget_percent=150), mixing.MixPlan(domain_weights={"d0": 50}, budget_percent=95, max_epochs=1), mixing.MixPlan(budget_percent=900)])
 def test_mixing(docs, empty, plan):
-    got = sorted(((r.doc_id, r.n) for r in mixing.mixed(docs, plan).selectExpr("doc_id", "__copies AS n").collect()), key=str)
+    got = sorted(((r.doc_id, r.n) for r in mixing.mixed(docs, plan).selectExpr("row.doc_id", "copies AS n").collect()), key=str)
     assert got == sorted(brute_mix(ROWS, plan)[0], key=str)
     rows = mixing.mixed_documents(docs, plan)
     assert rows.columns == docs.columns and rows.count() == sum(n for _, n in got)
     assert mixing.mixed(empty, plan).count() == 0
 
 
+def test_mixing_keeps_columns_whatever_their_names(spark):
+    names = ["__domain", "__lang", "__source", "__tokens", "__epoch", "row", "copies", "budget"]
+    d = spark.createDataFrame([(i, f"a b {i}", "en", "src1") for i in range(6)], "doc_id long, text string, lang string, source string")
+    d = d.selectExpr("*", *[f"'mine {n}' AS `{n}`" for n in names])
+    rows = mixing.mixed_documents(d, mixing.MixPlan(budget_percent=100)).collect()
+    assert len(rows) == 6 and all(r[n] == f"mine {n}" for r in rows for n in names)
+
+
+@pytest.mark.parametrize("capacity", [2_000, 5_000_000])
+def test_fixed_capacity_is_kept(spark, capacity):
+    sizes = [rng.randint(1, 1500) for _ in range(200)] if capacity == 2_000 else [rng.randint(100_000, 1_000_000) for _ in range(300)] + [6_000_000]
+    groups = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "g string, n long")
+    bins = defaultdict(list)
+    for r in sharding.pack_groups(groups, "g", "n", capacity=capacity).collect():
+        bins[r.shard].append(r.n)
+    assert sorted(n for b in bins.values() for n in b) == sorted(sizes)
+    assert all(sum(b) <= capacity or len(b) == 1 for b in bins.values())
+    # against one-by-one packing of the exact sizes
+    alone = []
+    for n in sorted(sizes, reverse=True):
+        fit = [b for b in alone if sum(b) + n <= capacity]
+        min(fit, key=lambda b: capacity - sum(b)).append(n) if fit else alone.append([n])
+    assert len(bins) <= len(alone) * 1.01 + 1
+
+
+def test_shards_are_even(spark):
+    rows = [(i, "x" * rng.randint(1, 4000)) for i in range(600)]
+    sizes = Counter()
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 4000
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == len(ROWS) and {r.law for r in rows} == {"bytes"}

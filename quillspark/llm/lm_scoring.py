@@ -8,9 +8,10 @@ would swell a shard (more than 1/(4 shards) of all tokens, so at most 4 for
 each shard) are dealt to all shards by their second word.
 
 1. Unigrams: every task counts the distinct words of its block of texts;
-   the counts meet by word shard and give N, V, the frequent words and each
-   shard's share of the unigram distribution. Only these sums and the
-   frequent words come to the driver.
+   the counts meet by word shard and give N, V and the frequent words. A
+   second look at the frequent words alone counts their distinct successors
+   over all shards, so that dealing them out changes no probability. Only
+   sums and the frequent words come to the driver.
 2. Each block of documents sends every shard its distinct n-grams rooted
    there, sorted, with their training counts.
 3. A shard adds the counts, builds its trie, asks it for the n-grams of
@@ -27,7 +28,8 @@ each for itself and learned from each; with nothing to learn from, N and V
 are 0; an empty table gives an empty result; other columns are ignored.
 Words are told apart by 64-bit hash (63 bits in the trie), successors by 32
 bits within their context, and values have an error of at most 1.1e-4 in
-log10.
+log10. The number of shards decides where n-grams are kept and nothing else:
+scores are equal for any.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .ngram_trie import END, NONE, NgramTrie, value_of
+from .ngram_trie import END, NONE, NgramTrie, left_over, value_of
 
 #: Bytes of text in a block, and in the share of the corpus of one shard.
 BLOCK_BYTES = 12 << 20
@@ -131,30 +133,44 @@ class Ngrams:
 
     def __init__(self, block: Block, shards: int, hot: np.ndarray):
         seq, n, held = block.sequences()
-        to = np.cumsum(n)
-        fp = fingerprint(seq)
-        left = np.repeat(to, n) - np.arange(len(seq))  # tokens up to the end of the document, this one included
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(seq))  # tokens up to the end of the document, this one included
+        words, word = np.unique(seq, return_inverse=True)
+        prints, of_word = np.unique(fingerprint(words), return_inverse=True)
+        # n-grams are sorted by ranks: of (shard, first word), and of the others' fingerprints, from 1
+        rank = (of_word + 1)[word].astype(np.uint64)
         second, third = np.zeros(len(seq), np.uint64), np.zeros(len(seq), np.uint64)
-        second[:-1] = fp[1:]
-        third[:-2] = fp[2:]
-        second[left < 2], third[left < 3] = NONE, NONE
-        shard = shard_of(seq, shards)
+        second[:-1], third[:-2] = rank[1:], rank[2:]
+        second[left < 2], third[left < 3] = 0, 0
+        shard, root, first = shard_of(words, shards), word, words
         if len(hot):
-            place = np.minimum(np.searchsorted(hot, seq), len(hot) - 1)
-            spread = (hot[place] == seq) & (left > 1)
-            following = np.append(seq[1:], np.uint64(0))
-            shard[spread] = shard_of(following[spread], shards)
-        pair = second << np.uint64(32) | third
-        order = np.lexsort((pair, seq, shard))
-        s, w, p = shard[order], seq[order], pair[order]
-        new = np.ones(len(seq), bool)
-        new[1:] = (w[1:] != w[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+            place = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+            often = hot[place] == words
+            at = np.flatnonzero(often[word] & (left > 1))
+            code, part = np.unique(place[word[at]] * shards + shard[word[at + 1]], return_inverse=True)
+            root = word.copy()
+            root[at] = len(words) + part
+            shard, first = np.concatenate([shard, code % shards]), np.concatenate([words, hot[code // shards]])
+        order = np.lexsort((first, shard))
+        place = np.empty(len(order), np.uint64)
+        place[order] = np.arange(len(order))
+        width = np.uint64(len(prints).bit_length())
+        if 2 * int(width) + len(order).bit_length() <= 64:
+            key = place[root] << (width + width) | second << width | third
+            by = np.argsort(key)
+            new = np.append(True, key[by][1:] != key[by][:-1])
+        else:
+            by = np.lexsort((third, second, place[root]))
+            new = np.ones(len(seq), bool)
+            new[1:] = np.any([x[by][1:] != x[by][:-1] for x in (third, second, place[root])], axis=0)
         at = np.flatnonzero(new)
         self.place = np.empty(len(seq), np.uint32)
-        self.place[order] = np.cumsum(new) - 1
-        train = np.repeat(~held, n)[order].astype(np.int64)
+        self.place[by] = np.cumsum(new) - 1
+        train = np.repeat(~held, n)[by].astype(np.int64)
         self.counts = np.add.reduceat(train, at).astype(np.uint32)
-        self.shard, self.words, self.pairs = s[at], w[at], p[at]
+        told = np.append(np.uint64(NONE), prints)
+        one = by[at]
+        self.shard, self.words = shard[root[one]], first[root[one]]
+        self.pairs = told[second[one].astype(np.int64)] << np.uint64(32) | told[third[one].astype(np.int64)]
         self.n, self.held = n, held
 
     def by_shard(self) -> Iterator[tuple[int, bytes]]:
@@ -195,21 +211,60 @@ def _vocabulary(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
         yield common.from_columns(["shard", "n", "v", "words", "counts"], [pa.array([s], pa.int32()), pa.array([int(c.sum())]), pa.array([len(w)]), pa.array([w[often].tobytes()], pa.binary()), pa.array([c[often].tobytes()], pa.binary())])
 
 
+def _successors(batches: Iterator[pa.RecordBatch], hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The distinct successors of each frequent word in a block, by part."""
+    for _, block in blocks(batches):
+        seq, n, held = block.sequences()
+        at = np.flatnonzero(np.repeat(~held, n)[:-1])
+        place = np.minimum(np.searchsorted(hot, seq[at]), len(hot) - 1)
+        often = hot[place] == seq[at]
+        place, after = place[often], seq[at[often] + 1]
+        order = np.lexsort((after, place))
+        place, after = place[order], after[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (after[1:] != after[:-1])
+        place, after = place[new].astype(np.uint32), after[new]
+        part = shard_of(after, parts)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            mine = order[cut[i] : cut[i + 1]]
+            yield common.from_columns(["part", "data"], [pa.array([i], pa.int32()), pa.array([packed(place[mine], after[mine])], pa.binary())])
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[bytes]] = defaultdict(list)
+    for b in batches:
+        for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held[i].append(data)
+    for rows in held.values():
+        place, after = (np.concatenate(x) for x in zip(*map(unpacked, rows), strict=True))
+        order = np.lexsort((after, place))
+        place, after = place[order], after[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (after[1:] != after[:-1])
+        word, kinds = np.unique(place[new], return_counts=True)
+        yield common.from_columns(["word", "kinds"], [pa.array(word.astype(np.int64)), pa.array(kinds.astype(np.int64))])
+
+
 class Vocabulary:
-    """Sums over the training tokens and the frequent words."""
+    """Sums over the training tokens and the frequent words: for each, its
+    count and its distinct successors."""
 
     def __init__(self, rows, shards: int):
         self.n, self.v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
         self.z = self.n + self.v + 1
-        self.mass = [1.0 / self.z] * shards
-        hot = {}
+        self.hot: dict[int, tuple[int, int]] = {}
         for r in rows:
-            self.mass[r["shard"]] = (r["n"] + r["v"]) / self.z
             for w, c in zip(np.frombuffer(r["words"], np.uint64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True):
                 if c > self.n / (4 * shards) and w != END_HASH:
-                    hot[w] = c
-        self.hot = hot
-        self.hot_words = np.sort(np.fromiter(hot, np.uint64, len(hot)))
+                    self.hot[w] = (c, 0)
+        self.hot_words = np.sort(np.fromiter(self.hot, np.uint64, len(self.hot)))
+
+    def followed(self, rows) -> None:
+        for r in rows:
+            w = int(self.hot_words[r["word"]])
+            self.hot[w] = (self.hot[w][0], r["kinds"])
 
 
 def _answered(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
@@ -234,17 +289,19 @@ def _answered(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iter
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (p[1:] != p[:-1])
         at = np.flatnonzero(new)
-        trie = NgramTrie(w[at], p[at], np.add.reduceat(c, at) if len(at) else c, vocabulary.hot, vocabulary.mass[s])
+        trie = NgramTrie(w[at], p[at], np.add.reduceat(c, at) if len(at) else c, vocabulary.hot)
         del w, p, c, order, new
         hot = vocabulary.hot_words
+        hot_count = np.array([vocabulary.hot[w][0] for w in hot.tolist()], np.int64)
+        hot_left = left_over(np.array([vocabulary.hot[w][1] for w in hot.tolist()], np.int64), hot_count)
         for name, data in rows:
             words, runs1, f2, runs2, f3, _ = unpacked(data)
             of1, of2 = np.repeat(np.arange(len(words)), runs1), np.repeat(np.arange(len(f2)), runs2)
             n, left1, share2, left2, share3 = trie.query(words, of1, f2, of2, f3)
             if len(hot):  # a frequent word none of whose successors are here
-                there = hot[np.minimum(np.searchsorted(hot, words), len(hot) - 1)] == words
-                for i in np.flatnonzero(there & (n == 0)).tolist():
-                    n[i], left1[i] = vocabulary.hot[int(words[i])], trie.hot_left
+                place = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+                there = hot[place] == words
+                n[there], left1[there] = hot_count[place[there]], hot_left[place[there]]
             answer = packed(n.astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n, left1, runs1, share2, left2, runs2, share3)
             yield common.from_columns(["block", "shard", "data"], [pa.array([name]), pa.array([s], pa.int32()), pa.array([answer], pa.binary())])
 
@@ -287,17 +344,22 @@ def _scored(batches: Iterator[pa.RecordBatch], z: int, total: int, key: str) ->
         yield common.from_columns([key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [ids, pa.array(out), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), total)), pa.array(sums[1]), pa.array(sums[2])])
 
 
-def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Learn from the rows that aren't held out and score all rows."""
+def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
+    """Learn from the rows that aren't held out and score all rows; the trie is
+    in `shards` shards, by default one for each partition and SHARD_BYTES."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(common.partitions_for(spark), math.ceil(size / SHARD_BYTES))
+    shards = shards or max(common.partitions_for(spark), math.ceil(size / SHARD_BYTES))
     found = rows.where("NOT held").mapInArrow(lambda b: _unigrams(b, shards), "shard int, data binary").repartition(shards, "shard")
     vocabulary = Vocabulary(found.mapInArrow(lambda b: _vocabulary(b, shards), "shard int, n long, v long, words binary, counts binary").collect(), shards)
-    del found
+    if len(vocabulary.hot_words):
+        hot = vocabulary.hot_words
+        pairs = rows.where("NOT held").mapInArrow(lambda b: _successors(b, hot, shards), "part int, data binary").repartition(shards, "part")
+        # a row for each frequent word: at most four for each shard
+        vocabulary.followed(pairs.mapInArrow(_kinds, "word long, kinds long").groupBy("word").agg(F.sum("kinds").alias("kinds")).collect())
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

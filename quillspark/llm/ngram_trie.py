@@ -125,6 +125,12 @@ class EliasFano:
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low(at)
 
 
+def left_over(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Codes of the weight that contexts leave to the next lower level."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return quantised(np.where(tokens > 0, DISCOUNT * kinds / tokens, 1.0))
+
+
 def _runs(new: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
@@ -132,12 +138,11 @@ def _runs(new: np.ndarray) -> np.ndarray:
 class NgramTrie:
     """Built from sorted distinct rows (w1, fp2 << 32 | fp3) with counts.
 
-    `hot` gives the whole count of words whose successors are spread over
-    several tries, and `mass` the share of the unigram distribution that
-    this trie's part of their successors has.
+    `hot` gives the whole count of the words whose successors are spread over
+    several tries, and how many distinct successors they have in all of them.
     """
 
-    def __init__(self, w1: np.ndarray, pair: np.ndarray, count: np.ndarray, hot: dict[int, int], mass: float):
+    def __init__(self, w1: np.ndarray, pair: np.ndarray, count: np.ndarray, hot: dict[int, tuple[int, int]]):
         n = len(w1)
         new1 = np.ones(n, bool)
         new1[1:] = w1[1:] != w1[:-1]
@@ -163,22 +168,18 @@ class NgramTrie:
         self.first2 = EliasFano(np.searchsorted(rank2of, np.arange(len(words) + 1)))
         self.first3 = EliasFano(np.searchsorted(owner, np.arange(len(c2) + 1)))
         n1, n2 = np.bincount(rank2of, minlength=len(words)), np.bincount(owner, minlength=len(c2))
-        whole = np.array([hot.get(int(x), 0) for x in words], np.int64) if hot else np.zeros(len(words), np.int64)
-        part = whole > 0
-        self.count = np.where(part, whole, c1)
-        context = np.where(part, whole, np.bincount(rank2of, c2, len(words)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left1 = np.where(context > 0, DISCOUNT * n1 / context, 1.0)
-        left1 = np.where(part, np.maximum(left1 / mass, 1e-6), left1)
-        self.left1 = quantised(left1)
+        self.count, context = c1.copy(), np.bincount(rank2of, c2, len(words)).astype(np.int64)
+        spread = np.flatnonzero(np.isin(words, np.fromiter(hot, np.uint64, len(hot))))
+        for i in spread.tolist():  # every word but the end has a successor
+            self.count[i], n1[i] = hot[int(words[i])]
+            context[i] = self.count[i]
+        self.left1 = left_over(n1, context)
         self.share2 = quantised((c2 - DISCOUNT) / np.maximum(context[rank2of], 1))
         context2 = np.bincount(owner, c3, len(c2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.left2 = quantised(np.where(context2 > 0, DISCOUNT * n2 / context2, 1.0))
+        self.left2 = left_over(n2, context2)
         self.share3 = quantised((c3 - DISCOUNT) / np.maximum(context2[owner], 1) if len(c3) else np.zeros(0))
         # level 1: 64-bit hashes lose their last bit to fit the coder
         self.level1 = EliasFano(words >> np.uint64(1))
-        self.hot_left = quantised(np.array([1e-6]))[0]
         self.one = quantised(np.array([1.0]))[0]
 
     def query(self, words: np.ndarray, of1: np.ndarray, fp2: np.ndarray, of2: np.ndarray, fp3: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

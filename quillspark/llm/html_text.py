@@ -1,33 +1,40 @@
 """HTML extraction by line-block distribution.
 
 The page is cut into lines at its block-level elements, markup stripped. A
-line that stands in a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section, or that is mostly link text, counts 0
-characters, as does a line outside the article element where the page has
-one; every other line counts its characters. Sums over a window that slides
+line in a menu, header, footer, sidebar, notice, advert, form, script, style
+or comment section counts 0 characters, as does one that is mostly link text
+and, where the page marks its articles (`article` or `main`), one outside of
+them; every other line counts its characters. Sums over a window that slides
 along the lines give the block distribution: the text surges where a window
 first reaches the threshold and dives where the windows fall below it again.
-The lines between, less those of the left-out elements, are the main text.
-Where the page marks its article, the threshold is one character and all
-surges count, so that short paragraphs stay; else it is THRESHOLD characters
-and the surge with the most text is taken.
+The threshold is THRESHOLD characters, or the greatest window on a page whose
+windows are all below it.
+
+The surges say where the main text is. Where a surge is in a marked article,
+that whole article is main text, its short lines too; on a page without one,
+main text are the lines from the first surge to the last dive that aren't
+mostly link text, less menu-like ones at either end, and the headings right
+above the first surge. Left-out elements are never part of it.
 
 Character references are decoded, white space inside a line is one space,
 empty lines go, and lines are joined by a line feed in page order. A line
-break (`br`) is white space.
+break (`br`) is white space. Tags are read in one pass: what follows a `<`
+that opens no whole tag is text.
 
 Defined cases: null or empty html, and pages without text, give an empty
 text and 0 characters; unclosed elements end with the page, except that an
-article ends a left-out element that was never closed; malformed tags are
-text; very long pages are one pass; repeated rows are extracted each for
-itself; an empty table gives an empty result; a null id or url stays null;
-other columns are ignored.
+article ends a left-out element that was never closed, unless that holds
+comments or stands in an article itself; malformed tags are text; very long
+pages are one pass; repeated rows are extracted each for itself; of surges
+alike none is preferred, all count; an empty table gives an empty result; a
+null id or url stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,37 +48,60 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas audio video".split())
 LEFT_OUT = frozenset("nav footer aside form button select menu dialog head search datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup social share sharing related recommended comment comments disqus respond reply replies widget toolbar pagination pager login masthead".split())
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+WORDS = COMMENTS | frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup social share sharing related recommended widget toolbar pagination pager login masthead".split())
+#: Words that say where such a part is or what form it has: `site-footer` is one, `side-effects` isn't.
+FORMS = frozenset("site page global main top bottom left right primary secondary header post posts article articles entry content list lists item items links link bar box block section container wrapper wrap area slot unit inner outer form buttons button icons text title policy media stories reading news story thread feed".split())
 KEPT = frozenset("html body article main".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+'|[<"'])*?)>""", re.DOTALL)
-NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-_RAW_END = {t: re.compile(rf"</{t}(?![a-zA-Z0-9])[^>]*>", re.IGNORECASE) for t in RAW}
+#: A quote counts after an equals sign only; possessive throughout, so that a tag is read once or not at all.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""", re.DOTALL)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden)(?![\w-])(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""", re.IGNORECASE)
+MARK = re.compile(r"<(?:article|main)(?![\w-])", re.IGNORECASE)
+_RAW_END = {t: re.compile(rf"</{t}(?![a-zA-Z0-9])[^<>]*+>?", re.IGNORECASE) for t in RAW}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def left_out(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
-    if tag in KEPT or not attributes:
-        return False
-    for name, value in NAMED.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and not WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
+def said(value: str, words: frozenset) -> bool:
+    """Whether a class or id names one of the words: as a whole, or together
+    with words of form only."""
+    for token in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+        if any(x in words for x in parts) and all(x in WORDS or x in FORMS or x.isdigit() for x in parts):
             return True
     return False
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, link characters, counted) of each line; whether the page marks
-    its article."""
-    lines: list[tuple[str, int, bool]] = []
-    marked = bool(re.search(r"<(?:article|main)(?![\w-])", page, re.IGNORECASE))
+def left_out(tag: str, attributes: str, in_article: bool) -> str:
+    """Why an element is left out: "comments", "other" or nothing."""
+    if tag in ("html", "body"):
+        return ""
+    why = "other" if tag in LEFT_OUT or (tag == "header" and not in_article) else ""
+    if attributes and "=" in attributes or "hidden" in attributes.lower():
+        for name, value in NAMED.findall(attributes):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name in ("class", "id") and said(value, COMMENTS):
+                return "comments"
+            if tag not in KEPT and (name == "hidden" or (name == "role" and value in ROLES) or (name in ("class", "id") and said(value, WORDS))):
+                why = "other"
+    return why
+
+
+class Line(NamedTuple):
+    text: str
+    links: int  # characters of link text
+    counted: bool  # not in a left-out element
+    article: int  # number of the outermost article it is in; 0 for none
+    heading: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    lines: list[Line] = []
     parts: list[str] = []
-    links = article = 0  # characters of links in this line; open article elements
-    anchor = False
+    links = depth = articles = 0  # characters of links in this line; open articles, and all so far
+    anchor = heading = False
     shut: list[str] = []  # open elements of the left-out one's name; its first entry is that one
+    firm = False  # an article doesn't end the left-out element
     at, n = 0, len(page)
 
     def text(to: int) -> None:
@@ -88,7 +118,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             s = " ".join("".join(parts).split())
             parts.clear()
             if s:
-                lines.append((s, links, not shut and (article > 0 or not marked)))
+                lines.append(Line(s, links, not shut, articles if depth else 0, heading))
         links = 0
 
     while m := TAG.search(page, at):
@@ -110,54 +140,77 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             anchor = not closing
         if tag in BLOCKS:
             line()
-        if tag in ("article", "main") and not closing and not left_out(tag, m[3], True):
+            heading = tag in HEADINGS and not closing
+        why = "" if closing or tag in VOID else left_out(tag, m[3], depth > 0)
+        marks = tag in ("article", "main")
+        if marks and not closing and not why and not firm:
             shut.clear()
         if shut:
             if tag == shut[0] and tag not in VOID:
                 shut.pop() if closing else shut.append(tag)
-        elif not closing and tag not in VOID and left_out(tag, m[3], article > 0):
+        elif why:
             line()
             shut.append(tag)
-        if tag in ("article", "main"):
-            article = max(0, article + (-1 if closing else 1))
+            firm = why == "comments" or depth > 0
+        firm = firm and bool(shut)
+        if marks:
+            articles += not closing and not depth
+            depth = max(0, depth + (-1 if closing else 1))
     text(n)
     line()
-    return lines, marked
-
-
-def _label(line: str) -> bool:
-    """Too short for text and no sentence: what a menu entry looks like."""
-    return len(line) < 20 and line[-1] not in ".!?:;\u3002\uff01\uff1f"
+    return lines
 
 
-def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
-    sizes = [len(s) if counted and (links * 2 <= len(s) or marked) else 0 for s, links, counted in lines]
-    n = len(sizes)
-    least = 1 if marked else THRESHOLD
-    windows, running = [], sum(sizes[:WINDOW])
+def surges(sizes: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """(surge, dive) of every stretch of windows that reach the threshold."""
+    n, windows, running = len(sizes), [], sum(sizes[:window])
     for i in range(n):
         windows.append(running)
-        running += (sizes[i + WINDOW] if i + WINDOW < n else 0) - sizes[i]
+        running += (sizes[i + window] if i + window < n else 0) - sizes[i]
+    threshold = max(1, min(threshold, max(windows, default=0)))
     spans, i = [], 0
     while i < n:
-        if windows[i] < least:
+        if windows[i] < threshold:
             i += 1
             continue
         surge = i
-        while i < n and windows[i] >= least:
+        while i < n and windows[i] >= threshold:
             i += 1
-        dive = min(n, i - 1 + WINDOW)
+        dive = min(n, i - 1 + window)
+        while not sizes[surge]:  # a window reaches ahead to its text
+            surge += 1
+        while not sizes[dive - 1]:
+            dive -= 1
         spans.append((surge, dive))
-    if not marked and spans:
-        a, b = max(spans, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))
-        while a < b and _label(lines[a][0]):
-            a += 1
-        while a < b and _label(lines[b - 1][0]):
-            b -= 1
-        spans = [(a, b)]
-    keep = sorted({j for a, b in spans for j in range(a, b) if lines[j][2] and (sizes[j] or marked)})
-    return "\n".join(lines[j][0] for j in keep)
+    return spans
+
+
+def _label(line: str) -> bool:
+    """Too short for text and no sentence: what a menu entry looks like."""
+    return len(line) < 20 and line[-1] not in ".!?:;\u3002\uff01\uff1f"
+
+
+def main_text(page: str | None) -> str:
+    page = page or ""
+    lines = lines_of(page)
+    marked = MARK.search(page) is not None and any(x.article and x.counted for x in lines)
+    sizes = [len(x.text) if x.counted and (x.links * 2 <= len(x.text)) and (x.article or not marked) else 0 for x in lines]
+    spans = surges(sizes)
+    if marked:
+        main = {lines[i].article for a, b in spans for i in range(a, b) if sizes[i]}
+        if not spans:  # an article of links only
+            main = {x.article for x in lines if x.article and x.counted}
+        return "\n".join(x.text for x in lines if x.counted and x.article in main and x.article)
+    if not spans:
+        return ""
+    a, b = spans[0][0], spans[-1][1]
+    while a < b and _label(lines[a].text) and not lines[a].heading:
+        a += 1
+    while a < b and _label(lines[b - 1].text):
+        b -= 1
+    while a and lines[a - 1].heading and lines[a - 1].counted:
+        a -= 1
+    return "\n".join(lines[i].text for i in range(a, b) if sizes[i])
 
 
 def _row(page: str | None) -> tuple[str, int]:

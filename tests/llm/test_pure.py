@@ -436,3 +436,55 @@ def test_many_secrets_take_linear_time():
     known = secrets.base_spans(few)
     plain = [(m.start(), 3, m.end()) for m in secrets.CANDIDATE.finditer(few) if not any(s < m.end() and m.start() < e for s, _, e in known) and secrets.is_random(m[0])]
     assert secrets.entropy_spans(few, known) == plain
+
+
+# ------------------------------------------------------------ HTML, hard cases
+
+PARAGRAPH = "<p>" + "A long sentence about the harbour and its ships. " * 4 + "</p>"
+SAID = " ".join(("A long sentence about the harbour and its ships. " * 4).split())
+
+
+def test_comments_are_left_out_even_as_articles():
+    page = f"<article><h1>Title</h1>{PARAGRAPH}<div class='comments'><article><p>Reader says hi</p></article></div><p>End.</p></article>"
+    assert html_text.main_text(page) == f"Title\n{SAID}\nEnd."
+    assert html_text.main_text(f"<main>{PARAGRAPH}<article class='comment'><p>Reader says hi</p></article></main>") == SAID
+    assert html_text.main_text(f"<section id=comments><article><p>{'Reader says much. ' * 20}</p></article></section><article>{PARAGRAPH}</article>") == SAID
+
+
+def test_class_words_count_as_whole_names():
+    page = f"<article>{PARAGRAPH}<section class='side-effects'><p>Rash.</p></section><div id='related-work'><p>Others did.</p></div><div class='related-posts'><p>More</p></div><div class='site-footer'>Imprint</div></article>"
+    assert html_text.main_text(page) == f"{SAID}\nRash.\nOthers did."
+
+
+def test_unmarked_pages_keep_all_surges_and_their_heading():
+    links = "<ul>" + "".join(f"<li><a href='#'>Link number {i}</a></li>" for i in range(6)) + "</ul>"
+    page = f"<div>{links}<h1>Title</h1>{PARAGRAPH}{links}<h2>Part two</h2>{PARAGRAPH}<p>Short end.</p></div><div>Imprint</div>"
+    assert html_text.main_text(page) == f"Title\n{SAID}\nPart two\n{SAID}\nShort end."
+
+
+def test_windows_decide_which_article_is_main():
+    page = f"<article><p>Teaser</p></article>{'<nav>x</nav>' * 3}<p>out</p><p>out</p><p>out</p><article>{PARAGRAPH}<p>ok</p></article>"
+    assert html_text.main_text(page) == f"{SAID}\nok"
+    assert html_text.main_text("<article><p>Only this</p></article>") == "Only this"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 10, 30, 60, 90, 400]), max_size=30))
+def test_surges_against_all_windows(sizes):
+    windows = [sum(sizes[i : i + 3]) for i in range(len(sizes))]
+    least = max(1, min(86, max(windows, default=0)))
+    covered = {j for i, w in enumerate(windows) if w >= least for j in range(i, min(i + 3, len(sizes))) if sizes[j]}
+    got = {j for a, b in html_text.surges(sizes) for j in range(a, b) if sizes[j]}
+    assert got == covered
+
+
+def test_malformed_and_long_pages_take_linear_time():
+    import time
+
+    at = time.process_time()
+    quotes = "<a " + " ".join(f'k{i}="v' for i in range(41)) + " <p>This text stays.</p>"
+    assert html_text.main_text(quotes).endswith("\nThis text stays.")
+    for bad in ("<a b='c' ", "<a href=\"x ", "<a b=", "<", "<script", "<!--", "<p class='a", "</", "&#x", "<a " + "b='c' " * 20):
+        html_text.main_text(bad * 10_000)
+    assert len(html_text.main_text("<article>" + PARAGRAPH * 20_000 + "</article>").split("\n")) == 20_000
+    assert time.process_time() - at < 30

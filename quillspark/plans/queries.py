@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.lexicon import LATIN_GENERIC as LEX
 from ..operators import answers, bm25, dedup, dense, evaluation, fusion, hygiene, metrics, select, split, structure
+from ..sources import scratch
 from ..streaming import flows
 from .catalog import query
 
@@ -30,11 +31,15 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks
 
 
-def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunk_table(spark, sf_dir).withColumn("content_type", structure.content_type(F.col("text"), LEX))
+def typed(chunks: DataFrame) -> DataFrame:
+    c = chunks.withColumn("content_type", structure.content_type(F.col("text"), LEX))
     return hygiene.flagged(c.withColumn("risk_level", structure.risk_level(F.col("text"), F.col("content_type"), LEX)), LEX)
 
 
+def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed(chunk_table(spark, sf_dir))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -63,7 +68,7 @@ COMPACT = "regexp_replace({}, '\\s+', '', 'g')"
 WORDS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+(?:[A-Za-z0-9&+/-]*[A-Za-z0-9])?'), lambda w: lower(w))"
 LINES = "list_transform(string_split(rtrim({}, chr(10)), chr(10)), lambda x: trim(x))"
 CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, doc_id AS chunk_index, (doc_id // 10)::INT AS page, text, lang AS chapter, source AS section FROM documents)"
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS question FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
 
 def _dedup_sql(c: str) -> str:
@@ -123,7 +128,8 @@ pen4 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS po
 sparse AS (SELECT query_id, chunk_id, ratio, penalised, score, pos FROM pen4 WHERE pos <= {k})"""
 
 
-DENSE_SQL = "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10), dense0 AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM qv, embeddings), dense1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM dense0), dense AS (SELECT * FROM dense1 WHERE pos <= 10)"
+_NEAREST_SQL = "qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE {}), dense0 AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM qv, embeddings), dense1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM dense0), dense AS (SELECT * FROM dense1 WHERE pos <= 10)"
+DENSE_SQL = _NEAREST_SQL.format("vec_id IN (SELECT item_id FROM benchmark)")
 FUSED_SQL = """both0 AS (SELECT query_id, chunk_id, pos, score, 'dense' AS src FROM dense UNION ALL SELECT query_id, chunk_id, pos, score, 'bm25' FROM sparse),
 fused0 AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + pos)) AS rrf, min(pos) FILTER (src = 'dense') AS dense_rank, min(pos) FILTER (src = 'bm25') AS bm25_rank FROM both0 GROUP BY ALL),
 fused AS (SELECT *, CASE WHEN bm25_rank IS NULL THEN 'dense' WHEN dense_rank IS NULL THEN 'bm25' ELSE 'hybrid' END AS retrieval_source, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, dense_rank ASC NULLS LAST, bm25_rank, chunk_id) AS pos FROM fused0)"""
@@ -187,8 +193,11 @@ def bm25_index_stats(spark, sf):
 
 
 def _sparse(spark, sf, k=10):
-    chunks = typed_chunks(spark, sf)
-    return bm25.search(bm25.build(chunks), chunks, questions(spark, sf), LEX, k)
+    """The ranked list, written once: others are built on it."""
+    chunks = chunk_table(spark, sf)
+    index = bm25.build(chunks, lambda p: scratch.written(p, "postings"))
+    found = bm25.search(index, chunks, questions(spark, sf), LEX, k, typed)
+    return scratch.written(found.select("query_id", "chunk_id", "pos", "score", "raw", "penalised", "coverage_ratio", "penalty_reason"), "sparse")
 
 
 @query("bm25_topk", f"WITH {_topk_sql(10)} SELECT query_id, chunk_id, pos, round(score, 6) AS score, round(penalised, 6) AS penalised, round(ratio, 6) AS coverage_ratio FROM sparse")
@@ -210,7 +219,7 @@ def _dense(spark, sf, asked, k=10):
     return dense.search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), asked, k)
 
 
-@query("dense_topk", f"WITH {DENSE_SQL} SELECT query_id, chunk_id, pos, round(score, 6) AS score, round(1 - score, 6) AS distance FROM dense")
+@query("dense_topk", f"WITH {_NEAREST_SQL.format('vec_id % 50 = 0')} SELECT query_id, chunk_id, pos, round(score, 6) AS score, round(1 - score, 6) AS distance FROM dense")
 def dense_topk(spark, sf):
     return _dense(spark, sf, _asked_vectors(table(spark, sf, "embeddings"))).select("query_id", "chunk_id", F.col("pos").cast("long").alias("pos"), _r("score"), _r("distance"))
 
@@ -222,6 +231,10 @@ def dense_lsh_topk(spark, sf):
 
 
 def _hybrid(spark, sf):
+    return scratch.written(_fused(spark, sf), "fused")
+
+
+def _fused(spark, sf):
     return fusion.rrf(_dense(spark, sf, _question_vectors(spark, sf)), _sparse(spark, sf), top=10)
 
 
@@ -232,7 +245,8 @@ def rrf_fusion(spark, sf):
 
 def _hits(spark, sf):
     """Fused hits with their chunks and questions, made distinct by content."""
-    h = _hybrid(spark, sf).withColumn("score", F.col("rrf_score")).join(typed_chunks(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
+    h = _hybrid(spark, sf).withColumn("score", F.col("rrf_score")).join(chunk_table(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
+    h = typed(h)
     return dedup.by_content(h.where(~F.col("is_toc") & ~F.col("is_noise")), ["query_id"])
 
 
@@ -398,17 +412,12 @@ def unlabelled_anti(spark, sf):
 
 @query("contains_join", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def contains_join(spark, sf):
-    """Containment by an anchor: an item's first six words are looked up by
-    equality among the documents' six-word windows, then verified."""
-    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    head = F.array_join(F.slice(F.split("text", r"[ \n]"), 1, 6), " ")
-    anchors = items.select("item_id", F.col("text").alias("item"), F.xxhash64(head).alias("a"))
-    heads = anchors.select("a").distinct()
-    words = docs.select("doc_id", F.split("text", r"[ \n]").alias("w"))
-    # items may begin inside a word, so the first word is compared by its end
-    spots = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " ")))).alias("a"))
-    found = spots.join(heads, "a", "left_semi").distinct().join(anchors, "a")
-    return found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    """Every text that holds an item, found by hashed windows of an item's
+    beginning and then compared; an item without text is in none."""
+    items = table(spark, sf, "benchmark").where("text <> ''")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("new_id"), F.lit(0).alias("new_page"), F.col("text").alias("new_flat"))
+    found = evaluation.containing(items.select(F.col("text").alias("needle")).distinct(), docs)
+    return found.join(items.select("item_id", F.col("text").alias("needle")), "needle").select(F.col("new_id").alias("doc_id"), "item_id")
 
 
 # ----------------------------------------------------------------- evaluation
@@ -417,20 +426,20 @@ def contains_join(spark, sf):
 def _cases(spark, sf):
     empty = F.array().cast("array<string>")
     q = questions(spark, sf)
-    words = F.slice(F.filter(F.split("question", " "), lambda w: F.length(w) >= 4), 1, 4)
-    return q.select(F.col("query_id").alias("case_id"), F.array().cast("array<bigint>").alias("gold_ids"), F.array(F.array_join(F.slice(F.split("question", " "), 1, 8), " ")).alias("quotes"), F.array().cast("array<int>").alias("expected_pages"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))).alias("expected_sections"), empty.alias("acceptable_sections"), F.array(F.lit("procedure")).alias("expected_content_types"), words.alias("must_contain_terms"), F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")).alias("category"), F.concat(F.lit("i"), (F.col("query_id") % 3).cast("string")).alias("intent_type"))
+    words = F.filter(F.split("question", " "), lambda w: F.length(w) >= 4)
+    return q.select(F.col("query_id").alias("case_id"), F.array().cast("array<bigint>").alias("gold_ids"), F.array("question").alias("quotes"), F.array().cast("array<int>").alias("expected_pages"), F.array(F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))).alias("expected_sections"), empty.alias("acceptable_sections"), F.array(F.lit("procedure")).alias("expected_content_types"), words.alias("must_contain_terms"), F.concat(F.lit("c"), (F.col("query_id") % 4).cast("string")).alias("category"), F.concat(F.lit("i"), (F.col("query_id") % 3).cast("string")).alias("intent_type"))
 
 
 def _ranked_modes(spark, sf):
     """The top five of each mode, with their chunks."""
-    s, d = _sparse(spark, sf), _dense(spark, sf, _question_vectors(spark, sf))
+    s, d = _sparse(spark, sf), scratch.written(_dense(spark, sf, _question_vectors(spark, sf)), "dense")
     f = fusion.rrf(d, s, top=10)
     rows = s.select("query_id", "chunk_id", "pos", F.lit("bm25").alias("mode")).unionByName(d.select("query_id", "chunk_id", "pos", F.lit("dense").alias("mode"))).unionByName(f.select("query_id", "chunk_id", "pos", F.lit("hybrid").alias("mode")))
-    rows = rows.where("pos <= 5").join(typed_chunks(spark, sf).drop("source_file"), "chunk_id")
-    return rows.withColumns({"source_file": F.lit("documents")}).withColumnRenamed("query_id", "case_id")
+    rows = typed(rows.where("pos <= 5").join(chunk_table(spark, sf), "chunk_id"))
+    return rows.withColumnRenamed("query_id", "case_id")
 
 
-_CASES_SQL = "cases AS (SELECT query_id AS case_id, 'src' || (query_id % 20) AS sec, list_slice(list_filter(string_split(question, ' '), lambda w: length(w) >= 4), 1, 4) AS terms, array_to_string(list_slice(string_split(question, ' '), 1, 8), ' ') AS quote, 'c' || (query_id % 4) AS category, 'i' || (query_id % 3) AS intent_type FROM questions)"
+_CASES_SQL = "cases AS (SELECT query_id AS case_id, 'src' || (query_id % 20) AS sec, list_filter(string_split(question, ' '), lambda w: length(w) >= 4) AS terms, question AS quote, 'c' || (query_id % 4) AS category, 'i' || (query_id % 3) AS intent_type FROM questions)"
 _EVIDENCE_SQL = f"(contains({COMPACT.format('text')}, {COMPACT.format('quote')}) OR ((contains(section, sec) OR contains(sec, section)) AND found > 0) OR (content_type = 'procedure' AND found > 0))"
 _METRICS_SQL = f"""WITH {_topk_sql(10)}, {DENSE_SQL}, {FUSED_SQL}, {_CASES_SQL},
 ranked AS (SELECT query_id AS case_id, chunk_id, pos, 'bm25' AS mode FROM sparse WHERE pos <= 5 UNION ALL SELECT query_id, chunk_id, pos, 'dense' FROM dense WHERE pos <= 5 UNION ALL SELECT query_id, chunk_id, pos, 'hybrid' FROM fused WHERE pos <= 5),
@@ -469,7 +478,7 @@ _BY_MODE = "{} AS (SELECT case_id, first_rank AS rank FROM res WHERE mode = '{}'
 
 def _moves(spark, sf):
     # cases that a mode retrieves nothing for have no rank; both sides list every case
-    m = _case_metrics(spark, sf).select("case_id", "mode", F.col("first_evidence_hit_rank").cast("long").alias("rank"))
+    m = scratch.written(_case_metrics(spark, sf).select("case_id", "mode", F.col("first_evidence_hit_rank").cast("long").alias("rank")), "ranks")
     every = questions(spark, sf).select(F.col("query_id").alias("case_id"))
     side = lambda mode: every.join(m.where(F.col("mode") == mode).drop("mode"), "case_id", "left")
     return evaluation.movements(side("bm25"), side("hybrid"))
@@ -493,7 +502,7 @@ def _gold(spark, sf):
     every eleventh a stale id."""
     g = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
     stale_id = F.when(F.col("doc_id") % 11 == 0, F.col("doc_id") + 10**9).otherwise(F.col("doc_id"))
-    return g.select(F.col("doc_id").alias("case_id"), F.lit(0).alias("evidence_no"), stale_id.alias("chunk_id"), F.expr("doc_id div 10").cast("int").alias("page"), F.lit(None).cast("string").alias("chapter"), F.when(F.col("doc_id") % 7 == 0, "gone").otherwise(F.col("source")).alias("section"), F.lit(None).cast("string").alias("subsection"), F.substring("text", 1, 60).alias("quote"), F.array().cast("array<string>").alias("terms"))
+    return g.select(F.col("doc_id").alias("case_id"), F.lit(0).alias("evidence_no"), stale_id.alias("chunk_id"), F.expr("doc_id div 10").cast("int").alias("page"), F.lit(None).cast("string").alias("chapter"), F.when(F.col("doc_id") % 7 == 0, "gone").otherwise(F.col("source")).alias("section"), F.lit(None).cast("string").alias("subsection"), F.col("text").alias("quote"), F.array().cast("array<string>").alias("terms"))
 
 
 @query("gold_validation", "WITH g AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 11 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN 'gone' ELSE source END AS section FROM labels JOIN documents USING (doc_id)) SELECT case_id, 'missing_chunk' AS issue_type, 'chunk_id' AS field, chunk_id::VARCHAR AS expected, NULL::VARCHAR AS actual FROM g WHERE chunk_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT case_id, 'field_mismatch', 'section', section, source FROM g JOIN documents d ON d.doc_id = g.chunk_id WHERE section <> source")
@@ -501,7 +510,7 @@ def gold_validation(spark, sf):
     return evaluation.gold_issues(_gold(spark, sf), chunk_table(spark, sf))
 
 
-@query("audit_classify", "WITH g AS (SELECT d.doc_id AS case_id, CASE WHEN d.doc_id % 11 = 0 THEN d.doc_id + 1000000000 ELSE d.doc_id END AS old, regexp_replace(substr(text, 1, 60), '\\s+', '', 'g') AS q, (d.doc_id // 10) AS page FROM labels JOIN documents d USING (doc_id) WHERE d.doc_id < 200), c AS (SELECT doc_id AS new, doc_id // 10 AS page, regexp_replace(text, '\\s+', '', 'g') AS flat FROM documents), f AS (SELECT g.case_id, old, new, g.page, c.page AS np, CASE WHEN old = new THEN 1 WHEN contains(flat, q) THEN 2 END AS r FROM g JOIN c ON old = new OR contains(flat, q)), b AS (SELECT *, min(r) OVER (PARTITION BY case_id) AS least FROM f), s AS (SELECT case_id, any_value(old) AS old, count(*) AS n, min(new) AS new, min(np) AS np, any_value(page) AS page FROM b WHERE r = least GROUP BY case_id) SELECT case_id, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN old = new AND page = np THEN 'UNCHANGED' WHEN page <> np THEN 'METADATA_CHANGED' ELSE 'CHUNK_ID_CHANGED' END AS classification, CASE WHEN n > 1 THEN 'medium' ELSE 'high' END AS confidence, n > 1 AS needs_review FROM s")
+@query("audit_classify", "WITH g AS (SELECT d.doc_id AS case_id, CASE WHEN d.doc_id % 11 = 0 THEN d.doc_id + 1000000000 ELSE d.doc_id END AS old, regexp_replace(text, '\\s+', '', 'g') AS q, (d.doc_id // 10) AS page FROM labels JOIN documents d USING (doc_id)), c AS (SELECT doc_id AS new, doc_id // 10 AS page, regexp_replace(text, '\\s+', '', 'g') AS flat FROM documents), f AS (SELECT g.case_id, old, new, g.page, c.page AS np, CASE WHEN old = new THEN 1 WHEN contains(flat, q) THEN 2 END AS r FROM g JOIN c ON old = new OR contains(flat, q)), b AS (SELECT *, min(r) OVER (PARTITION BY case_id) AS least FROM f), s AS (SELECT case_id, any_value(old) AS old, count(*) AS n, min(new) AS new, min(np) AS np, any_value(page) AS page FROM b WHERE r = least GROUP BY case_id) SELECT case_id, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN old = new AND page = np THEN 'UNCHANGED' WHEN page <> np THEN 'METADATA_CHANGED' ELSE 'CHUNK_ID_CHANGED' END AS classification, CASE WHEN n > 1 THEN 'medium' ELSE 'high' END AS confidence, n > 1 AS needs_review FROM s")
 def audit_classify(spark, sf):
     gold = _gold(spark, sf)
     return evaluation.audit(gold, evaluation.counted_candidates(gold, chunk_table(spark, sf)))

@@ -196,7 +196,7 @@ def _sparse(spark, sf, k=10):
     """The ranked list, written once: others are built on it."""
     chunks = chunk_table(spark, sf)
     index = bm25.build(chunks, lambda p: scratch.written(p, "postings"))
-    found = bm25.search(index, chunks, questions(spark, sf), LEX, k, typed)
+    found = bm25.search(index, chunks, questions(spark, sf), LEX, k, typed, lambda df: scratch.written(df, "scores"))
     return scratch.written(found.select("query_id", "chunk_id", "pos", "score", "raw", "penalised", "coverage_ratio", "penalty_reason"), "sparse")
 
 

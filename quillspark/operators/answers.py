@@ -3,7 +3,6 @@ and citations."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokens as K
 from ..functions.lexicon import LexiconProfile
 
 MAX_CONTEXTS, MAX_CHARS = 5, 6000
@@ -91,97 +91,74 @@ def without_references(c: Column) -> Column:
 
 # ------------------------------------------------------------------- quotes
 
-LIST_ITEM = re.compile(r"^\s*(?:■|-|•|\d+\.|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])")
-
-
-class Quoter:
-    """Picks the part of a text that answers a question, up to a length."""
-
-    def __init__(self, lex: LexiconProfile, longest: int = 220):
-        self.lex, self.longest = lex, longest
-        self.stop = sorted(lex.stopwords, key=lambda s: (-len(s), s))
-
-    @staticmethod
-    def squeezed(t: str) -> str:
-        return " ".join(t.split())
-
-    def score(self, part: str, words: list[str], core: str) -> float:
-        if len(part) < 4:
-            return -1.0
-        found = [w for w in words if w in part]
-        total = float(sum(2 if len(w) >= 4 else 1 for w in found))
-        total += 4.0 * bool(core and core in part) + 0.5 * any(w in part for w in self.lex.action_terms)
-        return total - (1.0 if len(part) <= 8 and not found else 0.0)
-
-    def trimmed(self, t: str) -> str:
-        t = self.squeezed(t)
-        if len(t) <= self.longest:
-            return t
-        cut = t[: self.longest]
-        for mark in "。；！？":
-            at = cut.rfind(mark)
-            if at >= int(self.longest * 0.55):
-                return cut[: at + 1].strip()
-        at = cut.rfind(" ")
-        return (cut[:at] if at >= int(self.longest * 0.75) else cut).strip()
-
-    def core(self, question: str) -> str:
-        t = "".join(question.split())
-        for s in self.stop:
-            t = t.replace(s, "")
-        return t if len(t) >= 4 else ""
-
-    def words(self, question: str) -> list[str]:
-        """The keywords of a question, as `tokens.keywords` gives them."""
-        out = [t for t in self.lex.common_terms if t in question]
-        for w in re.findall("[一-鿿]{2,}|[A-Za-z0-9]{2,}", question):
-            if w not in self.stop:
-                for s in self.stop:
-                    w = w.replace(s, "")
-                out.append(w)
-        out = list(dict.fromkeys(w for w in out if len(w) >= 2))
-        pairs = [w[i : i + 2] for w in out if re.fullmatch("[一-鿿]{4,}", w) for i in range(len(w) - 1)]
-        return list(dict.fromkeys([*out, *(p for p in pairs if p not in self.stop)]))
-
-    def quote(self, question: str, text: str) -> str:
-        if self.longest <= 0:
-            return ""
-        words = self.words(question)
-        whole = self.squeezed(text)
-        parts = [p for p in map(self.squeezed, re.split(r"(?<=[。；！？])|\n+", whole)) if p]
-        if not parts:
-            return whole
-        scores = [self.score(p, words, self.core(question)) for p in parts]
-        best = max(range(len(parts)), key=lambda i: (scores[i], -i))
-        if scores[best] <= 0:
-            return self.trimmed(whole)
-        leads = [any(w in p for w in self.lex.leading_terms) for p in parts]
-        acts = [any(w in p for w in self.lex.action_terms) for p in parts]
-        items = [bool(LIST_ITEM.match(p)) for p in parts]
-        chosen, size, going = [parts[best]], len(parts[best]), leads[best]
-        for i in range(best + 1, len(parts)):
-            joins = items[i] or (going and (acts[i] or leads[i]))
-            if not joins or size + 1 + len(parts[i]) > self.longest + 40:
-                break
-            chosen.append(parts[i])
-            size += 1 + len(parts[i])
-            going = going or items[i]
-        b = best - 1
-        if size < self.longest * 0.7 and b >= 0 and (leads[b] or acts[b]) and size + 1 + len(parts[b]) <= self.longest + 20:
-            chosen.insert(0, parts[b])
-        return self.trimmed(" ".join(chosen))
-
-
-def quoted(rows: DataFrame, lex: LexiconProfile, longest: int = 220, name: str = "quote") -> DataFrame:
-    """Add the relevant quote of `text` for `question`; the greedy merge is
-    not a set operation, so it runs in Arrow batches."""
-    quoter = Quoter(lex, longest)
-
-    @F.pandas_udf("string")
-    def pick(question: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([quoter.quote(q or "", t or "") for q, t in zip(question, text, strict=True)])
-
-    return rows.withColumn(name, pick("question", "text"))
+LIST_ITEM = r"^\s*(?:■|-|•|\d+\.|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
+# The marks that end a sentence, and the weights and lengths of a quote.
+SENTENCE_ENDS = "。；！？"
+LONG_WORD, SHORT_WORD, WHOLE_QUESTION, ACTION, TOO_SHORT = 2.0, 1.0, 4.0, 0.5, 1.0
+MORE_AFTER, MORE_BEFORE, THIN, AT_SENTENCE, AT_SPACE = 40, 20, 0.7, 0.55, 0.75
+QUOTE_CHARS = 220
+
+
+def _last(c: Column, mark: str) -> Column:
+    """Characters before the last occurrence of a mark; negative if none."""
+    at = F.locate(mark, F.reverse(c))
+    return F.when(at == 0, -1).otherwise(F.length(c) - at)
+
+
+def shortened(c: Column, longest: int) -> Column:
+    """Up to `longest` characters, ended after a sentence or at a space if
+    one is near enough to the end."""
+    c = T.squeeze(c)
+    head = F.substring(c, 1, longest)
+    ends = [(_last(head, m), AT_SENTENCE, 1) for m in SENTENCE_ENDS] + [(_last(head, " "), AT_SPACE, 0)]
+    out = F.when(F.length(c) <= longest, c)
+    for at, share, more in ends:
+        out = out.when(at >= int(longest * share), T.strip(F.substring(head, F.lit(1), at + more)))
+    return out.otherwise(T.strip(head))
+
+
+def quoted(rows: DataFrame, lex: LexiconProfile, longest: int = QUOTE_CHARS, name: str = "quote") -> DataFrame:
+    """Add the part of `text` that answers `question`.
+
+    Sentences are weighed by the question's words; the best one (the first
+    of equals) is the heart of the quote. Following sentences are added as
+    long as they are list items or carry on an action, which one fold over
+    them finds out; then the sentence before, if the quote is thin. Without
+    a telling sentence, the text's head is the quote."""
+    if longest <= 0:
+        return rows.withColumn(name, F.lit(""))
+    question, text = F.coalesce("question", F.lit("")), F.coalesce("text", F.lit(""))
+    stop = sorted(lex.stopwords, key=lambda w: (-len(w), w))
+    core = T.compact(question)
+    for w in stop:
+        core = F.replace(core, F.lit(w), F.lit(""))
+    q = rows.withColumns({"__words": K.keywords(question, lex, common_first=True), "__core": F.when(F.length(core) >= 4, core), "__whole": T.squeeze(text)})
+    sentences = F.filter(F.transform(F.split("__whole", f"(?<=[{SENTENCE_ENDS}])"), T.squeeze), lambda p: p != "")
+
+    def told(p: Column) -> Column:
+        met = T.contained(F.col("__words"), p)
+        amount = F.aggregate(met, F.lit(0.0), lambda a, w: a + F.when(F.length(w) >= 4, LONG_WORD).otherwise(SHORT_WORD))
+        acts = T.any_of(p, lex.action_terms)
+        score = amount + F.when(F.coalesce(F.contains(p, F.col("__core")), F.lit(False)), WHOLE_QUESTION).otherwise(0.0) + F.when(acts, ACTION).otherwise(0.0)
+        score = score - F.when((F.length(p) <= 8) & (F.size(met) == 0), TOO_SHORT).otherwise(0.0)
+        return F.struct(p.alias("t"), F.length(p).alias("n"), F.when(F.length(p) < 4, -1.0).otherwise(score).alias("score"), p.rlike(LIST_ITEM).alias("item"), T.any_of(p, lex.leading_terms).alias("leads"), acts.alias("acts"))
+
+    q = q.withColumn("__parts", F.transform(sentences, told))
+    q = q.withColumn("__best", F.array_position(F.transform("__parts", lambda p: p["score"]), F.array_max(F.transform("__parts", lambda p: p["score"]))).cast("int"))
+    heart, before = F.get("__parts", F.col("__best") - 1), F.get("__parts", F.col("__best") - 2)
+
+    def more(a: Column, p: Column) -> Column:
+        joins = a["open"] & (p["item"] | (a["going"] & (p["acts"] | p["leads"]))) & (a["size"] + 1 + p["n"] <= longest + MORE_AFTER)
+        return F.struct(joins.alias("open"), (a["going"] | (joins & p["item"])).alias("going"), (a["size"] + F.when(joins, p["n"] + 1).otherwise(0)).alias("size"), (a["parts"] + joins.cast("int")).alias("parts"))
+
+    start = F.struct(F.lit(True).alias("open"), heart["leads"].alias("going"), heart["n"].alias("size"), F.lit(1).alias("parts"))
+    after = F.slice("__parts", F.col("__best") + 1, F.size("__parts"))
+    q = q.withColumn("__run", F.when(F.col("__best") > 0, F.aggregate(after, start, more)))
+    room = (F.col("__run.size") < longest * THIN) & (F.col("__run.size") + 1 + before["n"] <= longest + MORE_BEFORE)
+    early = F.coalesce((before["leads"] | before["acts"]) & room, F.lit(False)).cast("int")
+    chosen = F.array_join(F.transform(F.slice("__parts", F.col("__best") - early, F.col("__run.parts") + early), lambda p: p["t"]), " ")
+    q = q.withColumn("__pick", F.when(heart["score"] > 0, chosen).otherwise(F.col("__whole")))
+    return q.withColumn(name, shortened(F.col("__pick"), longest)).drop("__words", "__core", "__whole", "__parts", "__best", "__run", "__pick")
 
 
 def citations(chosen: DataFrame, lex: LexiconProfile) -> DataFrame:

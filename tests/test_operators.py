@@ -92,7 +92,7 @@ def test_types_and_split(spark):
     got = split.fixed(p, 100, 20).orderBy("page", "chunk_index").collect()
     assert {r.page for r in got} == {1, 3} and all(len(r.text) <= 100 for r in got) and got[-1].chunk_id == str(uuid.uuid5(uuid.NAMESPACE_URL, "d3:0"))
     assert all(r.text.endswith("。") for r in got[:-2])
-    assert len(split.windows("x" * 100 + "\n1. y" * 50, 50, 45, split.structure_cut(50, ("。",)))) < 400  # goes on whatever the overlap
+    assert len(split.pieces_of("x" * 100 + "\n1. y" * 50, 50, 45, split.STRUCTURE_SHARE, (("。",),), True)) < 400  # goes on whatever the overlap
     with pytest.raises(ValueError):
         split.fixed(p, 10, 10)
     b = structure.blocks(structure.classified_lines(p, ZH), ZH)
@@ -173,11 +173,21 @@ def test_references(spark, raw, clean):
     assert one(spark, answers.without_references(F.col("t")), t=clean) == clean
 
 
-def test_quotes():
-    q = answers.Quoter(ZH, 40)
-    assert q.quote("如何使用安全带", "开头的话没有关系。请系好安全带并检查锁扣。结尾。") != ""
-    assert "安全带" in q.quote("如何使用安全带", "开头的话没有关系。请系好安全带并检查锁扣。结尾。")
-    assert len(q.quote("无关", "长" * 300)) <= 40 and q.quote("x", "  ") == "" and answers.Quoter(ZH, 0).quote("x", "y") == ""
+def test_quotes(spark):
+    rows = [("如何使用安全带", "开头的话没有关系。请系好安全带并检查锁扣。结尾。"), ("无关", "长" * 300), ("x", "  "), (None, None)]
+    d = spark.createDataFrame(rows, "question string, text string").withColumn("i", F.monotonically_increasing_id())
+    got = [r.quote for r in answers.quoted(d, ZH, 40).orderBy("i").collect()]
+    assert "安全带" in got[0] and 0 < len(got[1]) <= 40 and got[2:] == ["", ""]
+    assert {r.quote for r in answers.quoted(d, ZH, 0).collect()} == {""}
+    # the heart, then the list items after it, then nothing that is too long
+    steps = "如何更换机油？请打开机油盖并检查。■ 放出旧机油。■ 加入新机油。" + "其他内容" * 40 + "。"
+    one_row = spark.createDataFrame([("如何更换机油", steps)], "question string, text string")
+    assert answers.quoted(one_row, ZH).first().quote.startswith("如何更换机油？")
+
+
+@pytest.mark.parametrize(("text", "expected"), [("aaaaaa\n1. bbbb", ["aaaaaa", "1. bbbb"]), ("aaaaaaa。bbbbbb", ["aaaaaaa。", "bbbbbb"]), ("aaaaaa\n\n■ bbbb", ["aaaaaa", "■ bbbb"]), ("aaaaaaaaaaaa", ["aaaaaaaaaa", "aa"]), ("a。bbbbbbbbbbb", ["a。bbbbbbbb", "bbb"]), ("", []), (None, [])])
+def test_cuts(text, expected):
+    assert split.pieces_of(text, 10, 0, split.STRUCTURE_SHARE, (("。",), ("\n",)), True) == expected
 
 
 def test_neighbours(spark):

@@ -93,6 +93,18 @@ def retrieve(store: Store, questions: DataFrame, config: EngineConfig | None = N
     return dedup.by_content(hits, ["query_id"]).where(F.col("pos") <= wide)
 
 
+def explained(store: Store, questions: DataFrame, config: EngineConfig | None = None, embed: Callable[[Column], Column] | None = None) -> dict[str, DataFrame]:
+    """A retrieval trace without an answer: the questions' terms, the hits of
+    each mode, and the evidence that a prompt would show."""
+    config = config or EngineConfig()
+    out = {"terms": bm25.question_terms(questions, config.lexicon)}
+    out |= {mode: retrieve(store, questions, config, mode, embed) for mode in fusion.MODES}
+    limit = min(config.top_k, config.max_contexts)
+    hits = select.selected(out[fusion.checked_mode(config.mode)], config.lexicon, max(config.top_k, 5), config.select_contexts, config.selection_base)
+    out["evidence"] = answers.evidence(select.final_contexts(hits, limit, config.max_chars), limit, config.max_chars)
+    return out
+
+
 def answer(store: Store, questions: DataFrame, config: EngineConfig | None = None, mode: str | None = None, generate: Callable[[pd.Series], pd.Series] | None = None, embed: Callable[[Column], Column] | None = None, reranker: Callable[[Column, Column], Column] = select.lexical_score) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers, citations and prompt evidence of a batch of questions; one
     lazy plan up to the generator."""

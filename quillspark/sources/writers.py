@@ -83,12 +83,29 @@ def markdown(rows: DataFrame, title: str, limit: int = 50) -> str:
     return "\n".join(lines) + "\n"
 
 
+def widened(rows: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """A map of metrics as columns: the union of all rows' keys, sorted. Keys
+    are names of metrics, so they are few."""
+    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(metrics))).distinct().collect())
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != metrics], *[F.col(metrics)[k].alias(k) for k in keys])
+
+
+def write_pair(rows: DataFrame, summary: DataFrame, md: str, json: str, title: str = "Report") -> None:
+    """A report as Markdown with its summary first, and all rows as JSON."""
+    spark, text = rows.sparkSession, markdown(summary, title) + "\n" + markdown(rows, "Cases")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(md)
+    rows.write.mode("overwrite").json(json)
+
+
 def write_report(rows: DataFrame, path: str, fmt: str | None = None, title: str = "Report") -> None:
     kind = report_format(path, fmt)
     if kind == "md":
         spark = rows.sparkSession
         spark.createDataFrame([(markdown(rows, title),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     elif kind == "csv":
+        maps = [f.name for f in rows.schema if f.dataType.typeName() == "map"]
+        for m in maps:
+            rows = widened(rows, m)
         rows.select(sorted(rows.columns)).write.mode("overwrite").option("header", True).csv(path)
     else:
         rows.write.mode("overwrite").json(path)

@@ -34,6 +34,7 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
+# Fixed values in the two keys below: the patterns that are taken out, in this order.
 def dedup_key(c: Column) -> Column:
     """The hygiene key: no white space, page numbers, bullets or marks."""
     for pattern in (r"(?U)\s+", r"(?U)^\d{1,4}|\d{1,4}$", r"[■•\-①②③④⑤⑥⑦⑧⑨⑩]", r"(?U)（\d+）|\d+\.", r"[，,。；;：:！？!?.、（）()\[\]【】《》\"'“”‘’]+"):

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import answers, bm25, dedup, dense, fusion, hygiene, select, split, structure
-from ..sources import writers
+from ..sources import scratch, writers
 from .config import EngineConfig
 
-CHUNK_COLUMNS = ("chunk_id", "source_file", "chunk_index", "page", "text", "chapter", "section", "subsection", "content_type", "risk_level", "heading_path", "source_pages", "n_meta", "is_toc", "is_noise", "filter_reason")
+SPLIT_COLUMNS = ("chunk_id", "source_file", "chunk_index", "page", "text", "chapter", "section", "subsection", "content_type", "risk_level", "heading_path", "source_pages")
+FLAG_COLUMNS = ("n_meta", "is_toc", "is_noise", "filter_reason")
 
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
@@ -29,17 +30,18 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
 
 
 def chunked(pages: DataFrame, config: EngineConfig) -> DataFrame:
-    """Pages to typed, risk-graded chunks with hygiene flags. Where structure
-    yields nothing, pages are cut by fixed windows."""
+    """Pages to typed, risk-graded chunks with hygiene flags. Files in which
+    no structure is found are cut by fixed windows, each file for itself."""
     lex = config.lexicon
     clean = pages.withColumn("text", T.clean_text(F.col("text")))
     blocks = structure.blocks(structure.classified_lines(clean, lex, config.skip_toc_pages), lex)
-    chunks = split.structured(blocks, lex, config.chunk_size, config.overlap)
-    if chunks.isEmpty():
-        empty = {c: F.lit(None).cast("string") for c in ("chapter", "section", "subsection", "content_type", "risk_level")}
-        chunks = split.fixed(clean, config.chunk_size, config.overlap).withColumns({**empty, "heading_path": F.array().cast("array<string>"), "source_pages": F.array("page")})
-    chunks = chunks.withColumn("n_meta", F.lit(10))
-    return hygiene.flagged(chunks, lex).select(*CHUNK_COLUMNS)
+    found = scratch.written(split.structured(blocks, lex, config.chunk_size, config.overlap).select(*SPLIT_COLUMNS), "structured")
+    known = found.select(F.col("source_file").alias("__known")).distinct()
+    rest = clean.join(known, F.col("source_file").eqNullSafe(F.col("__known")), "left_anti")
+    empty = {c: F.lit(None).cast("string") for c in ("chapter", "section", "subsection", "content_type", "risk_level")}
+    windows = split.fixed(rest, config.chunk_size, config.overlap).withColumns({**empty, "heading_path": F.array().cast("array<string>"), "source_pages": F.array("page")})
+    chunks = found.unionByName(windows.select(*SPLIT_COLUMNS)).withColumn("n_meta", F.lit(10))
+    return hygiene.flagged(chunks, lex).select(*SPLIT_COLUMNS, *FLAG_COLUMNS)
 
 
 @dataclass(frozen=True)

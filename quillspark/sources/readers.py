@@ -92,5 +92,17 @@ def reviews(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def raw_lines(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """(key, raw): the lines of a JSON lines file as they stand, beside their
+    keys, for rewriting a set without touching other fields; a malformed line
+    is an error, blank lines are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"`{key}` string", {"mode": "FAILFAST"})[key].alias(key), F.col("value").alias("raw"))
+
+
 def json_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """A report of one JSON object a file; anything else is an error."""
+    other = spark.read.text(path, wholetext=True).where(~F.col("value").rlike(r"^\s*\{"))
+    if not other.isEmpty():
+        raise ValueError(f"a report must be a JSON object: {path}")
+    return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bm25 import Bm25Index
+from .readers import unique
 
 
 def upsert(new: DataFrame, path: str, key: str = "chunk_id", rebuild: bool = False) -> str:
     """Write a new generation of a table next to the old one: the old rows
-    whose key is not in `new`, and `new`. Returns the generation's path; the
-    table at `path` is the one named by the greatest number."""
-    spark = new.sparkSession
+    whose key is not in `new`, and `new`, whose keys must differ. Returns the
+    generation's path; the table at `path` is the one named by the greatest
+    number."""
+    spark, new = new.sparkSession, unique(new, key)
     last = latest(spark, path)
     rows = new
     if last is not None and not rebuild:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from quillspark.functions import lexicon
-from quillspark.plans import catalog, engine, store_queries
+from quillspark.plans import catalog, engine, store_queries  # noqa: F401  (it registers queries)
 from quillspark.plans.config import EngineConfig
 from quillspark.sources import readers, writers
 

@@ -1,5 +1,6 @@
 """Sources and sinks: errors, and round trips against DuckDB."""
 
+import json
 from dataclasses import replace
 
 import duckdb
@@ -68,3 +69,17 @@ def test_files_without_structure_are_cut_each_for_itself(spark):
     assert len(alone) > 1
     assert sorted(key(r) for r in got if r.source_file == "plain") == sorted(map(key, alone))
     assert sorted(key(r) for r in got if r.source_file is None) == sorted(map(key, alone))
+
+
+def test_reviews(spark, tmp_path):
+    scores = {"groundedness": 2, "correctness": 1, "completeness": 0, "condition_handling": 2, "safety_preservation": 2}
+
+    def put(name, *records):
+        (tmp_path / name).write_text(json.dumps({"records": list(records)}, indent=1))
+        return f"{tmp_path}/{name}"
+
+    a, b = {"case_id": "a", **scores, "failure_labels": ["x"]}, {"case_id": "b", **scores}
+    assert sorted((r.case_id, r.correctness, r.failure_labels) for r in readers.reviews(spark, put("a.json", a, b)).collect()) == [("a", 1, ["x"]), ("b", 1, None)]
+    for name, bad, said in (("b.json", {**b, "correctness": 3}, "out of range: b"), ("c.json", {"case_id": "b"}, "out of range: b"), ("d.json", a, "repeated case_id: a")):
+        with pytest.raises(ValueError, match=said):
+            readers.reviews(spark, put(name, a, bad))

@@ -93,6 +93,14 @@ class Stepwise:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.step}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(spark: SparkSession, least: int = 12) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

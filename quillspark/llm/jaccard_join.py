@@ -422,7 +422,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", measur
     if doubled.isEmpty():
         return kept
     twice = common.small_side(doubled)
-    some = those(kept, twice, "left_semi").withColumn("__text", F.xxhash64(text)).dropDuplicates([key, "__text"]).drop("__text")
+    hashed = common.fresh(docs, "hashed")
+    some = those(kept, twice, "left_semi").withColumn(hashed, F.xxhash64(text)).dropDuplicates([key, hashed]).drop(hashed)
     return those(kept, twice, "left_anti").unionByName(some)
 
 

@@ -327,6 +327,8 @@ def test_jaccard_join(docs, empty, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(docs).collect()), key=str)
     assert got == brute_components(ROWS)
+    clash = docs.selectExpr("*", "'y' AS __text", "1 AS __k", "2 AS hashed")
+    assert jaccard_join.one_of_each(clash).columns == clash.columns
     kept = jaccard_join.one_of_each(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(ids, key=str) == sorted({c for _, _, c in got}, key=str)

@@ -360,4 +360,4 @@ def test_pipeline_and_registry(spark, tmp_path):
             one.append(r)
     expected = sorted(i for i, n in brute_mix(one, mixing.MixPlan())[0] for _ in range(n))
     assert got == expected and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard_join", "decontamination", "source_mixing", "sharding"]
-    assert len(registry.QUERIES) == 10
+    assert len(registry.QUERIES) == 13

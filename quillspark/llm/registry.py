@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fill_middle, html_text, jaccard_join, language_id, lm_scoring, media, mixing, secrets, sharding, time_partitions, toxicity
+from . import decontamination, fill_middle, html_text, jaccard_join, language_id, lm_scoring, media, mixing, nearest, secrets, sharding, time_partitions, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_lm_scoring": lm_scoring.query,
     "op10_ngram_jaccard_join": jaccard_join.query,
+    "op11_nearest_neighbours": nearest.query,
     "op12_fill_middle": fill_middle.query,
     "op13_time_partitions": time_partitions.query,
 }

@@ -105,12 +105,14 @@ def classified_lines(pages: DataFrame, lex: LexiconProfile, skip_toc_pages: int
     (doc_id, source_file, page, text)."""
     dotted = F.size(F.filter(T.lines(F.col("text")), lambda x: F.contains(x, F.lit("...")) | F.contains(x, F.lit("……"))))
     skips = (F.col("page") <= skip_toc_pages) & ((dotted >= 3) | (T.count_of(F.col("text"), lex.chapters) >= 4) | (F.contains(F.col("text"), F.lit(lex.toc_heading)) if lex.toc_heading else F.lit(False)))
-    rows = pages.select("doc_id", "source_file", "page", skips.alias("skips"), F.posexplode(T.lines(F.col("text"))).alias("n", "line"))
-    rows = rows.withColumn("line", F.col("line")).withColumn("head", T.squeeze(F.col("line")))
+    # lines find the next one that says something within their page's array, so that this is a map over pages, also of a stream
+    held = pages.select("doc_id", "source_file", "page", skips.alias("skips"), F.transform(T.lines(F.col("text")), lambda x: F.struct(x.alias("line"), T.squeeze(x).alias("head"))).alias("held"))
+    says = F.transform("held", lambda x: F.when((x["head"] != "") & ~noise_line(x["head"], F.lit(False), lex), "1").otherwise("0"))
+    held = held.withColumn("says", F.array_join(says, ""))
+    nth = lambda i: F.call_function("locate", F.lit("1"), F.col("says"), i + 2)
+    rows = held.select("doc_id", "source_file", "page", "skips", F.posexplode(F.transform("held", lambda x, i: F.struct(x["line"], x["head"], F.get(F.col("held"), nth(i) - 1)["line"].alias("following")))).alias("n", "at"))
+    rows = rows.select("doc_id", "source_file", "page", "skips", "n", "at.line", "at.head", "at.following")
     head = F.col("head")
-    says = (head != "") & ~noise_line(head, F.lit(False), lex)
-    after = Window.partitionBy("source_file", "page", "doc_id").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("following", F.first(F.when(says, F.col("line")), ignorenulls=True).over(after))
     open_ = ~F.col("skips")
     kind = (
         F.when(head == "", "blank").when(noise_line(head, F.col("skips"), lex), "noise")
@@ -149,15 +151,24 @@ def blocks(lines: DataFrame, lex: LexiconProfile) -> DataFrame:
     x = x.withColumn("b", F.sum("opens").over(part.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct("page", "doc_id", "n", "said")
     made = x.groupBy("source_file", "c", "s", "u", "b").agg(F.array_sort(F.collect_list(item)).alias("x"), F.first("chapter").alias("chapter"), F.first("section").alias("section"), F.first("subsection").alias("subsection"))
+    nth = Window.partitionBy("source_file").orderBy("c", "s", "u", "b")
+    return finished(assembled(made).withColumn("block_index", F.row_number().over(nth) - 1).drop("c", "s", "u", "b"), lex)
+
+
+def assembled(made: DataFrame) -> DataFrame:
+    """Blocks with their lines `x` in order: `raw` text, pages and document; too short ones go."""
     raw = T.strip(F.array_join(F.col("x.said"), "\n"))
-    made = made.withColumns({"raw": raw, "start_page": F.col("x")[0]["page"], "end_page": F.element_at("x", -1)["page"], "doc_id": F.col("x")[0]["doc_id"]}).where(F.length("raw") >= LEAST_BLOCK)
+    made = made.withColumns({"raw": raw, "start_page": F.col("x")[0]["page"], "end_page": F.element_at("x", -1)["page"], "doc_id": F.col("x")[0]["doc_id"]})
+    return made.where(F.length("raw") >= LEAST_BLOCK).drop("x")
+
+
+def finished(made: DataFrame, lex: LexiconProfile) -> DataFrame:
+    """Blocks with text, type, risk, flags and name."""
     text = F.when(F.col("subsection").isNotNull() & ~F.startswith("raw", "subsection"), F.concat("subsection", F.lit("\n"), "raw")).otherwise(F.col("raw"))
     made = made.withColumns({"text": text, "content_type": content_type(F.col("raw"), lex)}).withColumn("risk_level", risk_level(F.col("raw"), F.col("content_type"), lex))
-    nth = Window.partitionBy("source_file").orderBy("c", "s", "u", "b")
-    made = made.withColumn("block_index", F.row_number().over(nth) - 1)
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("block_index").cast("string"), F.substring("text", 1, 40))
     contains = {f"has_{k}": F.contains("raw", F.lit(w)) if w else F.lit(False) for k, w in (("warning", lex.warning), ("caution", lex.caution), ("note", lex.note))}
     return made.withColumns({
         "block_id": T.uuid5(name), "heading_path": F.array_compact(F.array("chapter", "section", "subsection")), **contains, "is_procedure": is_procedure(F.col("raw"), lex),
         "source_pages": F.when(F.col("end_page") >= F.col("start_page"), F.sequence("start_page", "end_page")).otherwise(F.array("start_page")),
-    }).drop("x", "raw", "c", "s", "u", "b")
+    }).drop("raw")

@@ -14,8 +14,13 @@ matched against all texts, so that memory is bounded however many items
 there are. The answer has a row for each (document, item) that match, with
 the best match: the least distance, then the earliest end.
 
-Defined cases: null and empty texts match nothing; items with fewer than
-`min_words` words (5) identify no text and are not searched; repeated items
+An item of fewer than six words has no budget (k = 0): it is one piece, found
+only as that whole row of words. `matches` searches items of all lengths
+and reports their words, so that a user may leave short ones aside; `clean`
+needs `min_words` words (5), as fewer identify no text.
+
+Defined cases: null and empty texts match nothing; items without a word, or with
+fewer than `min_words`, are not searched; repeated items
 are reported each under its id, repeated rows each for itself; a null item
 id or doc_id stays null; an empty table gives an empty result; other columns
 are ignored by `matches` and kept by `clean`, whatever their names.
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 
 EDITS_PER_WORD = 6
+#: Words that an item needs to clean a document.
 MIN_WORDS = 5
 #: Words of items that a task holds at once.
 ITEM_WORDS = 2_000_000
@@ -122,12 +128,13 @@ def _words(text: str | None) -> list[int]:
     return common.word_hashes(raw, offsets, common.PUNCTUATION)[0].tolist()
 
 
-def item_blocks(items: DataFrame, item_key: str, text: str) -> Iterator[Pieces]:
-    """The items in blocks of bounded size, streamed to the driver."""
+def item_blocks(items: DataFrame, item_key: str, text: str, min_words: int) -> Iterator[Pieces]:
+    """The items of `min_words` words or more in blocks of bounded size,
+    streamed to the driver."""
     ids, words, held = [], [], 0
     for r in items.select(item_key, text).toLocalIterator():
         w = _words(r[1])
-        if len(w) < MIN_WORDS:
+        if len(w) < max(1, min_words):
             continue
         if held + len(w) > ITEM_WORDS and ids:
             yield Pieces(ids, words)
@@ -146,7 +153,7 @@ def searched(pieces: Pieces, column: pa.Array) -> dict[tuple[int, int], tuple[in
     return pieces.verified(h, np.concatenate([[0], np.cumsum(counts)]), pieces.hits(h))
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", min_words: int = 1) -> DataFrame:
     """(key, item_key, distance, n_words, end_word) of every match."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
@@ -155,7 +162,7 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
     item_type = to_arrow_type(item_kind)
     out = None
-    for block in item_blocks(items, item_key, text):
+    for block in item_blocks(items, item_key, text, min_words):
         shared = spark.sparkContext.broadcast((block.ids, block.words))
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -170,13 +177,13 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of `docs` in which no item is found, with all their columns.
     Each row is judged by its own text, whatever its id."""
     spark = docs.sparkSession
     common.bounded_batches(spark)
     at, out = docs.columns.index(text), docs
-    for block in item_blocks(items, item_key, text):
+    for block in item_blocks(items, item_key, text, min_words):
         shared = spark.sparkContext.broadcast((block.ids, block.words))
 
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

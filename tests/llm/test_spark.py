@@ -96,6 +96,15 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.matches(empty, items).count() == 0 == decontamination.matches(docs, items.where("false")).count()
 
 
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "well, the Answer is forty-two they said"), (2, "the answer was forty two"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "answer is forty two"), (8, "..."), (9, "they"), (None, "answer")], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.distance, r.n_words) for r in decontamination.matches(docs, items).collect()), key=str)
+    assert got == sorted([(1, 7, 0, 4), (1, 9, 0, 1), (1, None, 0, 1), (2, None, 0, 1)], key=str)
+    assert decontamination.clean(docs, items).count() == 3
+    assert [r.doc_id for r in decontamination.clean(docs, items, min_words=4).collect()] == [2, 3]
+
+
 def test_items_in_blocks(spark, docs, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = sorted(map(tuple, decontamination.matches(docs, items).collect()))
@@ -325,6 +334,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("block", [256, 2])
 def test_jaccard_join(docs, empty, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(docs).collect()), key=str)
     assert got == brute_components(ROWS)
     clash = docs.selectExpr("*", "'y' AS __text", "1 AS __k", "2 AS hashed")

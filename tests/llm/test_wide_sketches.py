@@ -1,0 +1,70 @@
+"""Wide sketches rule out no link, and open clusters lose none."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quillspark.llm import jaccard_join
+
+
+def edited(rng, words, share):
+    return [rng.choice("abcdefgh") + str(rng.randrange(10**6)) if rng.random() < share else w for w in words]
+
+
+def texts_of(seed, groups=6, each=12):
+    """Groups of texts at all distances about the threshold."""
+    rng, out = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([5, 12, 60, 400]))]
+        out += [" ".join(edited(rng, base, rng.choice([0, 0.005, 0.02, 0.03, 0.05]))) for _ in range(each)]
+    return out
+
+
+def linked(texts, measure):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + measure.words]) for i in range(len(w) - measure.words + 1)} or {tuple(w)})
+    return [(i, j) for i in range(len(texts)) for j in range(i) if measure.denominator * len(sets[i] & sets[j]) >= measure.numerator * len(sets[i] | sets[j])]
+
+
+@pytest.mark.parametrize("measure", [jaccard_join.OP10, jaccard_join.PIPELINE])
+def test_no_link_is_ruled_out(measure):
+    for seed in range(6):
+        texts = texts_of(seed)
+        g, n = jaccard_join.shingle_sets(pa.array(texts), measure.words)
+        bits = np.zeros((len(n), jaccard_join.WIDE_WORDS), np.uint64)
+        value = jaccard_join.common.mixed(g + jaccard_join._KEYS[0])
+        np.bitwise_xor.at(bits, (np.repeat(np.arange(len(n)), n), (value >> np.uint64(6)) % np.uint64(jaccard_join.WIDE_WORDS)), np.uint64(1) << (value & np.uint64(63)))
+        a, b = jaccard_join.may_link(n, bits, np.arange(len(n)), measure)
+        left = {(int(y), int(x)) for x, y in zip(a, b, strict=True)}
+        true = set(linked(texts, measure))
+        assert true <= left and len(left) < len(texts) ** 2 / 4
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_open_clusters(spark, monkeypatch, block):
+    """All sets of all groups in one cluster, each a part of its own: the verified pairs join as brute force does."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    measure, texts = jaccard_join.PIPELINE, list(dict.fromkeys(texts_of(9)))
+    df = spark.createDataFrame(list(enumerate(texts)), "cid long, text string")
+    members = df.selectExpr("cid", "0L AS cluster", "cid AS part")
+    pairs = jaccard_join.open_pairs(members, jaccard_join.wide_sketches(df, measure), measure)
+    found = {tuple(r) for r in jaccard_join.hub_links(pairs.selectExpr("u AS hub", "v AS cid"), df, measure).collect()}
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def joined(links):
+        root[:] = range(len(texts))
+        for i, j in links:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+        return [find(i) for i in range(len(texts))]
+
+    assert joined(found) == joined(linked(texts, measure))

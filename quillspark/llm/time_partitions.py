@@ -258,7 +258,7 @@ def ids_digests(files: DataFrame, key: str) -> DataFrame:
             out.append((name, digest.hexdigest()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], names=["file", "ids_sha256"])
 
-    rows = files.select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), F.col(key).alias("id"), F.col("_metadata.row_index").alias("at"))
+    rows = files.select(F.col("_metadata.file_name").alias("file"), F.col(key).alias("id"), F.col("_metadata.row_index").alias("at"))
     rows = rows.repartition(common.partitions_for(files.sparkSession), "file").sortWithinPartitions("file", "at")
     return rows.select("file", "id").mapInArrow(digested, "file string, ids_sha256 string")
 

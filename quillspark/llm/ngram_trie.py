@@ -1,19 +1,20 @@
-"""An n-gram trie of three levels in Elias-Fano form.
+"""An n-gram trie of three levels with Elias-Fano pointers.
 
-Level 1 holds the words (64-bit hashes), level 2 the successors of each word
-and level 3 the successors of each word pair, as 32-bit word fingerprints.
-A level's entry is one number, the rank of its context in the level above
-and then the fingerprint, so that entries rise and every context's
-successors stand together; the numbers are Elias-Fano coded. So are the
-pointers to each context's first successor, which rise as well. With each
-entry go quantised smoothed values (absolute discounting, interpolated):
+Level 1 holds the words (64-bit hashes, Elias-Fano coded), level 2 the
+successors of each word and level 3 the successors of each word pair, as 32-bit
+word fingerprints. A context's successors stand together and rise. Where they
+begin is a pointer for each context; the pointers rise too and are Elias-Fano coded.
+With each entry go quantised smoothed values (absolute discounting, interpolated):
 
 * level 2: the discounted share of the pair, and the weight that its context
   leaves to the next lower level;
 * level 3: the same for the triple and its pair.
 
-A query walks down: find the word, then seek the successor of (rank of the
-word, fingerprint), then that of (rank of the pair, fingerprint).
+A query walks down: find the word, follow its pointer and the next one to its
+successors, seek the fingerprint among these, and do the same from
+the pair. Levels are in memory maps and are read where they lie; besides the coded
+numbers there is a count of ones for each 64 bits of the unary parts, by which the
+i-th one or zero is found.
 """
 
 from __future__ import annotations
@@ -40,10 +41,57 @@ def value_of(code: np.ndarray) -> np.ndarray:
     return np.where(code == 0, 0.0, 10.0 ** ((code.astype(np.float64) - 1) / CODES * LOGS + LEAST_LOG))
 
 
+def mapped(a: np.ndarray) -> np.ndarray:
+    """The array in a memory map of its own."""
+    if not a.nbytes:
+        return a
+    place = mmap.mmap(-1, a.nbytes)
+    place[:] = a.tobytes()
+    return np.frombuffer(place, a.dtype)
+
+
+class Bits:
+    """Bits in 64-bit words, with the number of ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        raw = np.packbits(bits, bitorder="little")
+        words = np.concatenate([raw, np.zeros(8 - len(raw) % 8, np.uint8)]).view(np.uint64)
+        self.words = mapped(words)
+        self.ones = mapped(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32))
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.ones.nbytes
+
+    def _within(self, w: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The place of the r-th one of each word, by halving."""
+        at = np.zeros(len(w), np.int64)
+        for s in (32, 16, 8, 4, 2, 1):
+            low = w & np.uint64((1 << s) - 1)
+            n = np.bitwise_count(low).astype(np.int64)
+            up = r >= n
+            r = np.where(up, r - n, r)
+            at += np.where(up, s, 0)
+            w = np.where(up, w >> np.uint64(s), low)
+        return at
+
+    def one(self, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th one, from 0."""
+        k = np.searchsorted(self.ones, i.astype(np.uint32), side="right") - 1
+        return k * 64 + self._within(self.words[k], i - self.ones[k].astype(np.int64))
+
+    def zero(self, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th zero, from 0."""
+        lo, hi = np.zeros(len(i), np.int64), np.full(len(i), len(self.words), np.int64)
+        while (hi - lo > 1).any():  # the last word with no more than i zeros before it
+            mid = (lo + hi) >> 1
+            few = mid * 64 - self.ones[np.minimum(mid, len(self.words) - 1)].astype(np.int64) <= i
+            lo, hi = np.where(few, mid, lo), np.where(few, hi, mid)
+        return lo * 64 + self._within(~self.words[lo], i - (lo * 64 - self.ones[lo].astype(np.int64)))
+
+
 class EliasFano:
-    """A rising sequence of numbers below 2**63: low bits packed, high parts
-    in unary. The bytes are in an anonymous memory map; seeking opens a
-    directory of where each high part begins."""
+    """A rising sequence of numbers below 2**63: low bits packed, high parts in unary."""
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
@@ -52,77 +100,97 @@ class EliasFano:
         self.low_bits = max(0, (top // max(1, self.n)).bit_length() - 1)
         low = values & np.uint64((1 << self.low_bits) - 1)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        bits = np.zeros((top >> self.low_bits) + 1 + self.n, np.uint8)
+        self.last = top >> self.low_bits
+        bits = np.zeros(self.last + 1 + self.n, np.uint8)
         bits[high + np.arange(self.n)] = 1
-        width = self.low_bits
-        packed = np.zeros(0, np.uint8)
-        if width:
-            packed = np.packbits((low[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") if self.n * width < 1 << 24 else self._packed(low, width)
-        unary = np.packbits(bits, bitorder="little")
-        self._len = (len(unary), len(packed), len(bits))
-        self._map = mmap.mmap(-1, len(unary) + len(packed) + 16)
-        self._map[: len(unary)] = unary.tobytes()
-        self._map[len(unary) : len(unary) + len(packed)] = packed.tobytes()
-        self._starts: np.ndarray | None = None
+        self.unary = Bits(bits)
+        packed = self._packed(low, self.low_bits) if self.low_bits else np.zeros(0, np.uint8)
+        self._bytes = len(packed)
+        self._low = mapped(np.concatenate([packed, np.zeros(16, np.uint8)]))
 
     @staticmethod
     def _packed(low: np.ndarray, width: int) -> np.ndarray:
         """The low bits in slices, to hold memory down."""
         step = 8 * 32_768
         out = [np.packbits((low[i : i + step, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for i in range(0, len(low), step)]
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.uint8)
 
     @property
     def nbytes(self) -> int:
-        return self._len[0] + self._len[1]
-
-    def _open(self) -> np.ndarray:
-        if self._starts is None:
-            unary = np.frombuffer(self._map, np.uint8, self._len[0])
-            zeros = np.flatnonzero(np.unpackbits(unary, bitorder="little", count=self._len[2]) == 0)
-            # the i-th zero ends high part i; ones before it are its entries and those before
-            self._starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
-        return self._starts
+        return self.unary.nbytes + self._bytes
 
     def low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(at), np.uint64)
         first = at.astype(np.int64) * self.low_bits
         # every byte offset as the start of a 64-bit word
-        words = np.ndarray((self._len[1] + 1,), "<u8", self._map, self._len[0], (1,))
+        words = np.ndarray((self._bytes + 1,), "<u8", self._low, 0, (1,))
         byte, shift = first >> 3, (first & 7).astype(np.uint64)
         out = words[byte] >> shift
         if self.low_bits > 56:
-            data = np.frombuffer(self._map, np.uint8, self._len[1] + 9, self._len[0])
-            out |= np.where(shift > 0, data[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+            out |= np.where(shift > 0, self._low[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return out & np.uint64((1 << self.low_bits) - 1)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The entries at these places: an entry's high part is the number of zeros before its one."""
+        at = at.astype(np.int64)
+        return ((self.unary.one(at) - at).astype(np.uint64) << np.uint64(self.low_bits)) | self.low(at)
+
+    def _from(self, high: np.ndarray) -> np.ndarray:
+        """How many entries have a smaller high part; a zero ends each part."""
+        out = np.full(len(high), self.n, np.int64)
+        out[high <= 0] = 0
+        some = (high > 0) & (high <= self.last)
+        h = high[some] - 1
+        out[some] = self.unary.zero(h) - h
+        return out
+
     def seek(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x, the place of its successor (first entry >= x), and
         whether that equals x."""
-        starts = self._open()
         high = (x >> np.uint64(self.low_bits)).astype(np.int64)
         low = x & np.uint64((1 << self.low_bits) - 1)
-        last = len(starts) - 1
-        at = starts[np.minimum(high, last)].copy()
-        end = starts[np.minimum(high + 1, last)]
-        to = end.copy()
-        todo = np.flatnonzero(at < to)
-        while len(todo):  # halve the entries of a high part: frequent contexts have many
-            mid = (at[todo] + to[todo]) >> 1
-            less = self.low(mid) < low[todo]
-            at[todo[less]], to[todo[~less]] = mid[less] + 1, mid[~less]
-            todo = todo[at[todo] < to[todo]]
-        found = np.zeros(len(x), bool)
-        here = np.flatnonzero(at < end)
-        found[here] = self.low(at[here]) == low[here]
-        return at, found
+        at = self._from(high)
+        end = self._from(high + 1)
+        return sought(self.low, at, end, low)
 
-    def get(self, at: np.ndarray) -> np.ndarray:
-        """The entries at these places."""
-        starts = self._open()
-        high = np.searchsorted(starts, at, side="right") - 1
-        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self.low(at)
+
+def sought(value_at, at: np.ndarray, end: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the first value >= x within [at, end), where values rise,
+    and whether it is x."""
+    at, to = at.copy(), end.copy()
+    todo = np.flatnonzero(at < to)
+    while len(todo):  # halve: frequent contexts have many
+        mid = (at[todo] + to[todo]) >> 1
+        less = value_at(mid) < x[todo]
+        at[todo[less]], to[todo[~less]] = mid[less] + 1, mid[~less]
+        todo = todo[at[todo] < to[todo]]
+    found = np.zeros(len(x), bool)
+    here = np.flatnonzero(at < end)
+    found[here] = value_at(at[here]) == x[here]
+    return at, found
+
+
+class Successors:
+    """A level: the fingerprints that follow each context of the level above,
+    and where each context's begin."""
+
+    def __init__(self, owner: np.ndarray, prints: np.ndarray, contexts: int):
+        self.first = EliasFano(np.searchsorted(owner, np.arange(contexts + 1)))
+        self.prints = mapped(prints.astype(np.uint32))
+
+    @property
+    def nbytes(self) -> int:
+        return self.first.nbytes + self.prints.nbytes
+
+    def seek(self, context: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each fingerprint among its context's successors, and whether it is one."""
+        # contexts come in runs, and each is followed once
+        new = np.ones(len(context), bool)
+        new[1:] = context[1:] != context[:-1]
+        one, run = context[new], np.cumsum(new) - 1
+        ends = self.first.get(np.concatenate([one, one + 1])).astype(np.int64)
+        return sought(lambda at: self.prints[at], ends[: len(one)][run], ends[len(one) :][run], prints.astype(np.uint32))
 
 
 def left_over(kinds: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -156,17 +224,14 @@ class NgramTrie:
         c2 = np.add.reduceat(count, at2) if n else np.zeros(0, np.int64)
         is2 = fp2[at2] != NONE
         rank2of = rank1[at2][is2]
-        self.level2 = EliasFano(rank2of.astype(np.uint64) << np.uint64(32) | fp2[at2][is2])
+        self.level2 = Successors(rank2of, fp2[at2][is2], len(words))
         c2 = c2[is2]
         rank2 = np.cumsum(is2) - 1  # of each run of at2
         fp3 = pair & np.uint64(0xFFFFFFFF)
         is3 = fp3 != NONE
         owner = rank2[(np.cumsum(new2) - 1)[is3]]
-        self.level3 = EliasFano(owner.astype(np.uint64) << np.uint64(32) | fp3[is3])
+        self.level3 = Successors(owner, fp3[is3], len(c2))
         c3 = count[is3]
-        # where each context's successors begin
-        self.first2 = EliasFano(np.searchsorted(rank2of, np.arange(len(words) + 1)))
-        self.first3 = EliasFano(np.searchsorted(owner, np.arange(len(c2) + 1)))
         n1, n2 = np.bincount(rank2of, minlength=len(words)), np.bincount(owner, minlength=len(c2))
         self.count, context = c1.copy(), np.bincount(rank2of, c2, len(words)).astype(np.int64)
         spread = np.flatnonzero(np.isin(words, np.fromiter(hot, np.uint64, len(hot))))
@@ -190,12 +255,12 @@ class NgramTrie:
         count[known1], left1[known1] = self.count[at1[known1]], self.left1[at1[known1]]
         share2, left2 = np.zeros(len(fp2), np.uint16), np.full(len(fp2), self.one, np.uint16)
         ok = np.flatnonzero(known1[of1])
-        at, hit = self.level2.seek(at1[of1[ok]].astype(np.uint64) << np.uint64(32) | fp2[ok].astype(np.uint64))
+        at, hit = self.level2.seek(at1[of1[ok]], fp2[ok])
         pairs, at2 = ok[hit], np.full(len(fp2), -1, np.int64)
         at2[pairs] = at[hit]
         share2[pairs], left2[pairs] = self.share2[at[hit]], self.left2[at[hit]]
         share3 = np.zeros(len(fp3), np.uint16)
         ok = np.flatnonzero(at2[of2] >= 0)
-        at, hit = self.level3.seek(at2[of2[ok]].astype(np.uint64) << np.uint64(32) | fp3[ok].astype(np.uint64))
+        at, hit = self.level3.seek(at2[of2[ok]], fp3[ok])
         share3[ok[hit]] = self.share3[at[hit]]
         return count, left1, share2, left2, share3

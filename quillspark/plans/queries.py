@@ -230,6 +230,15 @@ def dense_lsh_topk(spark, sf):
     return dense.lsh_search(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), _asked_vectors(v), 10).select("query_id", "chunk_id", "pos", _r("score"))
 
 
+@query("dense_ivf_topk")
+def dense_ivf_topk(spark, sf):
+    v = table(spark, sf, "embeddings")
+    chunks = v.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    model = dense.fitted(chunks)
+    index = scratch.written(dense.ivf_index(chunks, model).repartition("cell").sortWithinPartitions("cell"), "cells")
+    return dense.ivf_search(index, model, _asked_vectors(v), 10).select("query_id", "chunk_id", "pos", _r("score"))
+
+
 def _hybrid(spark, sf):
     return scratch.written(_fused(spark, sf), "fused")
 

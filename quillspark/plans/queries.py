@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.lexicon import LATIN_GENERIC as LEX
-from ..operators import answers, bm25, dedup, dense, evaluation, fusion, hygiene, metrics, select, split, structure
+from ..operators import answers, bm25, dedup, dense, evaluation, fusion, hygiene, metrics, segments, select, split, structure
 from ..sources import scratch
 from ..streaming import flows
 from .catalog import query
@@ -389,6 +389,13 @@ def structure_chunks(spark, sf):
     return split.structured(b, LEX).select("chunk_id", "source_file", "chunk_index", "block_piece_index", "content_type", F.length("text").alias("n_chars"))
 
 
+@query("structure_blocks_segmented")
+def structure_blocks_segmented(spark, sf):
+    """The blocks of structure_blocks, found by page ranges."""
+    b = segments.segmented_blocks(structure.classified_lines(_pages(spark, sf), LEX), LEX)
+    return b.select("block_id", "source_file", "block_index", "start_page", "end_page", "content_type", "risk_level", F.length("text").alias("n_chars"))
+
+
 @query("line_kinds", f"WITH l AS (SELECT doc_id, unnest(list_transform({LINES.format('text')}, lambda x: regexp_replace(x, '\\s+', ' ', 'g'))) AS h FROM documents) SELECT CASE WHEN h = '' THEN 'blank' WHEN regexp_full_match(h, '\\d{{1,4}}') OR (regexp_matches(h, '[\\.·•…]{{5,}}') AND regexp_matches(h, '\\d{{1,4}}\\s*$')) OR lower(h) IN ('copyright', 'all rights reserved') THEN 'noise' WHEN {_marker_sql('h', LEX.warning)} THEN 'warning_marker' WHEN {_marker_sql('h', LEX.caution)} THEN 'caution_marker' WHEN {_marker_sql('h', LEX.note)} THEN 'note_marker' WHEN regexp_matches(h, '^\\s*(?:■|-|•|\\d+\\.|（\\d+）|[①②③④⑤⑥⑦⑧⑨⑩])') THEN 'list_item' ELSE 'body' END AS kind, count(*) AS lines FROM l GROUP BY ALL")
 def line_kinds(spark, sf):
     return structure.classified_lines(_pages(spark, sf), LEX).groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
@@ -599,3 +606,21 @@ def event_windows(spark, sf):
 @query("event_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, n")
 def event_sessions(spark, sf):
     return flows.sessions(table(spark, sf, "events"))
+
+
+def _streamed_events(spark, sf, made):
+    # a pattern, as a stream takes no single file; a watermark needs an instant, and results are without a zone again, as the table is
+    rows = flows.streamed(spark, f"{sf}/events.parque[t]", table(spark, sf, "events").schema, lambda e: made(e.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return rows.select(*(F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes))
+
+
+@query("event_windows_streamed", "WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 2 HOUR")
+def event_windows_streamed(spark, sf):
+    """The windows that a stream closes: those before its watermark."""
+    rows = _streamed_events(spark, sf, flows.windowed_counts)
+    return rows.select("window_start", "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query("event_sessions_streamed", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e), g AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS events FROM s GROUP BY user_id, n) SELECT * FROM g WHERE session_end <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL 2 HOUR")
+def event_sessions_streamed(spark, sf):
+    return _streamed_events(spark, sf, flows.sessions)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import answers
+from ..sources import scratch
+from . import answers, winnow
 
 SCORES = ("groundedness", "correctness", "completeness", "condition_handling", "safety_preservation")
 # Where a failed answer went wrong, and the labels of cases.
@@ -133,8 +134,19 @@ def _anchors(needles: list[str]) -> dict[int, tuple[np.ndarray, list[list[str]]]
 
 def containing(needles: DataFrame, chunks: DataFrame) -> DataFrame:
     """(needle, new_id, new_page) of the chunks whose new_flat contains a
-    needle. The distinct needles go to the tasks in blocks of NEEDLES
-    characters; windows of a chunk that hash like a needle's beginning are
+    needle; new_id is unique. Needles of NEEDLES characters together are handed to
+    all tasks. Beyond, those that have a fingerprint are looked up in a
+    winnowed index of the chunks by shuffle, and only shorter ones are handed out."""
+    needles = needles.where("needle <> ''").distinct()
+    if (needles.agg(F.sum(F.length("needle"))).first()[0] or 0) <= NEEDLES:
+        return handed_out(needles, chunks)
+    held = scratch.written(winnow.index(chunks, "new_id", "new_flat"), "winnowed")
+    return winnow.contained(needles, chunks, held).unionByName(handed_out(needles.where(F.length("needle") < winnow.LEAST), chunks))
+
+
+def handed_out(needles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`containing` with needles in blocks of NEEDLES characters, each handed to
+    all tasks; windows of a chunk that hash like a needle's beginning are
     compared with the needle."""
     spark, out, block, held = chunks.sparkSession, None, [], 0
     c = chunks.select("new_id", "new_page", "new_flat")
@@ -162,7 +174,7 @@ def containing(needles: DataFrame, chunks: DataFrame) -> DataFrame:
 
         return c.mapInArrow(rows, kinds)
 
-    for r in needles.where("needle <> ''").distinct().toLocalIterator():
+    for r in needles.toLocalIterator():
         block.append(r[0])
         held += len(r[0])
         if held >= NEEDLES:

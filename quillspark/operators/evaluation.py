@@ -223,9 +223,11 @@ def _ladder(evidence: DataFrame, chunks: DataFrame, enough: float, counted: bool
     ]
     out = None
     for name, step in steps:
-        found = step(left).withColumn("match_method", F.lit(name)).persist()
+        found = scratch.written(step(left).withColumn("match_method", F.lit(name)), "found")
         done = found.select(F.col("case_id").alias("__case"), F.col("evidence_no").alias("__no")).distinct()
-        left = left.join(done, left["case_id"].eqNullSafe(done["__case"]) & left["evidence_no"].eqNullSafe(done["__no"]), "left_anti").persist()
+        if name == steps[-1][0]:
+            return found if out is None else out.unionByName(found)
+        left = scratch.written(left.join(done, left["case_id"].eqNullSafe(done["__case"]) & left["evidence_no"].eqNullSafe(done["__no"]), "left_anti"), "left")
         out = found if out is None else out.unionByName(found)
     return out
 

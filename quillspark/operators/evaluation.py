@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -350,6 +351,41 @@ def stability(runs: DataFrame) -> DataFrame:
     return out.withColumn("stable", F.col("raw_stable") & F.col("final_stable") & F.col("evidence_stable"))
 
 
+def stability_cases(cases: DataFrame, ids: list | None = None) -> DataFrame:
+    """The cases that are run again: those with the given ids, all of which
+    must be there, or all cases."""
+    if ids is None:
+        return cases
+    asked = cases.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], cases.select("case_id").schema)
+    missing = [r[0] for r in asked.join(cases, "case_id", "left_anti").orderBy("case_id").collect()]
+    if missing:
+        raise ValueError(f"cases that are not in the dataset: {missing}")
+    return cases.join(asked, "case_id", "left_semi")
+
+
+def verification(stable: DataFrame, status: str, runs_per_case: int, provenance: dict | None = None, identity: dict | None = None, error: str | None = None) -> DataFrame:
+    """One row that states what a repeated run has shown, of `stability` rows. Nothing is
+    verified without cases, or unless the run itself ended well (VERIFIED)."""
+    n = F.count(F.lit(1))
+    every = lambda c: (n > 0) & F.coalesce(F.bool_and(c), F.lit(False))
+    out = stable.agg(
+        n.alias("case_count"), F.count_if(~F.col("stable")).alias("unstable_cases"), F.count_if(F.col("runs") != runs_per_case).alias("incomplete_cases"),
+        every("raw_stable").alias("raw_answers_match"), every("final_stable").alias("final_answers_match"), every("evidence_stable").alias("evidence_matches"), every("stable").alias("all_stable"),
+    )
+    told = {"verification_status": status, "runs_per_case": runs_per_case, "generation": json.dumps(provenance or {}, sort_keys=True), "runtime": json.dumps(identity or {}, sort_keys=True), "environment_error": error}
+    out = out.withColumns({k: F.lit(v) for k, v in told.items()})
+    return out.withColumn("repeated_run_stability_verified", (F.col("verification_status") == "VERIFIED") & F.col("all_stable") & (F.col("incomplete_cases") == 0))
+
+
+def benchmark_counts(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: records, active and excluded ones, and the evidence items of
+    active ones; cases are (case_id, excluded), evidence is (case_id, ...)."""
+    active = cases.where(~F.coalesce("excluded", F.lit(False)))
+    items = evidence.join(active.select("case_id").distinct(), "case_id", "left_semi").agg(F.count(F.lit(1)).alias("evidence_items"), F.countDistinct("case_id").alias("cases_with_evidence"))
+    # two single rows
+    return cases.agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.coalesce("excluded", F.lit(False))).alias("active"), F.count_if(F.coalesce("excluded", F.lit(False))).alias("excluded")).crossJoin(items)
+
+
 # --------------------------------------------------------------------- lint
 
 

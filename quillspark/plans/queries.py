@@ -581,6 +581,22 @@ def stability_check(spark, sf):
     return evaluation.stability(c).select("case_id", "runs", "final_stable")
 
 
+@query("stability_verified", "WITH s AS (SELECT conv_id, count(*) AS n, count(DISTINCT text) = 1 AS f FROM conversations GROUP BY conv_id) SELECT count(*) AS case_count, count(*) FILTER (NOT f) AS unstable_cases, count(*) FILTER (n <> 2) AS incomplete_cases, coalesce(bool_and(f), false) AS all_stable, coalesce(bool_and(f), false) AND count(*) FILTER (n <> 2) = 0 AS repeated_run_stability_verified FROM s")
+def stability_verified(spark, sf):
+    """The verdict on repeated runs; the turns of a conversation are the runs of its case."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), F.col("text").alias("raw_answer"), F.col("text").alias("final_answer"), F.lit("[]").alias("evidence_json"))
+    v = evaluation.verification(evaluation.stability(evaluation.stability_cases(c)), "VERIFIED", 2)
+    return v.select("case_count", "unstable_cases", "incomplete_cases", "all_stable", "repeated_run_stability_verified")
+
+
+@query("benchmark_counts", "WITH g AS (SELECT doc_id, toxic = 1 AS x FROM labels JOIN documents USING (doc_id)) SELECT count(*) AS records, count(*) FILTER (NOT x) AS active, count(*) FILTER (x) AS excluded, count(*) FILTER (NOT x) AS evidence_items, count(DISTINCT doc_id) FILTER (NOT x) AS cases_with_evidence FROM g")
+def benchmark_counts(spark, sf):
+    """Counts of a benchmark whose toxic cases are excluded."""
+    gold = _gold(spark, sf)
+    cases = gold.select("case_id").join(table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"), (F.col("toxic") == 1).alias("excluded")), "case_id")
+    return evaluation.benchmark_counts(cases, gold)
+
+
 @query("dataset_lint", "SELECT 'q_' || lpad((item_id // 2)::VARCHAR, 3, '0') AS id, 'duplicate_id' AS issue FROM benchmark UNION ALL SELECT 'q_' || lpad((item_id // 2)::VARCHAR, 3, '0'), 'unknown_category' FROM benchmark WHERE item_id % 5 = 0")
 def dataset_lint(spark, sf):
     b = table(spark, sf, "benchmark")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import table_functions
 from ..functions import text as T
 from ..functions import tokens as K
 from ..functions.lexicon import LATIN_GENERIC as LEX
@@ -377,6 +378,23 @@ def fixed_split(spark, sf):
     return split.fixed(_pages(spark, sf)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("text").alias("piece"))
 
 
+@query("fixed_split_sql", _SPLIT_SQL)
+def fixed_split_sql(spark, sf):
+    """fixed_split as a table function in SQL."""
+    table_functions.register(spark)
+    _pages(spark, sf).createOrReplaceTempView("split_pages")
+    return spark.sql("SELECT doc_id, CAST(p.chunk_index AS BIGINT) AS chunk_index, md5(p.piece) AS piece FROM split_pages, LATERAL fixed_pieces(text, 800, 120) p")
+
+
+@query("structure_blocks_sql")
+def structure_blocks_sql(spark, sf):
+    """structure_blocks as a table function in SQL."""
+    table_functions.register(spark)
+    segments.marked(structure.classified_lines(_pages(spark, sf), LEX), LEX).createOrReplaceTempView("manual_lines")
+    b = structure.finished(spark.sql("SELECT * FROM manual_blocks(TABLE(manual_lines))"), LEX)
+    return b.select("block_id", "source_file", "block_index", "start_page", "end_page", "content_type", "risk_level", F.length("text").alias("n_chars"))
+
+
 @query("structure_blocks")
 def structure_blocks(spark, sf):
     b = structure.blocks(structure.classified_lines(_pages(spark, sf), LEX), LEX)

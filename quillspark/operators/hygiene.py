@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import LexiconProfile
 
-# What a table of contents and a figure legend look like. Only
-# whether they occur counts, so two characters stand for two or more: an open
-# run would be tried from every character of a long line.
+# What a table of contents and a figure legend look like. Two
+# characters stand for two or more before dots: every match ends with its own run of
+# dots, so there are as many matches as with an open run, which would be
+# tried from every character of a long line.
 TOC_LINE = r"(?U)[一-鿿A-Za-z0-9（）()、/\s]{2}[\.·…]{3,}\s*\d{1,4}"
 PAGE_LINE = r"(?U)[一-鿿A-Za-z0-9（）()、/]{2}\s+\d{1,4}$"
 DOTS = r"[\.·…]{4,}"
@@ -19,6 +20,8 @@ PAGE_REF = r"(?U)[\.·•…]{5,}\s*\d{1,4}"
 TOC_ENTRY = r"(?U)[一-鿿A-Za-z0-9（）()/-]{2}\s*[\.·•…]{5,}\s*\d{1,4}"
 LEGEND = r"(?U)^\s*(?:\d{2}|0\d|[①②③④⑤⑥⑦⑧⑨⑩])[\s：:、-]+"
 
+REASONS = ("toc_dotted_fragment", "toc_page_refs", "toc_dotted_lines", "toc_heading", "toc_page_number_list", "empty_text", "generic_preface_notice", "too_short_generic_notice", "figure_legend_only")
+
 
 def _none(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) == ""

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,6 +49,16 @@ class Store:
     chunks: DataFrame
     vectors: DataFrame
     index: bm25.Bm25Index
+    #: What the ingest that made it counted, by the way: chunks, and those that hygiene removes by reason.
+    counts: dict[str, int] | None = None
+
+
+def observed(chunks: DataFrame, watch: Observation) -> DataFrame:
+    """Flagged chunks that are counted while they are written: all, those
+    removed as contents or noise, each reason, and chunks by length of text."""
+    reasons = [F.count_if(F.col("filter_reason") == r).alias(r) for r in hygiene.REASONS]
+    size = F.length("text")
+    return chunks.observe(watch, F.count(F.lit(1)).alias("chunks"), F.count_if("is_toc").alias("removed_toc"), F.count_if(F.col("is_noise") & ~F.col("is_toc")).alias("removed_noise"), F.count_if(~F.col("is_toc") & ~F.col("is_noise")).alias("kept"), *reasons, F.coalesce(F.sum(size), F.lit(0)).alias("characters"), F.coalesce(F.max(size), F.lit(0)).alias("longest"))
 
 
 def ingest(pages: DataFrame, path: str, config: EngineConfig | None = None, rebuild: bool = True, embed: Callable[[Column], Column] | None = None) -> Store:
@@ -56,12 +66,14 @@ def ingest(pages: DataFrame, path: str, config: EngineConfig | None = None, rebu
     a vector; only those that pass hygiene are in the sparse index."""
     config = config or EngineConfig()
     spark = pages.sparkSession
-    writers.upsert(chunked(pages, config), f"{path}/chunks", rebuild=rebuild)
+    watch = Observation("ingest")
+    made = scratch.written(observed(chunked(pages, config), watch), "chunked")
+    writers.upsert(made, f"{path}/chunks", rebuild=rebuild)
     chunks = writers.read_table(spark, f"{path}/chunks")
     make = embed or (lambda c: hashed_embedding(c, config.embedding_size))
     writers.upsert(chunks.select("chunk_id", make(F.col("text")).alias("embedding")), f"{path}/vectors", rebuild=True)
     writers.write_bm25(bm25.build(hygiene.kept(chunks)), f"{path}/bm25")
-    return open_store(spark, path)
+    return replace(open_store(spark, path), counts=watch.get)
 
 
 def open_store(spark: SparkSession, path: str) -> Store:

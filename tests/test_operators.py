@@ -220,6 +220,9 @@ def test_store_and_answers(spark, tmp_path):
     store = engine.ingest(p, f"{tmp_path}/store", EngineConfig(lexicon=ZH))
     n = store.chunks.count()
     assert n >= 3 and store.vectors.count() == n
+    flags = store.chunks.select("is_toc", "is_noise", "filter_reason").collect()
+    assert store.counts["chunks"] == len(flags) and store.counts["removed_toc"] == sum(r.is_toc for r in flags) and store.counts["kept"] == sum(not (r.is_toc or r.is_noise) for r in flags)
+    assert {k: v for k, v in store.counts.items() if k in hygiene.REASONS and v} == {k: n for k in {r.filter_reason for r in flags} - {""} for n in [sum(r.filter_reason == k for r in flags)]}
     again = engine.ingest(p, f"{tmp_path}/store", EngineConfig(lexicon=ZH), rebuild=False)
     assert again.chunks.count() == n
     q = spark.createDataFrame([(1, "如何使用安全带"), (2, "zzzz")], "query_id long, question string")

@@ -56,8 +56,20 @@ def lines(c: Column) -> Column:
     return F.transform(parts, strip)
 
 
+#: Terms beyond which one pattern is tried instead of each term, as generated code has a bound.
+MANY_TERMS = 7
+
+
+def one_of(terms: Iterable[str]) -> str:
+    """A pattern for any of the terms as they are."""
+    return "(?:" + "|".join(re.escape(t) for t in terms) + ")"
+
+
 def any_of(c: Column, terms: Iterable[str]) -> Column:
     """Whether c contains one of the terms."""
+    terms = tuple(terms)
+    if len(terms) > MANY_TERMS:
+        return c.rlike(one_of(terms))
     return reduce(lambda a, b: a | b, (F.contains(c, F.lit(t)) for t in terms), F.lit(False))
 
 

@@ -29,10 +29,14 @@ def _all(*tests: Column) -> Column:
 
 
 def _starts(c: Column, prefixes) -> Column:
+    if len(prefixes) > T.MANY_TERMS:
+        return c.rlike("^" + T.one_of(prefixes))
     return reduce(lambda a, b: a | b, (F.startswith(c, F.lit(p)) for p in prefixes), F.lit(False))
 
 
 def _ends(c: Column, suffixes) -> Column:
+    if len(suffixes) > T.MANY_TERMS:
+        return c.rlike(T.one_of(suffixes) + "\\z")
     return reduce(lambda a, b: a | b, (F.endswith(c, F.lit(s)) for s in suffixes), F.lit(False))
 
 

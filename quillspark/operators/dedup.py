@@ -35,7 +35,7 @@ def distinct_texts(chunks: DataFrame, least_length: int = LEAST_LENGTH) -> DataF
     partial aggregation keeps hot texts out of one task."""
     body = T.dedup_key(F.col("text"))
     key = F.when(F.length(body) < least_length, F.concat(F.lit("chunk:"), F.col("chunk_id").cast("string"))).otherwise(F.concat(F.lit("text:"), body))
-    return chunks.select(F.xxhash64(key).alias("h"), F.sha2(key, 256).alias("k"), "chunk_id").groupBy("h", "k").agg(F.min("chunk_id").alias("chunk_id"), F.count(F.lit(1)).alias("copies")).select("chunk_id", "copies")
+    return chunks.select(F.sha2(key, 256).alias("k"), "chunk_id").groupBy("k").agg(F.min("chunk_id").alias("chunk_id"), F.count(F.lit(1)).alias("copies")).select("chunk_id", "copies")
 
 
 def contexts(hits: DataFrame, within: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bm25
 from ..sources import readers, scratch, writers
+from ..sources.segments import SegmentedStore
 from . import queries as q
 from .catalog import ORACLES, query
 
@@ -126,3 +127,31 @@ def report_json(spark, sf):
     writers.write_report(_report(spark, sf), path)
     back = spark.read.schema("case_id long, metrics map<string, long>").json(path)
     return back.select("case_id", F.col("metrics")["n_chars"].alias("n_chars"), F.col("metrics")["page"].alias("page"))
+
+
+_REVISED = "SELECT doc_id AS chunk_id, coalesce(text, '') || CASE WHEN source IN ('src3', 'src7') THEN ' again revised' ELSE '' END AS text FROM documents"
+
+
+def _segmented(spark, sf):
+    """All documents by source, then two sources once more with other texts."""
+    d = q.table(spark, sf, "documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("source_file"), F.col("doc_id").alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"))
+    store = SegmentedStore(spark, _folder(spark, "segments")).ingest(chunks)
+    return store.ingest(chunks.where("source_file IN ('src3', 'src7')").withColumn("text", F.concat("text", F.lit(" again revised"))))
+
+
+@query("segmented_chunks", f"SELECT chunk_id, md5(text) AS text_md5 FROM ({_REVISED})")
+def segmented_chunks(spark, sf):
+    return _segmented(spark, sf).chunks().select("chunk_id", F.md5("text").alias("text_md5"))
+
+
+@query("segmented_index", f"WITH chunks AS ({_REVISED}), {q.INDEX} SELECT term, df, round(idf, 6) AS idf FROM idfs")
+def segmented_index(spark, sf):
+    """The statistics of a base, a delta and its tombstones, summed up."""
+    return _segmented(spark, sf).index().terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+@query("segmented_source", "SELECT doc_id AS chunk_id FROM documents WHERE source = 'src7'")
+def segmented_source(spark, sf):
+    """One source's chunks, by its bucket."""
+    return _segmented(spark, sf).chunks(["src7"]).select("chunk_id")

@@ -396,6 +396,43 @@ def lint(cases: DataFrame, id_pattern: str = "^[a-z]+_[0-9]{3}$", categories: tu
     return cases.withColumn("__n", n).select("id", F.explode(F.array_compact(F.array(*rules))).alias("issue"))
 
 
+# What a case of the retrieval benchmark may be, and words of questions that a picture is needed for.
+CASE_ID = r"^[a-z0-9]+(_[a-z0-9]+)*_[0-9]{3}$"
+CASE_CATEGORIES = ("alarm_handling", "explanation", "location_query", "maintenance_check", "parameter_query", "procedure", "warning_notice")
+CASE_INTENTS = (
+    "alarm_handling", "broad_usage_guidance", "concept_explanation", "forbidden_condition", "limit_parameter", "location_and_operation",
+    "location_and_parameter", "location_query", "maintenance_guidance", "safety_notice", "specific_operation", "state_explanation",
+)
+VISUAL_TERMS = ("按钮图标", "第几个编号", "见图", "图示", "图标", "如图")
+
+
+def dataset_rules(cases: DataFrame, categories: tuple[str, ...] = CASE_CATEGORIES, intents: tuple[str, ...] = CASE_INTENTS, visual: tuple[str, ...] = VISUAL_TERMS) -> DataFrame:
+    """(line, id, severity, issue, detail) of cases (line, id, question,
+    category, intent_type, expected_pages, expected_sections,
+    acceptable_sections, must_contain_terms, evidence of section and quote) that break a rule. A repeated
+    id counts from its second line on, a repeated question once for all its lines (id null)."""
+    blank = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    first = cases.groupBy(F.col("id").alias("__id")).agg(F.min("line").alias("__first"))
+    c = cases.join(first, F.col("id").eqNullSafe(F.col("__id")), "left")
+
+    def rule(test: Column, severity: str, issue: str, detail: Column | None = None) -> Column:
+        return F.when(test, F.struct(F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), (F.lit(None).cast("string") if detail is None else detail).alias("detail")))
+
+    seen = T.contained(F.array(*map(F.lit, visual)), F.coalesce("question", F.lit("")))
+    found = [
+        rule(F.col("line") > F.col("__first"), "error", "duplicate_id"), rule(~F.coalesce(F.col("id").rlike(CASE_ID), F.lit(False)), "error", "bad_id"),
+        rule(blank(F.col("question")), "error", "empty_question"), rule(blank(F.col("category")) | blank(F.col("intent_type")), "error", "empty_category_or_intent"),
+        rule(~F.coalesce(F.col("category").isin(*categories), F.lit(False)), "error", "unknown_category", F.col("category")), rule(~F.coalesce(F.col("intent_type").isin(*intents), F.lit(False)), "error", "unknown_intent", F.col("intent_type")),
+        rule(~some(F.col("evidence")), "error", "missing_evidence"), rule(F.coalesce(F.exists("evidence", lambda e: blank(e["quote"])), F.lit(False)), "error", "empty_quote"),
+        rule(~(some(F.col("expected_pages")) | some(F.col("expected_sections")) | some(F.col("acceptable_sections")) | some(F.col("must_contain_terms")) | some(F.col("evidence"))), "error", "no_anchor"),
+        rule(F.coalesce(F.exists("evidence", lambda e: F.coalesce(e["section"], F.lit("")) == ""), F.lit(False)), "warning", "section_missing"), rule(F.size(seen) > 0, "warning", "visual_question", F.array_join(seen, ",")),
+    ]
+    each = c.select("line", "id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("line", "id", "x.*")
+    asked = cases.select("line", T.strip(F.coalesce("question", F.lit(""))).alias("q")).groupBy("q").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.unionByName(asked.select("line", F.lit(None).cast("string").alias("id"), F.lit("error").alias("severity"), F.lit("duplicate_question").alias("issue"), F.col("q").alias("detail")))
+
+
 def length_stats(chunks: DataFrame) -> DataFrame:
     size = F.length("text")
     return chunks.agg(F.coalesce(F.min(size), F.lit(0)).alias("min_length"), F.coalesce(F.max(size), F.lit(0)).alias("max_length"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avg_length"))

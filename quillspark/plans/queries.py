@@ -622,6 +622,22 @@ def dataset_lint(spark, sf):
     return evaluation.lint(cases)
 
 
+_RULES_CASES = "c AS (SELECT item_id AS line, CASE WHEN item_id % 7 = 0 THEN 'Bad id' ELSE 'case_' || lpad((item_id // 2)::VARCHAR, 3, '0') END AS id, CASE WHEN item_id % 11 = 0 THEN ' ' WHEN item_id % 13 = 0 THEN '如图 图标 ' || text ELSE text END AS question, CASE WHEN item_id % 5 = 0 THEN 'odd' WHEN item_id % 5 = 1 THEN '' ELSE 'procedure' END AS category, CASE WHEN item_id % 4 = 0 THEN 'strange' ELSE 'safety_notice' END AS intent, item_id % 3 AS e, item_id % 6 = 0 AS pages, CASE WHEN item_id % 9 = 1 THEN '' ELSE 's' END AS section, CASE WHEN item_id % 8 = 1 THEN ' ' ELSE 'q' END AS quote FROM benchmark)"
+
+
+@query("dataset_rules", f"WITH {_RULES_CASES}, f AS (SELECT id, min(line) AS first FROM c GROUP BY id), r AS (SELECT line, id, 'error' AS severity, 'duplicate_id' AS issue, NULL AS detail FROM c JOIN f USING (id) WHERE line > first UNION ALL SELECT line, id, 'error', 'bad_id', NULL FROM c WHERE NOT regexp_matches(id, '{evaluation.CASE_ID}') UNION ALL SELECT line, id, 'error', 'empty_question', NULL FROM c WHERE trim(question) = '' UNION ALL SELECT line, id, 'error', 'empty_category_or_intent', NULL FROM c WHERE category = '' UNION ALL SELECT line, id, 'error', 'unknown_category', category FROM c WHERE category <> 'procedure' UNION ALL SELECT line, id, 'error', 'unknown_intent', intent FROM c WHERE intent <> 'safety_notice' UNION ALL SELECT line, id, 'error', 'missing_evidence', NULL FROM c WHERE e = 0 UNION ALL SELECT line, id, 'error', 'empty_quote', NULL FROM c WHERE e <> 0 AND quote = ' ' UNION ALL SELECT line, id, 'error', 'no_anchor', NULL FROM c WHERE e = 0 AND NOT pages UNION ALL SELECT line, id, 'warning', 'section_missing', NULL FROM c WHERE e <> 0 AND section = '' UNION ALL SELECT line, id, 'warning', 'visual_question', '图标,如图' FROM c WHERE contains(question, '如图') UNION ALL SELECT min(line), NULL, 'error', 'duplicate_question', trim(question) FROM c GROUP BY trim(question) HAVING count(*) > 1) SELECT * FROM r")
+def dataset_rules(spark, sf):
+    b, i = table(spark, sf, "benchmark"), F.col("item_id")
+    none = F.array().cast("array<string>")
+    item = F.struct(F.when(i % 9 == 1, "").otherwise("s").alias("section"), F.when(i % 8 == 1, " ").otherwise("q").alias("quote"))
+    cases = b.select(
+        i.alias("line"), F.when(i % 7 == 0, "Bad id").otherwise(F.concat(F.lit("case_"), F.lpad(F.expr("item_id div 2").cast("string"), 3, "0"))).alias("id"), F.when(i % 11 == 0, " ").when(i % 13 == 0, F.concat(F.lit("如图 图标 "), "text")).otherwise(F.col("text")).alias("question"),
+        F.when(i % 5 == 0, "odd").when(i % 5 == 1, "").otherwise("procedure").alias("category"), F.when(i % 4 == 0, "strange").otherwise("safety_notice").alias("intent_type"), F.when(i % 6 == 0, F.array(F.lit(1))).alias("expected_pages"),
+        none.alias("expected_sections"), none.alias("acceptable_sections"), none.alias("must_contain_terms"), F.when(i % 3 != 0, F.array(item)).alias("evidence"),
+    )
+    return evaluation.dataset_rules(cases)
+
+
 @query("length_stats", "SELECT min(length(text))::BIGINT AS min_length, max(length(text))::BIGINT AS max_length, round(avg(length(text)), 6) AS avg_length FROM documents")
 def length_stats(spark, sf):
     return evaluation.length_stats(chunk_table(spark, sf)).select(F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), _r("avg_length"))

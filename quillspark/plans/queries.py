@@ -493,6 +493,19 @@ def retrieval_metrics(spark, sf):
     return m.select("case_id", "mode", F.col("`evidence_hit@1`").alias("hit1"), F.col("`evidence_hit@3`").alias("hit3"), F.col("`evidence_hit@5`").alias("hit5"), F.col("`expected_section_hit@5`").alias("section5"), F.round("`noise_rate@5`", 6).alias("noise5"), F.col("first_evidence_hit_rank").cast("long").alias("first_rank"), _r("mrr"), F.col("retrieved_count").alias("retrieved"))
 
 
+@query("retrieval_hits", f"""WITH {TYPED}, {QUESTIONS}, {DENSE_SQL}, cs AS (SELECT query_id, query_id // 10 AS want, list_filter(string_split(question, ' '), lambda w: length(w) >= 4) AS terms FROM questions),
+r AS (SELECT d.query_id, d.chunk_id, t.page, t.content_type, {_dedup_sql('t.text')} AS key, terms, want, list_filter(terms, lambda w: contains(t.text, w)) AS found FROM dense d JOIN typed t USING (chunk_id) JOIN cs USING (query_id) WHERE d.pos <= 5),
+g AS (SELECT query_id, bool_or(page = want) AS page5, bool_or(content_type = 'normal') AS type5, any_value(terms) AS terms, list_distinct(flatten(list(found))) AS met, 1 - count(DISTINCT chunk_id) / count(*)::DOUBLE AS same_chunk5, 1 - count(DISTINCT (page, key)) / count(*)::DOUBLE AS same_page5 FROM r GROUP BY query_id)
+SELECT query_id AS case_id, page5, type5, CASE WHEN len(terms) > 0 THEN len(met) > 0 END AS any_term5, CASE WHEN len(terms) > 0 THEN len(met) = len(list_distinct(terms)) END AS all_terms5, CASE WHEN len(terms) > 0 THEN round(len(list_filter(terms, lambda w: list_contains(met, w))) / len(terms)::DOUBLE, 6) END AS coverage5, round(same_chunk5, 6) AS same_chunk5, round(same_page5, 6) AS same_page5 FROM g""")
+def retrieval_hits(spark, sf):
+    """Page, type, term and repetition metrics of the dense mode."""
+    cases = _cases(spark, sf).withColumns({"expected_pages": F.array(F.expr("case_id div 10").cast("int")), "expected_content_types": F.array(F.lit("normal"))})
+    d = _dense(spark, sf, _question_vectors(spark, sf)).where("pos <= 5").select(F.col("query_id").alias("case_id"), "chunk_id", "pos", F.lit("dense").alias("mode"))
+    m = metrics.by_case(typed(d.join(chunk_table(spark, sf), "chunk_id")), cases)
+    at5 = lambda name: F.col(f"`{name}@5`")
+    return m.select("case_id", at5("page_hit").alias("page5"), at5("content_type_hit").alias("type5"), at5("any_term_hit").alias("any_term5"), at5("all_terms_hit").alias("all_terms5"), F.round(at5("term_coverage_ratio"), 6).alias("coverage5"), F.round(at5("duplicate_chunk_id_rate"), 6).alias("same_chunk5"), F.round(at5("same_page_duplicate_rate"), 6).alias("same_page5"))
+
+
 @query("retrieval_metrics_grouped", f"""{_METRICS_SQL} SELECT CASE WHEN grouping(mode) = 0 THEN 'mode' WHEN grouping(category) = 0 THEN 'category' WHEN grouping(intent_type) = 0 THEN 'intent_type' ELSE 'overall' END AS "group", coalesce(mode, category, intent_type) AS value, count(*) AS case_count, round(avg(hit5::INT), 6) AS hit5, round(avg(mrr), 6) AS mrr, round(avg(first_rank), 6) AS mean_rank FROM res GROUP BY GROUPING SETS ((), (mode), (category), (intent_type))""")
 def retrieval_metrics_grouped(spark, sf):
     m = _case_metrics(spark, sf).withColumnsRenamed({"evidence_hit@5": "hit5"}).withColumn("mean_rank", F.col("first_evidence_hit_rank"))

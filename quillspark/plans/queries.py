@@ -352,7 +352,10 @@ def _answers(spark, sf):
     return c.select("conv_id", "turn", "text", ref.alias("answer"))
 
 
-@query("sanitize_answer")
+_CLEANED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[\\s,，:：;；]+', ''), '[（(]\\s*[）)]', '', 'g'), '\\s{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("sanitize_answer", f"SELECT conv_id, turn, conv_id % 3 <> 2 AS leak, {_CLEANED} AS clean FROM conversations WHERE role = 'assistant'")
 def sanitize_answer(spark, sf):
     return _answers(spark, sf).select("conv_id", "turn", answers.leaks_reference(F.col("answer")).alias("leak"), answers.without_references(F.col("answer")).alias("clean"))
 
@@ -569,7 +572,10 @@ def _answer_rows(spark, sf):
     return a.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), "answer", F.array(F.get(words, F.lit(0)), F.lit("absentword")).alias("must_include_terms"), F.array(F.lit("worthless"), F.lit("token")).alias("must_not_include_terms"), F.array(F.lit("a")).alias("expected_sections"), F.array(F.when(F.col("turn") % 4 == 1, "a").otherwise("zz")).alias("cited_sections"), F.array().cast("array<string>").alias("expected_subsections"), F.array().cast("array<string>").alias("cited_subsections"), F.lit(False).alias("allow_insufficient_answer"))
 
 
-@query("answer_checks")
+_FOLDED = "regexp_replace(lower({}), '[，,。；;：:！？!?、（）()\\[\\]【】“”\"''‘’]+|\\s+', '', 'g')"
+
+
+@query("answer_checks", f"SELECT conv_id * 1000 + turn AS case_id, trim(text) <> '' OR conv_id % 3 <> 2 AS answer_non_empty, CASE WHEN {_FOLDED.format("string_split(text, ' ')[1]")} <> '' THEN 0.5 ELSE 0.0 END::DOUBLE AS term_coverage, concat_ws(',', CASE WHEN contains({_FOLDED.format('text')}, 'worthless') THEN 'worthless' END, CASE WHEN contains({_FOLDED.format('text')}, 'token') THEN 'token' END) AS forbidden, turn % 4 = 1 AS expected_section_hit, turn % 4 = 1 AS evidence_structure_hit, conv_id % 3 <> 2 AS internal_reference_leak FROM conversations WHERE role = 'assistant'")
 def answer_checks(spark, sf):
     return evaluation.answer_checks(_answer_rows(spark, sf)).select("case_id", "answer_non_empty", _r("term_coverage"), F.array_join("forbidden_hits", ",").alias("forbidden"), "expected_section_hit", "evidence_structure_hit", "internal_reference_leak")
 

@@ -40,7 +40,8 @@ def walk(x: np.ndarray, edges: np.ndarray, seeds: np.ndarray, queries: np.ndarra
 def _walk(x: np.ndarray, edges: np.ndarray, seeds: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(queries)
     like = queries @ x[seeds].T
-    first = np.argsort(-like, axis=1, kind="stable")[:, : min(beam, 8)]
+    # a small graph is looked at whole, so that no node is missed for want of a path
+    first = np.argsort(-like, axis=1, kind="stable")[:, : beam if len(x) <= min(beam, len(seeds)) else 8]
     ids, likes = np.full((n, beam), -1, np.int64), np.full((n, beam), -np.inf, np.float32)
     ids[:, : first.shape[1]], likes[:, : first.shape[1]] = seeds[first], np.take_along_axis(like, first, 1)
     done = ids < 0

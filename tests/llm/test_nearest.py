@@ -67,6 +67,15 @@ def test_pruning_keeps_diverse_edges():
     assert kept[0].tolist() == [1, 4, -1, -1]
 
 
+@pytest.mark.parametrize("n", [1, 2, 19, 40, 64])
+def test_a_small_graph_misses_nothing(n):
+    rng = np.random.default_rng(n)
+    v = np.repeat(rng.normal(size=(1, 8)), n, 0) * np.arange(1, n + 1)[:, None]  # all in one direction
+    x, edges, seeds = vamana.build(v)
+    found, _ = vamana.walk(x, edges, seeds, np.concatenate([-v[:3], np.zeros((min(n, 3), 1))], 1).astype(np.float32), 64)
+    assert all(sorted(r[r >= 0].tolist()) == list(range(n)) for r in found)
+
+
 def test_one_graph_alone():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 16))

@@ -14,9 +14,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
-from ..functions.lexicon import ZH_MANUAL
+from ..functions.lexicon import LATIN_GENERIC, ZH_MANUAL, LexiconProfile
+from ..functions.text import URL_NAMESPACE
 from ..operators import segments, structure
-from .catalog import query
+from .catalog import ORACLES, query
 from .queries import STRIP, _any, _count, _in, _lit, _marker_sql, table
 
 LEX = replace(ZH_MANUAL, sections=("安全带", "儿童锁", "涉水驾驶"))
@@ -55,33 +56,49 @@ def _result(blocks):
 
 
 _ITEM = "(?:■|-|•|\\d+\\.|（\\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
-_VERBS = _count("raw", LEX.operation_verbs)
 _STEPS = "len(regexp_extract_all(raw, '(?:^|\\n)\\s*(?:\\d+\\.?|\\d+\\s|（\\d+）|[①②③④⑤⑥⑦⑧⑨⑩])'))"
-_PROCEDURE = f"({_any('raw', LEX.procedure_phrases)} OR {_STEPS} >= 2 OR (regexp_matches(raw, '(?:^|\\n)\\s*{_ITEM}') AND {_VERBS} >= 1) OR {_VERBS} >= 2)"
 _FIRST = "trim(string_split(raw, chr(10))[1])"
-_KIND = f"""CASE WHEN h = '' THEN 'blank' WHEN regexp_full_match(h, '\\d{{1,4}}') OR (regexp_matches(h, '[\\.·•…]{{5,}}') AND regexp_matches(h, '\\d{{1,4}}\\s*$')) OR lower(h) IN ('copyright', 'all rights reserved') THEN 'noise'
-WHEN {_in('h', LEX.chapters)} THEN 'chapter' WHEN {_in('h', LEX.sections)} THEN 'section'
-WHEN {_marker_sql('h', LEX.warning)} OR {_marker_sql('h', LEX.caution)} OR {_marker_sql('h', LEX.note)} THEN 'marker' WHEN regexp_matches(h, '^\\s*{_ITEM}') THEN 'body' WHEN {_in('h', LEX.subsections)} THEN 'subsection' ELSE 'body' END"""
-_MARKS = (LEX.warning, LEX.caution, LEX.note)
 _UP = "ORDER BY page, n ROWS UNBOUNDED PRECEDING"
-BLOCKS_SQL = f"""WITH p AS (SELECT 'manual-' || coalesce(source, '') AS source_file, doc_id AS page, {_page("VARCHAR", "//", "text", "chr(10)")} AS t FROM (SELECT *, doc_id AS i FROM documents)),
-l0 AS (SELECT source_file, page, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM p),
-l1 AS (SELECT source_file, page, n, {STRIP.format('x')} AS x, {STRIP.format("regexp_replace(x, '\\s+', ' ', 'g')")} AS h FROM l0),
-l2 AS (SELECT *, {_KIND} AS kind FROM l1),
+
+
+def lines_sql(pages: str, lex: LexiconProfile) -> str:
+    """l2: the classified lines of pages (source_file, page, doc_id, t). Of the lowest headings, the
+    listed ones: no line of the tables has the shape of another."""
+    marker = " OR ".join(_marker_sql("h", m) for m in (lex.warning, lex.caution, lex.note))
+    return f"""WITH p AS ({pages}),
+l0 AS (SELECT source_file, page, doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM p),
+l1 AS (SELECT source_file, page, doc_id, n, {STRIP.format('x')} AS x, {STRIP.format("regexp_replace(x, '\\s+', ' ', 'g')")} AS h FROM l0),
+l2 AS (SELECT *, CASE WHEN h = '' THEN 'blank' WHEN regexp_full_match(h, '\\d{{1,4}}') OR (regexp_matches(h, '[\\.·•…]{{5,}}') AND regexp_matches(h, '\\d{{1,4}}\\s*$')) OR lower(h) IN ('copyright', 'all rights reserved') THEN 'noise'
+WHEN {_in('h', lex.chapters)} THEN 'chapter' WHEN {_in('h', lex.sections)} THEN 'section' WHEN {marker} THEN 'marker' WHEN regexp_matches(h, '^\\s*{_ITEM}') THEN 'body' WHEN {_in('h', lex.subsections)} THEN 'subsection' ELSE 'body' END AS kind FROM l1)"""
+
+
+def blocks_sql(pages: str, lex: LexiconProfile) -> str:
+    """b2: the blocks of the pages."""
+    verbs = _count("raw", lex.operation_verbs)
+    procedure = f"({_any('raw', lex.procedure_phrases)} OR {_STEPS} >= 2 OR (regexp_matches(raw, '(?:^|\\n)\\s*{_ITEM}') AND {verbs} >= 1) OR {verbs} >= 2)"
+    bare = ", ".join(_lit(m) + ", " + _lit(m + "！") for m in (lex.warning, lex.caution, lex.note))
+    return f"""{lines_sql(pages, lex)},
 l3 AS (SELECT *, last_value(CASE WHEN kind = 'chapter' THEN h END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY page, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM l2 WHERE kind NOT IN ('blank', 'noise')),
 l4 AS (SELECT *, last_value(CASE WHEN kind = 'chapter' THEN h END IGNORE NULLS) OVER w AS chapter, count(*) FILTER (kind = 'chapter') OVER w AS c FROM l3 WHERE kind <> 'chapter' OR was IS NULL OR was <> h WINDOW w AS (PARTITION BY source_file {_UP})),
 l5 AS (SELECT *, last_value(CASE WHEN kind = 'section' THEN h END IGNORE NULLS) OVER w AS section, count(*) FILTER (kind = 'section') OVER w AS s FROM l4 WINDOW w AS (PARTITION BY source_file, c {_UP})),
 l6 AS (SELECT *, last_value(CASE WHEN kind = 'subsection' THEN h END IGNORE NULLS) OVER w AS subsection, count(*) FILTER (kind = 'subsection') OVER w AS u FROM l5 WINDOW w AS (PARTITION BY source_file, c, s {_UP})),
-l7 AS (SELECT *, CASE WHEN kind = 'marker' THEN h ELSE x END AS said, kind = 'marker' AND h IN ({', '.join(_lit(m) + ', ' + _lit(m + '！') for m in _MARKS)}) AS bare, row_number() OVER (PARTITION BY source_file, c, s, u ORDER BY page, n) AS pos FROM l6 WHERE kind IN ('marker', 'body')),
+l7 AS (SELECT *, CASE WHEN kind = 'marker' THEN h ELSE x END AS said, kind = 'marker' AND h IN ({bare}) AS bare, row_number() OVER (PARTITION BY source_file, c, s, u ORDER BY page, n) AS pos FROM l6 WHERE kind IN ('marker', 'body')),
 l8 AS (SELECT *, pos - 1 - coalesce(max(CASE WHEN NOT bare THEN pos END) OVER (PARTITION BY source_file, c, s, u ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM l7),
 l9 AS (SELECT *, sum(CASE WHEN pos = 1 OR (kind = 'marker' AND run % 2 = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY source_file, c, s, u ORDER BY pos) AS b FROM l8),
-b0 AS (SELECT source_file, c, s, u, b, any_value(chapter) AS chapter, any_value(section) AS section, any_value(subsection) AS subsection, min(page)::INT AS start_page, max(page)::INT AS end_page, {STRIP.format('string_agg(said, chr(10) ORDER BY page, n)')} AS raw FROM l9 GROUP BY source_file, c, s, u, b),
-b1 AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY c, s, u, b) - 1 AS block_index, CASE WHEN NOT {_any(_FIRST, LEX.warning_light)} AND {_marker_sql(_FIRST, LEX.warning)} THEN 'warning' WHEN {_marker_sql(_FIRST, LEX.caution)} THEN 'caution' WHEN {_marker_sql(_FIRST, LEX.note)} THEN 'note' WHEN {_PROCEDURE} THEN 'procedure' ELSE 'normal' END AS content_type FROM b0 WHERE length(raw) >= 4)
-SELECT source_file, block_index, start_page, end_page, chapter, section, subsection, content_type,
-  CASE WHEN content_type = 'warning' THEN 'high' WHEN {_any('raw', LEX.warning_light)} THEN CASE WHEN {_any('raw', LEX.medium_risk)} THEN 'medium' ELSE 'low' END WHEN {_any('raw', LEX.high_risk)} THEN 'high' WHEN content_type = 'caution' OR {_any('raw', LEX.medium_risk)} THEN 'medium' ELSE 'low' END AS risk_level,
-  {_PROCEDURE} AS is_procedure, concat_ws(' > ', chapter, section, subsection) AS heading_path, (end_page - start_page + 1)::BIGINT AS n_pages,
-  md5(CASE WHEN subsection IS NOT NULL AND NOT starts_with(raw, subsection) THEN subsection || chr(10) || raw ELSE raw END) AS text
-FROM b1"""
+b0 AS (SELECT source_file, c, s, u, b, arg_min(doc_id, pos) AS doc_id, any_value(chapter) AS chapter, any_value(section) AS section, any_value(subsection) AS subsection, min(page)::INT AS start_page, max(page)::INT AS end_page, {STRIP.format('string_agg(said, chr(10) ORDER BY page, n)')} AS raw FROM l9 GROUP BY source_file, c, s, u, b),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY c, s, u, b) - 1 AS block_index, {procedure} AS is_procedure, CASE WHEN NOT {_any(_FIRST, lex.warning_light)} AND {_marker_sql(_FIRST, lex.warning)} THEN 'warning' WHEN {_marker_sql(_FIRST, lex.caution)} THEN 'caution' WHEN {_marker_sql(_FIRST, lex.note)} THEN 'note' WHEN {procedure} THEN 'procedure' ELSE 'normal' END AS content_type FROM b0 WHERE length(raw) >= 4),
+b2 AS (SELECT *, CASE WHEN content_type = 'warning' THEN 'high' WHEN {_any('raw', lex.warning_light)} THEN CASE WHEN {_any('raw', lex.medium_risk)} THEN 'medium' ELSE 'low' END WHEN {_any('raw', lex.high_risk)} THEN 'high' WHEN content_type = 'caution' OR {_any('raw', lex.medium_risk)} THEN 'medium' ELSE 'low' END AS risk_level,
+  CASE WHEN subsection IS NOT NULL AND NOT starts_with(raw, subsection) THEN subsection || chr(10) || raw ELSE raw END AS body FROM b1)"""
+
+
+_PAGES_SQL = f"SELECT 'manual-' || coalesce(source, '') AS source_file, doc_id AS page, doc_id, {_page('VARCHAR', '//', 'text', 'chr(10)')} AS t FROM (SELECT *, doc_id AS i FROM documents)"
+BLOCKS_SQL = blocks_sql(_PAGES_SQL, LEX) + " SELECT source_file, block_index, start_page, end_page, chapter, section, subsection, content_type, risk_level, is_procedure, concat_ws(' > ', chapter, section, subsection) AS heading_path, (end_page - start_page + 1)::BIGINT AS n_pages, md5(body) AS text FROM b2"
+#: The name-based UUID of a block, as structure.finished gives it.
+_NAMED = f"sha1(unhex('{URL_NAMESPACE}') || encode(doc_id::VARCHAR || ':' || block_index || ':' || substr(body, 1, 40)))"
+_UUID = "substr(k, 1, 8) || '-' || substr(k, 9, 4) || '-5' || substr(k, 14, 3) || '-' || lower(to_hex((('0x' || substr(k, 17, 2))::UTINYINT & 63) | 128)) || substr(k, 19, 2) || '-' || substr(k, 21, 12)"
+_LATIN = blocks_sql("SELECT 'doc-' || doc_id AS source_file, 1 AS page, doc_id, text AS t FROM documents", LATIN_GENERIC) + f", b3 AS (SELECT *, {_NAMED} AS k FROM b2) SELECT {_UUID} AS block_id, source_file, block_index::INT AS block_index, start_page, end_page, content_type, risk_level, length(body)::INT AS n_chars FROM b3"
+for _name in ("structure_blocks", "structure_blocks_segmented", "structure_blocks_sql"):
+    ORACLES[_name] = _LATIN
 
 
 @query("manual_blocks", BLOCKS_SQL)
@@ -103,7 +120,7 @@ def manual_blocks_sql(spark, sf):
     return _result(structure.finished(spark.sql("SELECT * FROM manual_blocks(TABLE(manual_page_lines))"), LEX))
 
 
-@query("manual_line_kinds", BLOCKS_SQL.split("l3 AS")[0].rstrip().rstrip(",") + " SELECT kind, count(*) AS lines FROM l2 GROUP BY kind")
+@query("manual_line_kinds", lines_sql(_PAGES_SQL, LEX) + " SELECT kind, count(*) AS lines FROM l2 GROUP BY kind")
 def manual_line_kinds(spark, sf):
     kind = F.when(F.col("kind").endswith("_marker"), "marker").when(F.col("kind") == "list_item", "body").otherwise(F.col("kind"))
     return manual_lines(spark, sf).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))

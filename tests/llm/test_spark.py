@@ -334,7 +334,6 @@ def brute_components(rows):
 @pytest.mark.parametrize("block", [256, 2])
 def test_jaccard_join(docs, empty, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(docs).collect()), key=str)
     assert got == brute_components(ROWS)
     clash = docs.selectExpr("*", "'y' AS __text", "1 AS __k", "2 AS hashed")

@@ -71,6 +71,15 @@ def test_no_window_runs_over_a_source(spark):
     assert "windowspecdefinition(source_file" in plan and all("seg#" in w.split("ROWS")[0].split("ASC")[0] for w in plan.split("windowspecdefinition(source_file")[1:])
 
 
+def test_ranges_are_no_python_groups(spark):
+    """A table of many one-page sources costs no call for each of them."""
+    pages = [(f"d{i}", f"m{i}", 1, "警告！\n正文第一句话在这里。", True) for i in range(300)]
+    lines = structure.classified_lines(spark.createDataFrame(pages, SCHEMA), ZH)
+    found = segments.segmented_blocks(lines, ZH)
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 300
+
+
 @pytest.fixture
 def states(spark):
     before = spark.conf.get(segments.PROVIDER[0])

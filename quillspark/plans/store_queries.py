@@ -43,7 +43,7 @@ def store_rebuild(spark, sf):
 def bm25_index_stored(spark, sf):
     """The written index: df counted from its postings, idf from its terms."""
     path = _folder(spark, "bm25")
-    writers.write_bm25(bm25.build(q.chunk_table(spark, sf)), path)
+    writers.write_bm25(bm25.build(q.chunk_table(spark, sf), lambda df: scratch.written(df, "index")), path)
     index = writers.read_bm25(spark, path)
     counted = index.postings.groupBy("term").agg(F.count("*").alias("df"))
     return counted.join(index.terms.select("term", "idf"), "term").select("term", "df", F.round("idf", 6).alias("idf"))

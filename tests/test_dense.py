@@ -38,3 +38,29 @@ def test_inverted_file(spark, monkeypatch, slots):
     true, found = hits(dense.search(v, q, 10)), hits(dense.ivf_search(index, model, q, 10, probes=8))
     assert set(found) == set(true) and all(len(h) == 10 and h[0] == k for k, h in found.items())
     assert sum(len(set(found[k]) & set(true[k])) for k in true) >= 0.9 * 10 * len(true)
+
+
+def test_nearest_holds_few_scores():
+    """Whatever the steps, the best of all rows, equal scores by id."""
+    rng = np.random.default_rng(7)
+    v = rng.integers(-2, 3, size=(400, 6)) + 0.5
+    v, ids = v / np.linalg.norm(v, axis=1, keepdims=True), rng.permutation(400)
+    s = v[:30] @ v.T
+    order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :5]
+    for cells in (1, 900, 1 << 20):
+        found = dense.Nearest(30, 5)
+        for at in range(0, 400, 150):
+            found.add(v[:30], v[at : at + 150], ids[at : at + 150], cells)
+            assert len(found.who) <= 150
+        assert (found.ids.reshape(30, 5) == ids[order]).all() and (found.who == np.repeat(np.arange(30), 5)).all()
+
+
+def test_lsh_of_all_buckets_is_the_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SLOT_ROWS", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(120, 8)).tolist())] + [(200 + i, [1.0] * 8) for i in range(20)] + [(300, [0.0] * 8), (301, None)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q = v.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = dense.lsh_search(v, q, 5, tables=2, planes=2, flips=2)
+    assert hits(found) == hits(dense.search(v, q, 5)) and 300 not in hits(found)
+    assert "Distinct" not in found._jdf.queryExecution().logical().toString()  # no pair is shuffled for each table

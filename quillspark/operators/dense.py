@@ -54,16 +54,19 @@ class Nearest:
 
     def __init__(self, n: int, top_k: int):
         self.n, self.top_k, self.least = n, top_k, np.full(n, -np.inf)
-        self.who, self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+        self.who, self.scores, self.ids, self.seen = np.zeros(0, np.int64), np.zeros(0), None, 0
 
     def add(self, q: np.ndarray, v: np.ndarray, ids: np.ndarray, cells: int) -> None:
         """Rows with unit vectors v, against the queries' q; `cells` scores at once."""
-        step = max(self.top_k, cells // max(1, self.n))
-        for at in range(0, len(v), step):
-            s = q @ v[at : at + step].T
+        step, at = max(self.top_k, cells // max(1, self.n)), 0
+        while at < len(v):
+            # few rows at first, as all of them are among the best so far
+            n = min(step, max(4 * self.top_k, self.seen))
+            s = q @ v[at : at + n].T
             # a margin for scores that rounding makes equal
             who, row = np.nonzero(s >= self.least[:, None] - 1e-9)
             self._merge(who, s[who, row], ids[at + row])
+            at, self.seen = at + n, self.seen + n
 
     def _merge(self, who: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         if self.ids is not None:

@@ -12,11 +12,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: Characters that end a line; a pair of \r and \n is one end.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: One class first, so that a search passes over other characters by one test.
+LINE_BREAK = f"[{BREAKS}](?:(?<=\r)\n)?"
+#: What (?U)\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, which alone are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean_text(c: Column) -> Column:
@@ -51,11 +57,23 @@ def context_key(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Stripped lines; a closing line break opens no line."""
-    parts = F.split(c, LINE_BREAK, -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    parts = held(F.split(c, LINE_BREAK, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
     return F.transform(parts, strip)
 
 
+def first_line(c: Column) -> Column:
+    """The first line that says something, stripped; "" if none does."""
+    c = F.ltrim(c, F.lit(SPACES + BREAKS))
+    for end in BREAKS:  # a search for a character is much faster than a pattern's
+        c = F.substring_index(c, end, 1)
+    return F.rtrim(c, F.lit(SPACES))
+
+
+def held(c: Column, use) -> Column:
+    """use(c), with c evaluated once however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 #: Terms beyond which one pattern is tried instead of each term, as generated code has a bound.
 MANY_TERMS = 7
 

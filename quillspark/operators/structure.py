@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import LexiconProfile
 
-LIST_ITEM = r"(?U)(^|\n)\s*(?:■|-|•|\d+\.|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
-STEP = r"(?U)(^|\n)\s*(?:\d+\.?|\d+\s|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
+ITEM = r"(?:■|-|•|\d+\.|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
+STEP = r"(?:\d+\.?|\d+\s|（\d+）|[①②③④⑤⑥⑦⑧⑨⑩])"
 SKIP_TOC_PAGES = 12
 LEAST_BLOCK = 4
 
@@ -51,18 +51,28 @@ def any_marker(c: Column, lex: LexiconProfile) -> Column:
     return marker(c, lex.warning) | marker(c, lex.caution) | marker(c, lex.note)
 
 
-def _first_line(c: Column) -> Column:
-    return F.coalesce(F.get(F.filter(T.lines(c), lambda x: x != ""), F.lit(0)), T.strip(c))
+def list_item(c: Column) -> Column:
+    """Whether a line of the text begins like an item of a list. The first
+    line and those after a line feed have patterns of their own: a search for
+    either is much faster than one for a choice of both."""
+    return c.rlike(rf"(?U)^\s*{ITEM}") | c.rlike(rf"(?U)\n\s*{ITEM}")
+
+
+def steps(c: Column) -> Column:
+    """How many lines begin like a step."""
+    c = F.ltrim(c, F.lit(T.SPACES))
+    return c.rlike(f"(?U)^{STEP}").cast("int") + F.regexp_count(c, F.lit(rf"(?U)\n\s*{STEP}"))
 
 
 def is_procedure(c: Column, lex: LexiconProfile) -> Column:
     verbs = T.count_of(c, lex.operation_verbs)
-    return T.any_of(c, lex.procedure_phrases) | (F.regexp_count(c, F.lit(STEP)) >= 2) | (c.rlike(LIST_ITEM) & (verbs >= 1)) | (verbs >= 2)
+    return T.any_of(c, lex.procedure_phrases) | (verbs >= 2) | (steps(c) >= 2) | (list_item(c) & (verbs >= 1))
 
 
 def content_type(c: Column, lex: LexiconProfile) -> Column:
-    first = _first_line(c)
-    return F.when(~T.any_of(first, lex.warning_light) & marker(first, lex.warning), "warning").when(marker(first, lex.caution), "caution").when(marker(first, lex.note), "note").when(is_procedure(c, lex), "procedure").otherwise("normal")
+    # a text of white space and line breaks has no marker, so that its first line may be ""
+    named = T.held(T.first_line(c), lambda first: F.when(~T.any_of(first, lex.warning_light) & marker(first, lex.warning), "warning").when(marker(first, lex.caution), "caution").when(marker(first, lex.note), "note"))
+    return F.coalesce(named, F.when(is_procedure(c, lex), "procedure").otherwise("normal"))
 
 
 def risk_level(c: Column, kind: Column, lex: LexiconProfile) -> Column:
@@ -83,10 +93,11 @@ def _step_like(c: Column, lex: LexiconProfile) -> Column:
     return c.rlike(r"(?U)^\d{1,3}") & T.any_of(c, lex.operation_verbs)
 
 
-def noise_line(c: Column, skips: Column, lex: LexiconProfile) -> Column:
-    number = c.rlike(r"(?U)^\d{1,4}$")
+def noise_line(c: Column, lex: LexiconProfile) -> Column:
+    """Whether a line is noise on every page. Its length comes first where that says it."""
+    number = (F.length(c) <= 5) & c.rlike(r"(?U)^\d{1,4}$")
     contents = c.rlike(r"[\.·•…]{5,}") & c.rlike(r"(?U)\d{1,4}\s*$")
-    return number | contents | (skips & c.isin([*lex.chapters, *lex.toc_titles])) | F.lower(c).isin("copyright", "all rights reserved")
+    return number | F.when(F.length(c).isin(9, 19), F.lower(c).isin("copyright", "all rights reserved")).otherwise(F.lit(False)) | contents
 
 
 def subsection_heading(c: Column, following: Column, lex: LexiconProfile) -> Column:
@@ -94,37 +105,40 @@ def subsection_heading(c: Column, following: Column, lex: LexiconProfile) -> Col
     line that says something on its page (null at the end of the page)."""
     latin = c.rlike("[A-Za-z0-9]")
     acts, titled = _starts(c, lex.action_prefixes), _ends(c, lex.title_suffixes)
-    refused = c.isin([*lex.reject_titles, *lex.chapters, *lex.sections]) | any_marker(c, lex) | c.rlike(LIST_ITEM) | _step_like(c, lex)
+    refused = c.isin([*lex.reject_titles, *lex.chapters, *lex.sections]) | any_marker(c, lex) | list_item(c) | _step_like(c, lex)
     fragment = (latin & (_cjk(c) <= 3)) | c.rlike(r"(?U)^[\W_]+$")
     telling = ~(acts & (_cjk(c) <= 18)) & T.any_of(c, lex.reject_terms)
-    shaped = ~_body_text(c, lex) & ~fragment & ~telling & ~c.rlike("[，、；。：:,;.!！]") & _cjk(c).between(2, 18) & (F.length(c) <= 24)
+    shaped = ~_body_text(c, lex) & ~fragment & ~telling & ~c.rlike("[，、；。：:,;.!！]") & _cjk(c).between(2, 18)
     n = T.squeeze(following)
-    led = any_marker(n, lex) | n.rlike(LIST_ITEM) | _body_text(n, lex) | _step_like(n, lex) | T.any_of(n, lex.body_tone) | T.any_of(n, lex.operation_verbs) | (_cjk(n) >= 8)
+    led = any_marker(n, lex) | list_item(n) | _body_text(n, lex) | _step_like(n, lex) | T.any_of(n, lex.body_tone) | T.any_of(n, lex.operation_verbs) | (_cjk(n) >= 8)
     noun = ~latin & ~T.any_of(c, lex.body_tone) & ~T.any_of(c, lex.operation_verbs)
-    return ~refused & (c.isin(list(lex.subsections)) | (shaped & F.when(F.coalesce(following, F.lit("")) == "", ~latin & (acts | titled)).otherwise(led & (acts | titled | noun))))
+    reads = shaped & F.when(F.coalesce(following, F.lit("")) == "", ~latin & (acts | titled)).otherwise(led & (acts | titled | noun))
+    # most lines are too long for a heading, and are not looked at further
+    return F.when(c.isin(list(lex.subsections)), ~refused).when(F.length(c) <= 24, ~refused & reads).otherwise(F.lit(False))
 
 
 def classified_lines(pages: DataFrame, lex: LexiconProfile, skip_toc_pages: int = SKIP_TOC_PAGES) -> DataFrame:
     """(doc_id, source_file, page, n, line, kind) of every line of pages
     (doc_id, source_file, page, text)."""
-    dotted = F.size(F.filter(T.lines(F.col("text")), lambda x: F.contains(x, F.lit("...")) | F.contains(x, F.lit("……"))))
-    skips = (F.col("page") <= skip_toc_pages) & ((dotted >= 3) | (T.count_of(F.col("text"), lex.chapters) >= 4) | (F.contains(F.col("text"), F.lit(lex.toc_heading)) if lex.toc_heading else F.lit(False)))
     # lines find the next one that says something within their page's array, so that this is a map over pages, also of a stream
-    held = pages.select("doc_id", "source_file", "page", skips.alias("skips"), F.transform(T.lines(F.col("text")), lambda x: F.struct(x.alias("line"), T.squeeze(x).alias("head"))).alias("held"))
-    says = F.transform("held", lambda x: F.when((x["head"] != "") & ~noise_line(x["head"], F.lit(False), lex), "1").otherwise("0"))
+    held = pages.select("doc_id", "source_file", "page", "text", F.transform(T.lines(F.col("text")), lambda x: F.struct(x.alias("line"), T.squeeze(x).alias("head"))).alias("held"))
+    dotted = F.size(F.filter("held", lambda x: F.contains(x["line"], F.lit("...")) | F.contains(x["line"], F.lit("……"))))
+    skips = (F.col("page") <= skip_toc_pages) & ((dotted >= 3) | (T.count_of(F.col("text"), lex.chapters) >= 4) | (F.contains(F.col("text"), F.lit(lex.toc_heading)) if lex.toc_heading else F.lit(False)))
+    held = held.select("doc_id", "source_file", "page", skips.alias("skips"), F.transform("held", lambda x: F.struct(x["line"], x["head"], noise_line(x["head"], lex).alias("noise"))).alias("held"))
+    says = F.transform("held", lambda x: F.when((x["head"] != "") & ~x["noise"], "1").otherwise("0"))
     held = held.withColumn("says", F.array_join(says, ""))
     nth = lambda i: F.call_function("locate", F.lit("1"), F.col("says"), i + 2)
-    rows = held.select("doc_id", "source_file", "page", "skips", F.posexplode(F.transform("held", lambda x, i: F.struct(x["line"], x["head"], F.get(F.col("held"), nth(i) - 1)["line"].alias("following")))).alias("n", "at"))
-    rows = rows.select("doc_id", "source_file", "page", "skips", "n", "at.line", "at.head", "at.following")
+    rows = held.select("doc_id", "source_file", "page", "skips", F.posexplode(F.transform("held", lambda x, i: F.struct(x["line"], x["head"], x["noise"], F.get(F.col("held"), nth(i) - 1)["line"].alias("following")))).alias("n", "at"))
+    rows = rows.select("doc_id", "source_file", "page", "skips", "n", "at.line", "at.head", "at.noise", "at.following")
     head = F.col("head")
     open_ = ~F.col("skips")
     kind = (
-        F.when(head == "", "blank").when(noise_line(head, F.col("skips"), lex), "noise")
+        F.when(head == "", "blank").when(F.col("noise") | (F.col("skips") & head.isin([*lex.chapters, *lex.toc_titles])), "noise")
         .when(open_ & head.isin(list(lex.chapters)), "chapter").when(open_ & head.isin(list(lex.sections)), "section")
         .when(marker(head, lex.warning), "warning_marker").when(marker(head, lex.caution), "caution_marker").when(marker(head, lex.note), "note_marker")
-        .when(head.rlike(LIST_ITEM), "list_item").when(open_ & subsection_heading(head, F.col("following"), lex), "subsection").otherwise("body")
+        .when(list_item(head), "list_item").when(open_ & subsection_heading(head, F.col("following"), lex), "subsection").otherwise("body")
     )
-    return rows.withColumn("kind", kind).drop("skips", "following")
+    return rows.withColumn("kind", kind).drop("skips", "noise", "following")
 
 
 def blocks(lines: DataFrame, lex: LexiconProfile) -> DataFrame:

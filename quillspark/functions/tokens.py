@@ -32,6 +32,25 @@ def bm25_tokens(c: Column) -> Column:
     return F.concat(words, *(char_ngrams(joined, n) for n in range(1, 6)))
 
 
+#: Signs within words, and the bytes of words in lower case, with a space for all others.
+SIGNS = "&+/-"
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if chr(b) in SIGNS or (b < 128 and chr(b).isalnum()) else 32 for b in range(256))
+_CJK = re.compile(f"{CJK}+")
+
+
+def bm25_words(text: str) -> list[str]:
+    """bm25_tokens of one string. A word is a run of letters, digits and signs
+    less the signs at its ends."""
+    runs = text.encode("utf-8", "replace").translate(_LETTERS).decode("ascii")
+    words = runs.split()
+    if any(sign in runs for sign in SIGNS):
+        words = [w for w in (r.strip(SIGNS) for r in words) if w]
+    if text.isascii():
+        return words
+    joined = "".join(_CJK.findall(text))
+    return words + [joined[i : i + n] for n in range(1, 6) for i in range(len(joined) - n + 1)]
+
+
 def informative_chars(token: Column, lex: LexiconProfile) -> Column:
     weak = lex.weak_chars + lex.conservative_chars
     return F.length(F.translate(token, weak, "")) if weak else F.length(token)

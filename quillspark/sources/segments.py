@@ -106,7 +106,8 @@ class SegmentedStore:
         out = self._located("chunks", [*columns, "bucket"])
         if sources is not None:
             # the buckets as values, so that folders are pruned before any is listed
-            asked = [r[0] for r in self.spark.createDataFrame([(s,) for s in sources], "s string").select(bucket_of(F.col("s"))).distinct().collect()]
+            named = F.array(*map(F.lit, sources)).cast("array<string>")
+            asked = self.spark.range(1).select(F.transform(named, bucket_of).alias("b")).first()["b"]
             out = out.where(F.col("bucket").isin(asked) & F.col("source_file").isin(list(sources)))
         return out.select(*columns)
 

@@ -19,13 +19,16 @@ pairs of thirds. Bands with k = 0 link equal sets only.
 
 Popular passages make sets share a signature that have little else in common.
 So a signature carries a sketch: the parities, by hash into 60 bits, of the
-shingles in the CHAIN partitions that start with its own. Two sets that differ
-in d of these shingles have sketches that differ in d bits at most. By the
-cycle lemma, as 2n - k >= 3 and no partition has fewer than 0 differences, at
-least two partitions start chains of which every first l partitions hold at
-most 2l - 1 differences. So linked sets share a signature of at least two
-partitions whose sketches differ in min(2 * CHAIN - 1, k) bits at most; others
-are not brought together by it.
+shingles of the CHAIN partitions that start with its own. Two sets that differ
+in d of these shingles have sketches that differ in d bits at most. A set of m
+shingles differs from those it links with in at most d = min(k, m * (1 - t) / t)
+shingles. By the cycle lemma there is a partition such that, for every l, the
+l partitions that start with it hold at most l * d / n differences. Were two
+more differences in it, it would hold more than (d + 2) / n < 2, so
+another one starts chains of at most l * (d + 2) / n. So linked sets share a
+signature of at least two partitions whose sketches differ in
+CHAIN * (d + 2) / n bits at most, d being that of either set; others are not
+brought together by it.
 
 A pair of thirds in which a set has no shingle at all says nothing, and
 sharing it would bring together sets at random, ever more of them as the
@@ -35,11 +38,15 @@ least two, as there are two partitions of the kind above. So no link is lost.
 
 A task passes on the signatures of a set once. Sets that share a signature
 form a bucket; no pairs are made from it, only a forest of those whose
-sketches agree. The components of these forests are clusters of candidates.
+sketches agree, and a task hands on a forest of the forests of its buckets.
 First each set is compared with one neighbour of the forest, on whole
-texts; in a cluster that this joins nothing is left to do. In
-the others, sets are put into blocks of up to BLOCK_SETS sets and BLOCK_BYTES,
-and pairs of blocks are compared, but for those within one joined part. A
+texts. The components of the links found are parts. If an edge of the forests
+joins two parts, these are open; sets of other parts have all their links, as
+any two sets with agreeing sketches are joined by edges, of which the first
+and the last that leave a part leave theirs. The signatures of the open
+parts' sets are put into buckets again, which now give the pairs of parts that
+hold sets with agreeing sketches. Such parts are compared on whole texts,
+each with all its partners, in blocks of up to BLOCK_SETS sets and BLOCK_BYTES. A
 group counts all intersections by a matrix product over the shingles that
 several sets have and hands on a spanning forest of its links, so that its
 output grows with its sets and not with their pairs. The components of all
@@ -133,7 +140,7 @@ def bands(most: int, measure: Measure = OP10) -> np.ndarray:
 
 def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, sketch) of every set. A sketch's highest bits hold the
-    number of bits in which linked sets' sketches may differ."""
+    number of bits in which the sketches of sets it links with may differ."""
     if not len(g):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     low = bands(int(n.max()), measure)
@@ -166,7 +173,9 @@ def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[n
         beyond = here + np.minimum(CHAIN, ring)
         over = np.maximum(beyond - (first + ring), 0)
         chain = parity[begin[beyond - over]] ^ parity[begin[here]] ^ parity[begin[first + over]] ^ parity[begin[first]]
-        may = np.minimum(k[row], 2 * np.minimum(CHAIN, ring) - 1).astype(np.uint64)
+        most = np.minimum(k, n * (measure.denominator - measure.numerator) // measure.numerator)[row]
+        span = np.minimum(CHAIN, ring)
+        may = np.minimum(np.minimum(most, span * (most + 2) // np.maximum(ring, 1)), 2 * span - 1).astype(np.uint64)
         chain |= may << np.uint64(SKETCH_BITS)
         place = (tag[row].astype(np.uint64) << np.uint64(40)) + (here - first).astype(np.uint64)
         for left in range(THIRDS):
@@ -183,7 +192,7 @@ _BITS = np.uint64((1 << SKETCH_BITS) - 1)
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether sketches of one bucket differ in few enough bits."""
-    return np.bitwise_count((a ^ b) & _BITS) <= (a >> np.uint64(SKETCH_BITS))
+    return np.bitwise_count((a ^ b) & _BITS) <= np.minimum(a, b) >> np.uint64(SKETCH_BITS)
 
 
 def bucket_forest(cid: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,6 +219,23 @@ def bucket_forest(cid: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
+def spanning(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which of the edges make a forest with the components of all; those to
+    the least nodes come first, so that tasks choose alike."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, keep = list(range(len(node))), np.zeros(len(u), bool)
+    order = np.lexsort((v, u))
+    for e, a, b in zip(order.tolist(), at[: len(u)][order].tolist(), at[len(u) :][order].tolist(), strict=True):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep[e] = True
+    return keep
+
+
 def slim_table(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
     """(key, th, n_shingles, cid): cid names the set, null if empty."""
     common.bounded_batches(docs.sparkSession)
@@ -224,7 +250,7 @@ def slim_table(docs: DataFrame, key: str, text: str, measure: Measure) -> DataFr
 
 
 def stars(docs: DataFrame, text: str, parts: int, measure: Measure) -> DataFrame:
-    """(u, v): a forest of each bucket's members with near sketches."""
+    """(u, v): edges that join the members of each bucket that near sketches join."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: set[int] = set()
@@ -272,8 +298,9 @@ def stars(docs: DataFrame, text: str, parts: int, measure: Measure) -> DataFrame
             if to[i] - start[i] > 2:
                 pairs += [np.stack(e) for e in bucket_forest(cid[mine], sketch[mine])]
         pair = np.concatenate(pairs, axis=1)
-        pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
-        yield common.from_columns(["u", "v"], [pa.array(pair.min(0)), pa.array(pair.max(0))])
+        pair = np.unique(np.sort(pair[:, pair[0] != pair[1]], axis=0), axis=1)
+        pair = pair[:, spanning(*pair)]
+        yield common.from_columns(["u", "v"], [pa.array(pair[0]), pa.array(pair[1])])
 
     made = docs.select(F.col(text).alias("t")).mapInArrow(signed, "sig long, cid long, sketch long")
     return made.repartition(parts, "sig").mapInArrow(shared, "u long, v long").distinct()
@@ -329,33 +356,75 @@ def neighbour_links(near: DataFrame, texts: DataFrame, measure: Measure) -> Data
     return grouped_links(leaves.unionByName(hubs), ["hub", "i"], measure)
 
 
-def block_links(members: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """(u, v): links between the parts of each cluster, `members` being (cid,
-    cluster, part). A large part has blocks of its own, which aren't compared
-    with each other; the small ones of a cluster share blocks."""
-    t = members.join(texts.select("cid", F.octet_length("text").alias("bytes")), "cid")
-    parts = t.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    own = (F.col("n") >= BLOCK_SETS // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
-    parts = parts.withColumn("owner", F.when(own, F.col("part")))
-    runs = parts.groupBy("cluster", "owner").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"))
-    # blocks are numbered through a cluster: a run of them for each owner
-    listed = runs.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("owner", "blocks"))).alias("runs"))
-    begun = F.aggregate(
-        F.col("runs"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<owner:bigint,lo:bigint,hi:bigint>>)").alias("runs")),
-        lambda a, r: F.struct((a["at"] + r["blocks"]).alias("at"), F.concat(a["runs"], F.array(F.struct(r["owner"].alias("owner"), a["at"].alias("lo"), (a["at"] + r["blocks"]).alias("hi")))).alias("runs")),
-        lambda a: a["runs"],
-    )
-    listed = listed.select("cluster", begun.alias("runs"))
-    rows = members.join(parts.select("cluster", "part", "owner"), ["cluster", "part"]).join(listed, "cluster")
-    mine = F.element_at(F.filter("runs", lambda r: r["owner"].eqNullSafe(F.col("owner"))), 1)
-    # the small parts are dealt by part, so that each is whole in a block
-    deal = F.xxhash64(F.when(F.col("owner").isNull(), F.col("part")).otherwise(F.col("cid")))
-    rows = rows.withColumn("run", mine).withColumn("mine", F.col("run.lo") + F.pmod(deal, F.col("run.hi") - F.col("run.lo")))
-    others = F.flatten(F.transform(F.filter("runs", lambda r: r["owner"].isNull() | ~r["owner"].eqNullSafe(F.col("owner"))), lambda r: F.sequence(r["lo"], r["hi"] - 1)))
-    spread = rows.select("cluster", "cid", "mine", F.explode(others).alias("other"))
-    spread = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "cid")
-    return grouped_links(spread.join(texts, "cid"), ["cluster", "i", "j"], measure)
+def parts_met(sig: np.ndarray, part: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the pairs of parts, a < b, with near sketches in one bucket."""
+    order = np.lexsort((sketch, part, sig))
+    sig, part, sketch = sig[order], part[order], sketch[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (sketch[1:] != sketch[:-1])
+    sig, part, sketch = sig[new], part[new], sketch[new]
+    # a row is held against those of its bucket's later parts, from `at` to `end`
+    starts = np.ones(len(sig), bool)
+    starts[1:] = sig[1:] != sig[:-1]
+    runs = starts.copy()
+    runs[1:] |= part[1:] != part[:-1]
+    end = np.append(np.flatnonzero(starts), len(sig))[np.cumsum(starts)]
+    at = np.append(np.flatnonzero(runs), len(sig))[np.cumsum(runs)]
+    rows, found, held = np.flatnonzero(at < end), [np.zeros((2, 0), np.int64)], 0
+    at, end = at[rows], end[rows]
+    while len(rows):
+        met = near(sketch[rows], sketch[at])
+        found.append(np.stack([part[rows[met]], part[at[met]]]))
+        held += len(found[-1][0])
+        if held > SIGNATURES:
+            found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+            held = len(found[0][0])
+        at = at + 1
+        left = at < end
+        rows, at, end = rows[left], at[left], end[left]
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return a, b
+
+
+def part_pairs(members: DataFrame, parts: int, measure: Measure) -> DataFrame:
+    """(a, b): the pairs of parts, a < b, that may have a link, `members` being
+    (cid, part, text)."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, sig, sketch = signatures(*shingle_sets(b.column(1), measure.words), measure)
+            yield common.from_columns(["sig", "part", "sketch"], [pa.array(sig.view(np.int64)), pa.array(b.column(0).to_numpy()[row]), pa.array(sketch.view(np.int64))])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if held:
+            sig, part, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            a, b = parts_met(sig, part, sketch.view(np.uint64))
+            yield common.from_columns(["a", "b"], [pa.array(a), pa.array(b)])
+
+    made = members.select("part", "text").mapInArrow(signed, "sig long, part long, sketch long")
+    return made.repartition(parts, "sig").mapInArrow(met, "a long, b long").distinct()
+
+
+def part_links(pairs: DataFrame, members: DataFrame, measure: Measure) -> DataFrame:
+    """(u, v): links between the parts of each pair, `members` being (cid,
+    part, text). Of a pair the part with more text is the hub; the sets of a
+    hub's partners share blocks, each of which meets each of the hub's."""
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("long")
+    sizes = common.written(members.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "sizes")
+    size = lambda x: sizes.select(F.col("part").alias(x), F.struct("bytes", "n", "part").alias(f"size_{x}"))
+    known = pairs.join(size("a"), "a").join(size("b"), "b").select(F.greatest("size_a", "size_b").alias("hub"), F.least("size_a", "size_b").alias("leaf"))
+    known = common.written(known.select(F.col("hub.part").alias("hub"), F.col("leaf.part").alias("part"), F.col("leaf.n").alias("n"), F.col("leaf.bytes").alias("bytes")), "pairs")
+    leaf_blocks = known.groupBy("hub").agg(blocks.alias("wide"))
+    hub_blocks = sizes.groupBy(F.col("part").alias("hub")).agg(blocks.alias("high"))
+    hubs = common.written(leaf_blocks.join(hub_blocks, "hub"), "hubs")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    ids = members.select("cid", "part")
+    leaves = known.select("hub", "part").join(ids, "part").join(hubs, "hub").select("hub", each("high").alias("i"), dealt("wide").alias("j"), "cid")
+    own = hubs.join(ids.toDF("cid", "hub"), "hub").select("hub", dealt("high").alias("i"), each("wide").alias("j"), "cid")
+    return grouped_links(leaves.unionByName(own).join(members.select("cid", "text"), "cid"), ["hub", "i", "j"], measure)
 
 
 def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure: Measure) -> DataFrame:
@@ -373,13 +442,15 @@ def linked_roots(docs: DataFrame, slim: DataFrame, key: str, text: str, measure:
     doubled = slim.groupBy(key, "th").count().where("count > 1").isEmpty()
     texts = common.written(texts if doubled else texts.dropDuplicates(["cid"]), "texts")
     joined_parts = common.written(graph.components(common.written(neighbour_links(near, texts, measure), "links")), "parts")
-    clusters = graph.components(near)
-    clusters = clusters.union(clusters.select("root", "root").distinct()).toDF("cid", "cluster")
-    placed_sets = clusters.join(joined_parts.toDF("cid", "part"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
-    placed_sets = common.written(placed_sets, "clusters")
-    open_ones = placed_sets.groupBy("cluster").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("cluster")
-    more = common.written(block_links(placed_sets.join(open_ones, "cluster", "left_semi"), texts, measure), "links")
-    common.discarded(spark, near, texts, placed_sets)
+    part = lambda x: joined_parts.toDF(x, f"part_{x}")
+    edges = near.join(part("u"), "u", "left").join(part("v"), "v", "left").select(F.coalesce("part_u", "u").alias("a"), F.coalesce("part_v", "v").alias("b")).where("a <> b")
+    edges = common.written(edges.distinct(), "edges")
+    open_ones = edges.select("a").union(edges.select("b")).distinct().toDF("part")
+    open_sets = texts.join(joined_parts.toDF("cid", "part"), "cid", "left").withColumn("part", F.coalesce("part", "cid")).join(open_ones, "part", "left_semi")
+    open_sets = common.written(open_sets.select("cid", "part", "text"), "open")
+    pairs = common.written(part_pairs(open_sets, parts, measure), "pairs")
+    more = common.written(part_links(pairs, open_sets, measure), "links")
+    common.discarded(spark, near, texts, edges, open_sets, pairs)
     if more.isEmpty():
         return joined_parts.toDF("cid", "root")
     return graph.components(more.union(joined_parts.toDF("u", "v"))).toDF("cid", "root")

@@ -44,8 +44,13 @@ texts. The components of the links found are parts. If an edge of the forests
 joins two parts, these are open; sets of other parts have all their links, as
 any two sets with agreeing sketches are joined by edges, of which the first
 and the last that leave a part leave theirs. The signatures of the open
-parts' sets are put into buckets again, which now give the pairs of parts that
-hold sets with agreeing sketches. Such parts are compared on whole texts,
+parts' sets are put into buckets again, now with a wide sketch too: the
+parities by hash into 64 * WORDS bits of the shingles of the next WIDE
+partitions. What was said of l partitions holds for WIDE of them; and sets of
+m and m' shingles that link differ in at most d = (m + m') * (1 - t) / (1 + t).
+Buckets give the pairs of parts that hold sets whose two sketches agree, so
+nearly only those of sets that are about as similar as links ask for, and
+not all that have a passage in common. Such parts are compared on whole texts,
 each with all its partners, in blocks of up to BLOCK_SETS sets and BLOCK_BYTES. A
 group counts all intersections by a matrix product over the shingles that
 several sets have and hands on a spanning forest of its links, so that its
@@ -76,6 +81,9 @@ THIRDS = 3
 #: Partitions whose shingles a signature's sketch takes in, and its bits.
 CHAIN = 6
 SKETCH_BITS = 60
+#: The same of a wide sketch, in words of 64 bits.
+WIDE = 32
+WORDS = 4
 #: Members of a bucket that are compared with each other; beyond, runs of so many are joined unseen.
 BUCKET = 50_000
 #: Sets and bytes of text in a block of a cluster.
@@ -83,6 +91,8 @@ BLOCK_SETS = 256
 BLOCK_BYTES = 8 << 20
 #: Signatures that one task sorts.
 SIGNATURES = 2_000_000
+#: The bits of a signature that are kept; the others are zero and cost no disk. Sketches keep apart what meets by chance.
+_SIGNATURE = np.uint64(0xFFFFFFFFFFFF0000)
 _KEYS = np.array([0x8CB92BA72F3D8DD7, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -141,14 +151,24 @@ def bands(most: int, measure: Measure = OP10) -> np.ndarray:
 def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, sketch) of every set. A sketch's highest bits hold the
     number of bits in which the sketches of sets it links with may differ."""
+    return wide_signatures(g, n, measure, 0)[:3]
+
+
+def wide_signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, and the wide sketch: its words, and then the set's size and
+    number of partitions in one."""
     if not len(g):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, words + 1), np.uint64)
     low = bands(int(n.max()), measure)
     own = np.searchsorted(low, n, side="right") - 1
     owner = np.repeat(np.arange(len(n)), n)
     spot, third, value = g >> np.uint64(32), common.mixed(g + _KEYS[2]) % np.uint64(THIRDS), common.mixed(g + _KEYS[1])
     bit = np.uint64(1) << (value % np.uint64(SKETCH_BITS))
-    rows, found, sketches = [], [], []
+    if words:
+        spread = common.mixed(value)
+        bits = np.zeros((len(g), words), np.uint64)
+        bits[np.arange(len(g)), (spread >> np.uint64(32)) % np.uint64(words)] = np.uint64(1) << (spread % np.uint64(64))
+    rows, found, sketches, wides = [], [], [], []
     for step in (0, 1):
         tag = own + step
         k = 2 * (low[tag + 1] - 1) * (measure.denominator - measure.numerator) // (measure.denominator + measure.numerator)
@@ -167,12 +187,20 @@ def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[n
         row = np.repeat(np.arange(len(n)), parts)
         hollow = np.bincount(row, held.sum(1) <= 1, len(n)) >= 2
         # shingles are in the order of their partitions, so a chain is a run of them, or two about the ring's end
-        parity = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(bit[live])])
         begin = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=total))])
         here, first, ring = np.arange(total), at[row], parts[row]
-        beyond = here + np.minimum(CHAIN, ring)
-        over = np.maximum(beyond - (first + ring), 0)
-        chain = parity[begin[beyond - over]] ^ parity[begin[here]] ^ parity[begin[first + over]] ^ parity[begin[first]]
+
+        def chained(bit: np.ndarray, partitions: int) -> np.ndarray:
+            parity = np.concatenate([np.zeros_like(bit, shape=(1, *bit.shape[1:])), np.bitwise_xor.accumulate(bit, axis=0)])
+            beyond = here + np.minimum(partitions, ring)
+            over = np.maximum(beyond - (first + ring), 0)
+            return parity[begin[beyond - over]] ^ parity[begin[here]] ^ parity[begin[first + over]] ^ parity[begin[first]]
+
+        chain = chained(bit[live], CHAIN)
+        wide = np.zeros((total, words + 1), np.uint64)
+        if words:
+            wide[:, :-1] = chained(bits[live], WIDE)
+            wide[:, -1] = (n[row].astype(np.uint64) << np.uint64(32)) + ring.astype(np.uint64)
         most = np.minimum(k, n * (measure.denominator - measure.numerator) // measure.numerator)[row]
         span = np.minimum(CHAIN, ring)
         may = np.minimum(np.minimum(most, span * (most + 2) // np.maximum(ring, 1)), 2 * span - 1).astype(np.uint64)
@@ -183,8 +211,9 @@ def signatures(g: np.ndarray, n: np.ndarray, measure: Measure = OP10) -> tuple[n
             says = held[:, a] | held[:, b] | hollow[row]
             rows.append(row[says])
             sketches.append(chain[says])
-            found.append(common.mixed(cells[says, a] * _KEYS[0] + cells[says, b] * _KEYS[1] + common.mixed(place[says] * np.uint64(THIRDS) + np.uint64(left))))
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(sketches)
+            wides.append(wide[says])
+            found.append(_SIGNATURE & common.mixed(cells[says, a] * _KEYS[0] + cells[says, b] * _KEYS[1] + common.mixed(place[says] * np.uint64(THIRDS) + np.uint64(left))))
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(sketches), np.concatenate(wides)
 
 
 _BITS = np.uint64((1 << SKETCH_BITS) - 1)
@@ -195,6 +224,15 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b) & _BITS) <= np.minimum(a, b) >> np.uint64(SKETCH_BITS)
 
 
+def alike(a: np.ndarray, b: np.ndarray, measure: Measure = OP10) -> np.ndarray:
+    """Whether wide sketches of one bucket differ in few enough bits for sets
+    of their sizes to link."""
+    size, ring = (a[:, -1] >> np.uint64(32)) + (b[:, -1] >> np.uint64(32)), (a[:, -1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    most = size.astype(np.int64) * (measure.denominator - measure.numerator) // (measure.denominator + measure.numerator)
+    may = np.minimum(most, np.minimum(WIDE, ring) * (most + 2) // np.maximum(ring, 1))
+    return np.bitwise_count(a[:, :-1] ^ b[:, :-1]).sum(1, dtype=np.int64) <= may
+
+
 def bucket_forest(cid: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges that join the members of a bucket as near sketches do."""
     out = []
@@ -356,12 +394,17 @@ def neighbour_links(near: DataFrame, texts: DataFrame, measure: Measure) -> Data
     return grouped_links(leaves.unionByName(hubs), ["hub", "i"], measure)
 
 
-def parts_met(sig: np.ndarray, part: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): the pairs of parts, a < b, with near sketches in one bucket."""
+def parts_met(sig: np.ndarray, part: np.ndarray, sketch: np.ndarray, wide: np.ndarray | None = None, measure: Measure = OP10) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): the pairs of parts, a < b, with near sketches in one bucket,
+    whose wide sketches are alike if there are any."""
     order = np.lexsort((sketch, part, sig))
     sig, part, sketch = sig[order], part[order], sketch[order]
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (part[1:] != part[:-1]) | (sketch[1:] != sketch[:-1])
+    if wide is not None:
+        wide = wide[order]
+        new[1:] |= (wide[1:] != wide[:-1]).any(1)
+        wide = wide[new]
     sig, part, sketch = sig[new], part[new], sketch[new]
     # a row is held against those of its bucket's later parts, from `at` to `end`
     starts = np.ones(len(sig), bool)
@@ -373,7 +416,9 @@ def parts_met(sig: np.ndarray, part: np.ndarray, sketch: np.ndarray) -> tuple[np
     rows, found, held = np.flatnonzero(at < end), [np.zeros((2, 0), np.int64)], 0
     at, end = at[rows], end[rows]
     while len(rows):
-        met = near(sketch[rows], sketch[at])
+        met = np.flatnonzero(near(sketch[rows], sketch[at]))
+        if wide is not None:
+            met = met[alike(wide[rows[met]], wide[at[met]], measure)]
         found.append(np.stack([part[rows[met]], part[at[met]]]))
         held += len(found[-1][0])
         if held > SIGNATURES:
@@ -390,20 +435,22 @@ def part_pairs(members: DataFrame, parts: int, measure: Measure) -> DataFrame:
     """(a, b): the pairs of parts, a < b, that may have a link, `members` being
     (cid, part, text)."""
 
+    names = ["sig", "part", "sketch", *(f"w{i}" for i in range(WORDS)), "sizes"]
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, sig, sketch = signatures(*shingle_sets(b.column(1), measure.words), measure)
-            yield common.from_columns(["sig", "part", "sketch"], [pa.array(sig.view(np.int64)), pa.array(b.column(0).to_numpy()[row]), pa.array(sketch.view(np.int64))])
+            row, sig, sketch, wide = wide_signatures(*shingle_sets(b.column(1), measure.words), measure)
+            yield common.from_columns(names, [pa.array(x) for x in (sig.view(np.int64), b.column(0).to_numpy()[row], *np.column_stack([sketch, wide]).view(np.int64).T)])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if held:
-            sig, part, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            sig, part, sketch, *wide = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            a, b = parts_met(sig, part, sketch.view(np.uint64))
+            a, b = parts_met(sig, part, sketch.view(np.uint64), np.stack(wide, axis=1).view(np.uint64), measure)
             yield common.from_columns(["a", "b"], [pa.array(a), pa.array(b)])
 
-    made = members.select("part", "text").mapInArrow(signed, "sig long, part long, sketch long")
+    made = members.select("part", "text").mapInArrow(signed, ", ".join(f"{x} long" for x in names))
     return made.repartition(parts, "sig").mapInArrow(met, "a long, b long").distinct()
 
 

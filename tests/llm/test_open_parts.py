@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillspark.llm import jaccard_join
@@ -81,3 +82,34 @@ def test_a_long_chain_is_not_compared_by_all_its_pairs(spark, monkeypatch):
     parts = components(rows, 5, 80)
     assert kept == sorted(min(i for (i, _), p in zip(rows, parts, strict=True) if p == q) for q in set(parts))
     assert max(seen) < 8 * len(rows)
+
+
+@pytest.mark.parametrize("measure", [jaccard_join.OP10, jaccard_join.PIPELINE])
+def test_linked_sets_share_a_signature_with_alike_wide_sketches(measure):
+    """At the very threshold, some differences on either side, and with more partitions than a wide sketch takes in."""
+    noise = np.random.default_rng(6)
+    for trial in range(200):
+        m = int(noise.integers(8, 1500 if trial % 4 else 60))
+        g = np.unique(noise.integers(0, 1 << 64, 2 * m, dtype=np.uint64))
+        both = -(-2 * m * measure.numerator // (measure.numerator + measure.denominator))
+        own = noise.permutation(g)
+        a, b = np.sort(own[:m]), np.sort(np.concatenate([own[:both], own[m : 2 * m - both]]))
+        row, sig, sketch, wide = jaccard_join.wide_signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), measure)
+        first = {s: i for i, (r, s) in enumerate(zip(row.tolist(), sig.tolist(), strict=True)) if r == 0}
+        x = np.array([(first[s], i) for i, (r, s) in enumerate(zip(row.tolist(), sig.tolist(), strict=True)) if r and s in first])
+        assert (jaccard_join.near(sketch[x[:, 0]], sketch[x[:, 1]]) & jaccard_join.alike(wide[x[:, 0]], wide[x[:, 1]], measure)).any(), (trial, m)
+
+
+def test_a_common_passage_makes_no_pairs_of_parts(spark):
+    """Texts of which five sixths are one passage are 0.7 similar; all their pairs were compared."""
+    rng = random.Random(7)
+    passage, own = prose(100), lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(20))
+    texts = [f"{passage} {own()}" for _ in range(120)]
+    texts.append(f"{texts[5]} end")
+    df = spark.createDataFrame(list(enumerate(texts)), "part long, text string")
+    pairs = {(r.a, r.b) for r in jaccard_join.part_pairs(df, 4, jaccard_join.PIPELINE).collect()}
+    assert (5, 120) in pairs and len(pairs) < 2 * len(texts)
+    # as many as there were without wide sketches
+    g, n = jaccard_join.shingle_sets(pa.array(texts), 5)
+    row, sig, sketch = jaccard_join.signatures(g, n, jaccard_join.PIPELINE)
+    assert len(jaccard_join.parts_met(sig, row, sketch)[0]) > 10 * len(texts)

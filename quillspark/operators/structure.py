@@ -10,6 +10,7 @@ of the run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +94,27 @@ def _step_like(c: Column, lex: LexiconProfile) -> Column:
     return c.rlike(r"(?U)^\d{1,3}") & T.any_of(c, lex.operation_verbs)
 
 
+#: White space of RE2's \\s and of DuckDB's trim, for lines that are read as plain SQL reads them.
+PLAIN_SPACES = "\t\n\f\r "
+PLAIN_BLANKS = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def plain_squeeze(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{PLAIN_SPACES}]+", " ")
+
+
+def plain_noise_line(c: Column) -> Column:
+    """noise_line of ASCII digits and white space."""
+    number, contents = c.rlike(r"^[0-9]{1,4}\z"), c.rlike(r"[\.·•…]{5,}") & c.rlike(rf"[0-9]{{1,4}}[{PLAIN_SPACES}]*\z")
+    # the one other letter whose lower case is a letter of these
+    return number | contents | F.lower(F.translate(c, "İ", "i")).isin("copyright", "all rights reserved")
+
+
+def plain_list_item(c: Column) -> Column:
+    """list_item of ASCII digits and white space, of one line."""
+    return c.rlike(rf"^[{PLAIN_SPACES}]*{ITEM}")
+
+
 def noise_line(c: Column, lex: LexiconProfile) -> Column:
     """Whether a line is noise on every page. Its length comes first where that says it."""
     number = (F.length(c) <= 5) & c.rlike(r"(?U)^\d{1,4}$")
@@ -117,6 +139,27 @@ def subsection_heading(c: Column, following: Column, lex: LexiconProfile) -> Col
     return F.when(c.isin(list(lex.subsections)), ~refused).when(F.length(c) <= 24, ~refused & reads).otherwise(F.lit(False))
 
 
+def line_kind(head: Column, noise: Column, skips: Column, item: Column, subsection: Column, lex: LexiconProfile) -> Column:
+    """The kind of a line, by what is known of its head."""
+    open_ = ~skips
+    return (
+        F.when(head == "", "blank").when(noise | (skips & head.isin([*lex.chapters, *lex.toc_titles])), "noise")
+        .when(open_ & head.isin(list(lex.chapters)), "chapter").when(open_ & head.isin(list(lex.sections)), "section")
+        .when(marker(head, lex.warning), "warning_marker").when(marker(head, lex.caution), "caution_marker").when(marker(head, lex.note), "note_marker")
+        .when(item, "list_item").when(open_ & subsection, "subsection").otherwise("body")
+    )
+
+
+def plain_lines(pages: DataFrame, lex: LexiconProfile, cut: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, source_file, page, n, head, kind) of every line of pages, as
+    plain SQL tells them: `cut` gives the heads of a text's lines, digits and
+    white space are ASCII, no page is one of contents, and of the lowest
+    headings there are the listed ones."""
+    rows = pages.select("doc_id", "source_file", "page", F.posexplode(cut(F.col("text"))).alias("n", "head"))
+    head = F.col("head")
+    return rows.withColumn("kind", line_kind(head, plain_noise_line(head), F.lit(False), plain_list_item(head), head.isin(list(lex.subsections)), lex))
+
+
 def classified_lines(pages: DataFrame, lex: LexiconProfile, skip_toc_pages: int = SKIP_TOC_PAGES) -> DataFrame:
     """(doc_id, source_file, page, n, line, kind) of every line of pages
     (doc_id, source_file, page, text)."""
@@ -131,13 +174,7 @@ def classified_lines(pages: DataFrame, lex: LexiconProfile, skip_toc_pages: int
     rows = held.select("doc_id", "source_file", "page", "skips", F.posexplode(F.transform("held", lambda x, i: F.struct(x["line"], x["head"], x["noise"], F.get(F.col("held"), nth(i) - 1)["line"].alias("following")))).alias("n", "at"))
     rows = rows.select("doc_id", "source_file", "page", "skips", "n", "at.line", "at.head", "at.noise", "at.following")
     head = F.col("head")
-    open_ = ~F.col("skips")
-    kind = (
-        F.when(head == "", "blank").when(F.col("noise") | (F.col("skips") & head.isin([*lex.chapters, *lex.toc_titles])), "noise")
-        .when(open_ & head.isin(list(lex.chapters)), "chapter").when(open_ & head.isin(list(lex.sections)), "section")
-        .when(marker(head, lex.warning), "warning_marker").when(marker(head, lex.caution), "caution_marker").when(marker(head, lex.note), "note_marker")
-        .when(list_item(head), "list_item").when(open_ & subsection_heading(head, F.col("following"), lex), "subsection").otherwise("body")
-    )
+    kind = line_kind(head, F.col("noise"), F.col("skips"), list_item(head), subsection_heading(head, F.col("following"), lex), lex)
     return rows.withColumn("kind", kind).drop("skips", "noise", "following")
 
 

@@ -131,5 +131,30 @@ def test_long_recordings_meet_with_few_of_their_fingerprints():
     assert media.step_of(1300) == 16 and taken * 12 < whole
 
 
+def test_no_fingerprint_is_left_out():
+    """Sub-keys meet in all fingerprints but each sixteenth, which were the only ones held against a query's."""
+    noise = np.random.default_rng(11)
+    a = noise.integers(0, 1 << 32, 1300, dtype=np.uint32)
+    b = a.copy()
+    b[:: media.step_of(1300)] ^= np.uint32(0x01010101)
+    assert media.Queries([0], [a]).matches(b)[0][:3] == brute(a, b)[:3] == (4 * 82 / (32 * 1300), 0, 0)
+    # and the same where the query is the recording of which some were taken
+    assert media.Queries([0], [b]).matches(a)[0][2] == 0
+
+
+def test_tables_of_a_part_of_the_queries(monkeypatch):
+    noise = np.random.default_rng(12)
+    songs = [noise.integers(0, 1 << 32, n, dtype=np.uint32) for n in (0, 1, 13, 90, 0, 400, 700, 200, 12000)]
+    others = [songs[8][5000:5600], songs[6], np.concatenate([songs[3], songs[7][40:]]), songs[2], songs[0], songs[8]]
+    block = media.Queries(list(range(len(songs))), songs)
+    want = block.matches_of(others)
+    assert [sorted(x) for x in want] == [[8], [6], [3, 7], [2], [], [8]]
+    # more votes than 16 bits hold
+    assert want[5][8][3] >= 72000 and max(block.hits(songs[8])[2]) == want[5][8][3]
+    for cells in (3000, 15000):
+        monkeypatch.setattr(media, "CELLS", cells)
+        assert len(list(block.parts(700))) > 1 and block.matches_of(others) == want
+
+
 def test_no_oracle_of_its_own():
     assert "op6_media_fingerprints" not in registry.ORACLES
